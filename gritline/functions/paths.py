@@ -12,18 +12,21 @@ from gritline.vocab import EXTENSION_LANGUAGE, SKIP_DIRS
 
 
 def extension(path: Column) -> Column:
-    """Lower-cased last suffix of the file name, empty for dot-files."""
-    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+    """Lower-cased last suffix of the file name with its dot, empty for dot-files."""
+    name = F.substring_index(path, "/", -1)
+    suffix = F.substring_index(name, ".", -1)
+    has_one = (F.length(suffix) > 0) & (F.length(suffix) < F.length(name) - 1)
+    return F.when(has_one, F.concat(F.lit("."), F.lower(suffix))).otherwise(F.lit(""))
 
 
 def language_for(path: Column) -> Column:
     """Language of a path, null when the extension is not known."""
-    pairs = [F.lit(x) for item in EXTENSION_LANGUAGE.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), extension(path))
+    pairs = ", ".join(f"'{ext}', '{language}'" for ext, language in EXTENSION_LANGUAGE.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), extension(path))
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def glob_regex(glob: str) -> str:

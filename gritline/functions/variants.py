@@ -16,6 +16,14 @@ def field(item: Column, name: str) -> Column:
     return F.try_variant_get(item, f"$.{name}", "variant")
 
 
+def fields(item: Column, *names: str) -> dict[str, Column]:
+    """Columns ``v_<name>`` with the fields of an object.
+
+    Each field is taken out once; the conversions below then work on columns.
+    """
+    return {f"v_{name}": field(item, name) for name in names}
+
+
 def kind(value: Column) -> Column:
     """``OBJECT<..>``, ``ARRAY<..>``, ``STRING``, ``BIGINT``, ``VOID`` ..., null when missing."""
     return F.schema_of_variant(value)

@@ -45,10 +45,13 @@ def fold_lines(
     folded = (
         sized.where(F.col("_start") <= max_bytes)
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
-        .select(*key, F.array_join(F.col("_lines.text"), sep).alias("content"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"),
+            F.max(F.col("_start") + F.octet_length("text")).alias("_bytes"),
+        )
+        .where(F.col("_bytes") <= max_bytes)
     )
-    return folded.where(F.octet_length("content") <= max_bytes)
+    return folded.select(*key, F.array_join(F.col("_lines.text"), sep).alias("content"))
 
 
 def file_stats(files: DataFrame) -> DataFrame:

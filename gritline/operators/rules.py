@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +38,10 @@ RULES_PER_LINE = 1024
 class LineRule:
     """One line rule.
 
-    ``needles`` are texts one of which every matching line contains; testing for them
-    first is cheap and saves most regex calls. With ``value_group`` set, the rule
-    holds only if that group of the first match is not a placeholder.
+    ``needles`` are texts one of which every matching line contains, and ``folded`` the
+    same for the lower-cased line; testing for them first is cheap and saves most
+    regex calls. With ``value_group`` set, the rule holds only if that group of the
+    first match is not a placeholder.
     """
 
     pattern: str
@@ -51,6 +54,7 @@ class LineRule:
     languages: tuple[str, ...] | None = None
     needles: tuple[str, ...] = ()
     value_group: int = 0
+    folded: tuple[str, ...] = ()
 
     @property
     def rule_id(self) -> str:
@@ -87,7 +91,7 @@ LINE_RULES: tuple[LineRule, ...] = (
         "high", "security", "Possible hardcoded secret",
         "A credential-like value appears to be hardcoded as a string literal.",
         "Move the value to an environment variable or secret manager and reference it at runtime.",
-        0.8, None, ('"', "'"), 1,
+        0.8, None, ('"', "'"), 1, ("passw", "secret", "api", "token"),
     ),
     LineRule(
         rf"{_B0}(?:eval|exec){_S}*\(",
@@ -136,7 +140,7 @@ LINE_RULES: tuple[LineRule, ...] = (
         "info", "maintainability", "Unresolved TODO/FIXME marker",
         "An unresolved task marker remains in the code.",
         "Resolve the item or track it in an issue and remove the marker.",
-        0.45, None,
+        0.45, None, (), 0, ("todo", "fixme", "hack", "xxx"),
     ),
 )
 
@@ -152,35 +156,47 @@ def looks_like_placeholder(value: Column) -> Column:
     return value.rlike(_java(PLACEHOLDER)) | value.rlike(MASKED)
 
 
-def rule_matches(rule: LineRule, text: Column, language: Column) -> Column:
-    """Condition of one rule, cheapest tests first."""
+def _contains_any(text: Column, needles: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in needles])
+
+
+def rule_matches(rule: LineRule, text: Column, language: Column, folded: Column, wide: Column) -> Column:
+    """Condition of one rule, cheapest tests first.
+
+    ``folded`` is the lower-cased text. Lower case settles ``rule.folded`` for ASCII text only,
+    so ``wide`` lines (with other characters) always go to the regex.
+    """
     tests: list[Column] = []
     if rule.languages is not None:
         tests.append(language.isin(*rule.languages))
     if rule.needles:
-        found = F.contains(text, F.lit(rule.needles[0]))
-        for needle in rule.needles[1:]:
-            found = found | F.contains(text, F.lit(needle))
-        tests.append(found)
+        tests.append(_contains_any(text, rule.needles))
+    if rule.folded:
+        tests.append(wide | _contains_any(folded, rule.folded))
     pattern = _java(rule.pattern)
     tests.append(text.rlike(pattern))
     if rule.value_group:
         tests.append(~looks_like_placeholder(F.regexp_extract(text, pattern, rule.value_group)))
-    condition = tests[0]
-    for test in tests[1:]:
-        condition = condition & test
-    return condition
+    return reduce(and_, tests)
+
+
+def with_folded(lines: DataFrame) -> DataFrame:
+    """Add the columns that :func:`rule_matches` needs besides text and language."""
+    wide = F.octet_length("text") != F.length("text")
+    return lines.withColumns({"_folded": F.lower("text"), "_wide": wide})
 
 
 def line_hits(lines: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> DataFrame:
     """One row per line and matching rule: the lines' columns and ``rule_idx``.
 
     All rules are evaluated in one pass over the lines, each as its own expression
-    with a literal pattern, which a task compiles once.
+    with a literal pattern, which a task compiles once. The marks are a column of
+    their own, so that the pass is generated code and runs once per line.
     """
-    text, language = F.col("text"), F.col("language")
-    marks = [F.when(rule_matches(r, text, language), F.lit(i)) for i, r in enumerate(rules)]
-    return lines.select("*", F.explode(F.filter(F.array(*marks), F.isnotnull)).alias("rule_idx"))
+    columns = [F.col(c) for c in ("text", "language", "_folded", "_wide")]
+    marks = [F.when(rule_matches(r, *columns), F.lit(i)).otherwise(F.lit(-1)) for i, r in enumerate(rules)]
+    marked = with_folded(lines).select(*lines.columns, F.array(*marks).alias("_marks"))
+    return marked.select(*lines.columns, F.explode(F.array_remove("_marks", -1)).alias("rule_idx"))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[LineRule] = LINE_RULES) -> DataFrame:

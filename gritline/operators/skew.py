@@ -27,6 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/gritline-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rebalance a scan that comes in fewer tasks than the cluster can run at a time.
+
+    For narrow rows that are about to grow or to cost much time each. A scan with
+    enough tasks stays as it is, without a shuffle.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder once and read it from there."""
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on an ordinary new column is moved below it and repeats its expression, which
+    is costly when the expression parses text. A generated column stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def hot_groups(df: DataFrame, group: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the groups that hold more than ``rows`` rows.
 
@@ -49,16 +76,12 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     numbers must not change between the two reads of them.
     """
     keys = [F.col(c) for c in group]
-    folder = shared_dir(df.sparkSession)
-    (
+    ordered = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_seq", F.monotonically_increasing_id())
-        .write.parquet(folder)
     )
-    placed = df.sparkSession.read.schema(
-        df.withColumn("_seq", F.lit(0).cast("bigint")).schema
-    ).parquet(folder).withColumn("_part", F.shiftright("_seq", 33))
+    placed = stage(ordered).withColumn("_part", F.shiftright("_seq", 33))
     spans = placed.groupBy(*group, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))

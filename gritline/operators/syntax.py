@@ -6,9 +6,10 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gritline.functions.severity import rule_id
 from gritline.schemas import FINDING_COLUMNS, SYNTAX_FACTS
@@ -93,25 +94,27 @@ def file_facts(content: str) -> list[tuple]:
     return facts
 
 
-_FACT_COLUMNS = SYNTAX_FACTS.fieldNames()
-_NODE_COLUMNS = _FACT_COLUMNS[2:]
+_ARROW_SCHEMA = to_arrow_schema(SYNTAX_FACTS)
 _CHILD_COLUMNS = ("role", "kind", "line", "code")
 
 
-def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _facts_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for repo_id, path, content in zip(batch["repo_id"], batch["path"], batch["content"]):
+        for repo_id, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for *node, children in file_facts(content):
                 nested = None if children is None else [dict(zip(_CHILD_COLUMNS, c)) for c in children]
                 rows.append((repo_id, path, *node, nested))
-        yield pd.DataFrame(rows, columns=_FACT_COLUMNS)
+        columns = zip(*rows) if rows else [[]] * len(_ARROW_SCHEMA)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values, field.type) for values, field in zip(columns, _ARROW_SCHEMA)], schema=_ARROW_SCHEMA
+        )
 
 
 def syntax_facts(files: DataFrame) -> DataFrame:
     """Syntax facts of the Python files. Only they, and only three columns, go to Python."""
     python = files.where((F.col("language") == "python") & F.col("content").isNotNull())
-    return python.select("repo_id", "path", "content").mapInPandas(_facts_of_batches, SYNTAX_FACTS)
+    return python.select("repo_id", "path", "content").mapInArrow(_facts_of_batches, SYNTAX_FACTS)
 
 
 def _finding(rule: tuple, line: Column, code: Column, sub: Column, end: Column | None = None, title: Column | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.operators.lines import fold_lines
-from gritline.operators.skew import hot_groups, number_rows
+from gritline.operators.skew import hot_groups, number_rows, spread
 
 N_REPOS = 40
 
@@ -99,26 +99,26 @@ def hot_orders(spark: SparkSession, sf_dir: str) -> list[int]:
     """Hashes of orders with very many lines, found once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _hot:
-        orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"))
-        _hot[key] = hot_groups(orders, ["file_id"])
+        _hot[key] = hot_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
     return _hot[key]
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 with the part key, numbered per file."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    """F1 with the part key, numbered per file.
+
+    Paths and texts are made after the shuffle that numbers the lines: only keys travel.
+    """
+    keys = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER), "l_orderkey")
+    order = [F.col(c) for c in LINE_ORDER]
+    numbered = number_rows(keys, ["l_orderkey"], order, "line_no", hot_orders(spark, sf_dir))
+    return numbered.select(
         F.col("l_orderkey").alias("file_id"),
         (F.col("l_orderkey") % N_REPOS).alias("repo_id"),
         F.expr(PATH_SQL).alias("path"),
+        F.col("line_no").cast("int").alias("line_no"),
         "l_partkey",
-        *[c for c in LINE_ORDER if c != "l_partkey"],
         F.expr(TEXT_SQL).alias("text"),
     )
-    order = [F.col(c) for c in LINE_ORDER]
-    numbered = number_rows(lines, ["file_id"], order, "line_no", hot_orders(spark, sf_dir))
-    return numbered.withColumn("line_no", F.col("line_no").cast("int")).drop(
-        *[c for c in LINE_ORDER if c != "l_partkey"]
-    )
 
 
 def code_lines(spark: SparkSession, sf_dir: str, *, known: bool = True) -> DataFrame:
@@ -193,7 +193,8 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one Python module per order."""
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(
         (F.col("o_orderkey") % N_REPOS).alias("repo_id"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"),
         F.lit("python").alias("language"),

@@ -310,9 +310,9 @@ def _syntax_rows() -> str:
 
 def _loose() -> str:
     """Expected outcome of the loose findings, arm by arm."""
-    return f"""SELECT repo_id, file, at, line, greatest(line, coalesce(end_given, line)) AS end_line, severity, category, title,
+    return f"""SELECT repo_id, file, own_line, line, greatest(line, coalesce(end_given, line)) AS end_line, severity, category, title,
         confidence, CASE WHEN k % 9 = 0 THEN 'own/rule' ELSE {_DERIVED} END AS rule_id FROM (
-        SELECT repo_id, path AS file, line_no AS at, l_partkey AS k,
+        SELECT repo_id, path AS file, line_no AS own_line, l_partkey AS k,
           CAST(CASE WHEN l_partkey % 4 IN (0, 1) THEN 1 ELSE line_no END AS INTEGER) AS line,
           CAST(CASE l_partkey % 3 WHEN 1 THEN 0 WHEN 2 THEN line_no + 5 END AS INTEGER) AS end_given,
           CASE l_partkey % 5 WHEN 0 THEN 'high' WHEN 3 THEN 'info' WHEN 4 THEN 'critical' ELSE 'medium' END AS severity,
@@ -322,7 +322,19 @@ def _loose() -> str:
         FROM raw)"""
 
 
-_NUMBERED = """string_agg(lpad(cast(line_no as string), length(cast(n as string)), ' ') || '| ' || text, chr(10) ORDER BY line_no)"""
+# Facts of the F6 modules: arm, walk order, kind, name, line, end line, children.
+_FACTS = [
+    (0, 1, "FunctionDef", "f", 1, 2, 2),
+    (1, 3, "ExceptHandler", None, 3, 4, 1),
+    (2, 3, "ExceptHandler", None, 3, 4, 1),
+    (3, 1, "FunctionDef", "g", 1, 2, 0),
+    (3, 5, "Compare", None, 2, 2, 1),
+    (4, 1, "FunctionDef", "h", 1, 2, 0),
+    (4, 5, "Compare", None, 2, 2, 1),
+    (5, 1, "FunctionDef", "long_", 1, 81, 0),
+]
+
+_NUMBERED = """string_agg(lpad(cast(line_no as string), cast(length(cast(n as string)) as integer), ' ') || '| ' || text, chr(10) ORDER BY line_no)"""
 
 _SCRIPT_SQL = r"""SELECT page_id, i - 1 AS n, scripts[i] AS content FROM (
     SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS scripts FROM pages),
@@ -389,6 +401,9 @@ def oracle_sql() -> dict[str, str]:
             JOIN rules ON {_GATED} AND {_ANY_RULE})
             QUALIFY row_number() OVER (PARTITION BY repo_id, file ORDER BY rank DESC, line, rule_idx) <= 80""",
         ),
+        "py_facts": f"""SELECT o_orderkey % 40 AS repo_id, 'o' || cast(o_orderkey as string) || '.py' AS path, walk_seq, kind,
+            CASE WHEN name = 'long_' THEN name || cast(o_orderkey as string) ELSE name END AS name, line, end_line, n_children
+            FROM orders JOIN {_values(_FACTS)} AS t(arm, walk_seq, kind, name, line, end_line, n_children) ON o_orderkey % 6 = arm""",
         "syntax_findings": _syntax_rows(),
         # findings
         "normalize_findings": _with("raw", _loose()),

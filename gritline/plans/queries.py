@@ -16,7 +16,7 @@ from gritline.operators import policy as pol
 from gritline.operators import rules as rl
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats, line_classes
-from gritline.operators.skew import position_in_group, shared_dir
+from gritline.operators.skew import position_in_group, shared_dir, stage
 from gritline.operators.syntax import syntax_facts, syntax_findings
 from gritline.plans import fixtures as fx
 from gritline.plans import scans as sc
@@ -143,9 +143,10 @@ def line_findings(spark, sf):
 @query
 def secret_scan(spark, sf):
     rule = rl.LINE_RULES[2]
-    lines = fx.code_lines(spark, sf)
+    lines = rl.with_folded(fx.code_lines(spark, sf))
     value = F.regexp_extract("text", rule.pattern, rule.value_group)
-    found = lines.where(rl.rule_matches(rule, F.col("text"), F.col("language")))
+    columns = [F.col(c) for c in ("text", "language", "_folded", "_wide")]
+    found = lines.where(rl.rule_matches(rule, *columns))
     return found.select("repo_id", "path", "line_no", value.alias("value"))
 
 
@@ -194,7 +195,7 @@ def loose_findings(spark, sf) -> DataFrame:
     return fx.raw_lines(spark, sf).select(
         "repo_id",
         F.col("path").alias("file"),
-        F.col("line_no").alias("at"),
+        F.col("line_no").alias("own_line"),
         F.when(k % 4 == 0, -2).when(k % 4 == 1, F.lit(None)).otherwise(F.col("line_no")).alias("line"),
         F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, 0).otherwise(F.col("line_no") + 5).alias("end_line"),
         F.when(k % 5 == 0, "\tHIGH ").when(k % 5 == 1, "urgent").when(k % 5 == 2, F.lit(None))
@@ -393,7 +394,7 @@ def policy_confidence(spark, sf):
 @query
 def review_requests(spark, sf):
     """Requests for all files; those a diff touched name their changed lines."""
-    focus = parse_diffs(fx.diffs(spark, sf)).select("repo_id", "path", "line_no")
+    focus = stage(parse_diffs(fx.diffs(spark, sf)).select("repo_id", "path", "line_no"))
     return rs.build_requests(fx.code_files(spark, sf), focus)
 
 
@@ -454,7 +455,7 @@ def _report_inputs(spark, sf):
     files = fx.file_list(spark, sf).where(F.col("language").isNotNull())
     unread = fx.file_list(spark, sf).where(F.col("language").isNull()).withColumn("content", F.lit(None).cast("string"))
     errors = fs.read_errors(unread)
-    found = findings(spark, sf)
+    found = stage(findings(spark, sf))
     return sc.scan_headers(files, found, errors), found, files.select("repo_id", "path"), errors
 
 

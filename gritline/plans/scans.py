@@ -13,6 +13,7 @@ from gritline.operators import focus as fc
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats
 from gritline.operators.rules import LINE_RULES, LineRule, line_findings
+from gritline.operators.skew import stage
 from gritline.operators.syntax import fact_findings, syntax_errors, syntax_facts
 from gritline.sources import files as fs
 from gritline.sources import responses as rs
@@ -63,8 +64,10 @@ def changed_files(diffs: DataFrame, files: DataFrame, *, include=None, exclude=N
     """Current files that a diff touched, and their changed lines.
 
     Files that are gone, too large, not supported or filtered out take their lines with them.
+    The changed lines are written down once: they are used twice, and their known size
+    lets the planner broadcast a short list of files instead of moving all contents.
     """
-    focus = parse_diffs(diffs.select("repo_id", "diff_text"))
+    focus = stage(parse_diffs(diffs.select("repo_id", "diff_text")))
     touched = focus.select("repo_id", "path").distinct()
     known = fs.with_language(touched).where(F.col("language").isNotNull())
     known = known.where(fs.passes_globs(F.col("path"), include, exclude))

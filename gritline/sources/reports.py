@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from gritline.functions import severity as sv
 from gritline.functions import variants as vx
+from gritline.operators.skew import once
 from gritline.schemas import FINDING_COLUMNS
 
 
+# --- fixed values: fields of a finding in a report ------------------------------------------
+FINDING_FIELDS = (
+    "file", "line", "end_line", "severity", "category", "title", "description", "suggestion", "confidence",
+    "rule_id", "source", "code",
+)
+
+
 def parse_reports(reports: DataFrame) -> DataFrame:
     """(report_id, body) to (report_id, report, good); good means a JSON object."""
-    return reports.select("report_id", F.try_parse_json("body").alias("report")).withColumn(
-        "good", vx.is_object(F.col("report"))
-    )
+    parsed = once(reports.select("report_id", "body"), {"report": F.try_parse_json("body")})
+    return once(parsed.drop("body"), {"good": vx.is_object(F.col("report"))})
 
 
 def report_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col("good")).select("report_id", F.lit("invalid JSON report").alias("error"))
 
 
-def _text(item: Column, name: str, default: str = "") -> Column:
-    return F.coalesce(vx.as_text(vx.field(item, name)), F.lit(default))
-
-
 def report_scans(parsed: DataFrame) -> DataFrame:
     """Scan headers; stored counts are ignored."""
     report = F.col("report")
@@ -62,26 +65,29 @@ def report_findings(parsed: DataFrame) -> DataFrame:
         )
         .where(vx.is_object(F.col("_item")))
     )
-    item = F.col("_item")
+    items = once(items, vx.fields(F.col("_item"), *FINDING_FIELDS)).drop("_item")
 
     def get(name: str) -> Column:
-        return vx.field(item, name)
+        return F.col(f"v_{name}")
+
+    def text(name: str) -> Column:
+        return F.coalesce(vx.as_text(get(name)), F.lit(""))
 
     line = F.greatest(F.lit(1.0), F.coalesce(vx.as_whole(get("line")), F.lit(1.0))).cast("int")
     end = F.greatest(F.col("line"), F.coalesce(vx.as_whole(get("end_line")).cast("int"), F.col("line")))
     return (
         items.withColumns(
             {
-                "file": _text(item, "file"),
+                "file": text("file"),
                 "line": line,
                 "severity": sv.coerce_severity(vx.as_text(get("severity"))),
                 "category": sv.normalize_category(vx.as_text(get("category"))),
                 "title": sv.normalize_title(vx.truthy_text(get("title"))),
-                "description": _text(item, "description"),
-                "suggestion": _text(item, "suggestion"),
+                "description": text("description"),
+                "suggestion": text("suggestion"),
                 "confidence": vx.confidence(get("confidence")),
-                "source": F.when(get("source").isNull(), "ai").otherwise(_text(item, "source")),
-                "code": _text(item, "code"),
+                "source": F.when(get("source").isNull(), "ai").otherwise(text("source")),
+                "code": text("code"),
                 "emit_seq": F.col("_pos").cast("bigint"),
             }
         )

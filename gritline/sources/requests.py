@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import variants as vx
+from gritline.operators.skew import once
 
 DEFAULT_PATH = "buffer"
 
@@ -18,12 +19,12 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """
     text = F.when(F.coalesce(body, F.lit("")) == "", "{}").otherwise(F.col(body))
     content = vx.field(F.col("request"), "content")
-    return requests.withColumn("request", F.try_parse_json(text)).withColumn(
-        "status",
+    status = (
         F.when(~vx.is_object(F.col("request")), "invalid_json")
         .when(content.isNull() | F.is_variant_null(content), "missing_content")
-        .otherwise("ok"),
+        .otherwise("ok")
     )
+    return once(once(requests, {"request": F.try_parse_json(text)}), {"status": status})
 
 
 def request_units(validated: DataFrame) -> DataFrame:

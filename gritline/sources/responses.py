@@ -9,6 +9,7 @@ from gritline.functions import severity as sv
 from gritline.functions import text as tx
 from gritline.functions import variants as vx
 from gritline.operators.focus import focus_summary
+from gritline.operators.skew import once, stage
 from gritline.schemas import FINDING_COLUMNS
 from gritline.vocab import CATEGORIES, DEFAULT_CATEGORY, DEFAULT_MAX_TOKENS, DEFAULT_MODEL, REVIEW_TOOL, SEVERITIES
 
@@ -22,6 +23,9 @@ FOCUS_LABEL = "Changed lines (new-file numbering): "
 CODE_LABEL = "Code (line numbers are authoritative):"
 FENCE = "```"
 
+# --- fixed values: fields of a response item -------------------------------------------------
+ITEM_FIELDS = ("line", "end_line", "severity", "category", "title", "description", "suggestion", "confidence")
+
 
 def request_text(focus: Column) -> Column:
     """User message of one file; ``focus`` is the focus summary or null."""
@@ -66,16 +70,10 @@ def build_requests(
 def response_tool() -> dict:
     """JSON schema that a reviewer's answer has to follow."""
     text, whole, number = {"type": "string"}, {"type": "integer"}, {"type": "number"}
-    finding = {
-        "line": whole,
-        "end_line": whole,
-        "severity": {**text, "enum": list(SEVERITIES)},
-        "category": {**text, "enum": list(CATEGORIES)},
-        "title": text,
-        "description": text,
-        "suggestion": text,
-        "confidence": number,
-    }
+    kinds = {"line": whole, "end_line": whole, "confidence": number}
+    kinds["severity"] = {**text, "enum": list(SEVERITIES)}
+    kinds["category"] = {**text, "enum": list(CATEGORIES)}
+    finding = {name: kinds.get(name, text) for name in ITEM_FIELDS}
     required = [name for name in finding if name not in ("end_line", "confidence")]
     item = {"type": "object", "properties": finding, "required": required}
     findings = {"type": "array", "items": item}
@@ -102,20 +100,13 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     Good means: the call worked, the payload is JSON, the findings can be iterated and no
     item has an infinite line. A message without a report block is good and empty.
     """
-    message = F.try_parse_json("payload")
-    found = vx.field(F.col("_input"), "findings")
-    broken = vx.is_number(found) & (vx.as_double(found) != 0) | (vx.as_text(found) == "true") & ~vx.is_text(found)
-    return (
-        responses.select("repo_id", "path", "ok", message.alias("_message"))
-        .withColumn("_input", _report_input(F.col("_message")))
-        .select(
-            "repo_id",
-            "path",
-            F.coalesce(F.try_variant_get(found, "$", "array<variant>"), F.array().cast("array<variant>")).alias("items"),
-            (
-                F.coalesce("ok", F.lit(False)) & vx.is_object(F.col("_message")) & ~F.coalesce(broken, F.lit(False))
-            ).alias("good"),
-        )
+    found = F.col("_found")
+    broken = (vx.is_number(found) & (vx.as_double(found) != 0)) | ((vx.as_text(found) == "true") & ~vx.is_text(found))
+    parsed = once(responses.select("repo_id", "path", "ok", "payload"), {"_message": F.try_parse_json("payload")})
+    reported = once(parsed, {"_found": vx.field(_report_input(F.col("_message")), "findings")})
+    good = F.coalesce("ok", F.lit(False)) & vx.is_object(F.col("_message")) & ~F.coalesce(broken, F.lit(False))
+    return once(reported, {"good": good}).select(
+        "repo_id", "path", F.try_variant_get(found, "$", "array<variant>").alias("items"), "good"
     )
 
 
@@ -130,12 +121,12 @@ def response_findings(parsed: DataFrame, files: DataFrame) -> DataFrame:
         .join(files.select("repo_id", "path", "line_count"), ["repo_id", "path"])
         .select("repo_id", "path", "line_count", F.posexplode("items").alias("_pos", "_item"))
         .where(vx.is_object(F.col("_item")))
-        .withColumn("title", vx.truthy_text(vx.field(F.col("_item"), "title")))
-        .where(F.col("title").isNotNull())
     )
+    items = once(items, vx.fields(F.col("_item"), *ITEM_FIELDS)).drop("_item")
+    items = once(items, {"title": vx.truthy_text(F.col("v_title"))}).where(F.col("title").isNotNull())
 
     def get(name: str) -> Column:
-        return vx.field(F.col("_item"), name)
+        return F.col(f"v_{name}")
 
     last = F.col("line_count").cast("double")
     line = F.greatest(F.lit(1.0), F.least(F.coalesce(vx.as_whole(get("line")), F.lit(1.0)), last))
@@ -170,6 +161,11 @@ def response_errors(parsed: DataFrame) -> DataFrame:
 
 
 def without_response(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Files that have no good response and are scanned with the rules instead."""
-    good = parsed.where("good").select("repo_id", "path")
-    return files.join(good, ["repo_id", "path"], "left_anti")
+    """Files that have no good response and are scanned with the rules instead.
+
+    The keys of those files are worked out first and written down: they are few as a
+    rule, and a table of known size lets the planner leave the contents where they are.
+    """
+    keys = ["repo_id", "path"]
+    missing = stage(files.select(*keys).join(parsed.where("good").select(*keys), keys, "left_anti"))
+    return files.join(missing, keys, "left_semi")
