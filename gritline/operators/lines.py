@@ -32,18 +32,21 @@ def fold_lines(
 ) -> DataFrame:
     """Lines back to one ``content`` per key, in ``line_no`` order.
 
-    A line that starts beyond ``max_bytes`` proves that its file is larger than
-    any file that is ever scanned, so such lines are not collected: a group never
-    holds more than ``max_bytes`` and one line. Files over the limit are dropped,
-    as the size filter does.
+    Files over ``max_bytes`` are dropped, as the size filter does. Lines that start too far
+    beyond the limit are not collected: the last line kept already proves that the file is
+    too large. So a group never holds more than ``max_bytes`` and one line, and
+    because every line takes a separator, most of a huge file is gone before the shuffle.
     """
     text = F.col("text") if text is None else text
+    gap = len(sep)
     in_file = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    sized = lines.select(*key, "line_no", text.alias("text")).withColumn(
-        "_start", F.coalesce(F.sum(F.octet_length("text") + len(sep)).over(in_file), F.lit(0))
+    sized = (
+        lines.where((F.col("line_no") - 1) * gap <= max_bytes + gap)
+        .select(*key, "line_no", text.alias("text"))
+        .withColumn("_start", F.coalesce(F.sum(F.octet_length("text") + gap).over(in_file), F.lit(0)))
     )
     folded = (
-        sized.where(F.col("_start") <= max_bytes)
+        sized.where(F.col("_start") <= max_bytes + gap)
         .groupBy(*key)
         .agg(
             F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"),

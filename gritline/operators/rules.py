@@ -220,12 +220,12 @@ def rule_table(spark: SparkSession, rules: Sequence[LineRule] = LINE_RULES) -> D
 
 
 def hit_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits with the texts of their rule. ``rules`` has at most a few hundred rows."""
+    """Hits with the texts of their rule."""
     texts = rules.select(
         "rule_idx", "rule_id", "severity", "category", "title", "description", "suggestion", "confidence"
     )
     return (
-        hits.join(F.broadcast(texts), "rule_idx")
+        hits.join(texts, "rule_idx")
         .withColumns(
             {
                 "file": F.col("path"),
@@ -241,8 +241,8 @@ def hit_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def line_findings(lines: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> DataFrame:
-    """Findings of the line rules. No shuffle: only the rule texts are broadcast."""
-    return hit_findings(line_hits(lines, rules), rule_table(lines.sparkSession, rules))
+    """Findings of the line rules. No shuffle: the rules come from a list, so their texts are broadcast."""
+    return hit_findings(line_hits(lines, rules), F.broadcast(rule_table(lines.sparkSession, rules)))
 
 
 def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:

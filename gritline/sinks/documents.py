@@ -223,6 +223,17 @@ def sarif_parts(headers: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def report_parts(kind: str, headers: DataFrame, findings: DataFrame, paths: DataFrame, errors: DataFrame) -> DataFrame:
+    """Parts of a ``json``, ``markdown`` or ``sarif`` report."""
+    if kind == "json":
+        return json_parts(headers, findings, paths, errors)
+    if kind == "markdown":
+        return markdown_parts(headers, findings)
+    if kind == "sarif":
+        return sarif_parts(headers, findings)
+    raise ValueError(f"unknown report kind: {kind}")
+
+
 def write_documents(parts: DataFrame, path: str) -> None:
     """Write one folder per scan; its files, in name order, are the document."""
     ordered = parts.orderBy("repo_id", *ORDER).select("repo_id", "body")
@@ -230,8 +241,12 @@ def write_documents(parts: DataFrame, path: str) -> None:
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """The findings table, one partition per scan."""
-    findings.write.partitionBy("repo_id").mode("overwrite").parquet(path)
+    """The findings table, one partition per scan.
+
+    Ranges of scan and file go to one task each: small scans share a task, and a large scan
+    is spread over several, without a file per task and scan.
+    """
+    findings.repartitionByRange("repo_id", "file").write.partitionBy("repo_id").mode("overwrite").parquet(path)
 
 
 def _file_items(findings: DataFrame) -> DataFrame:
