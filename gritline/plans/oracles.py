@@ -46,6 +46,9 @@ _RANK = "CASE severity " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in SEVERITY_
 _LEVEL = "CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
 _EMOJI = "CASE severity " + " ".join(f"WHEN '{s}' THEN '{e}'" for s, e in SEVERITY_EMOJI.items()) + " END"
 
+# At most 80 findings per file, the worst first.
+_CAP = "QUALIFY row_number() OVER (PARTITION BY repo_id, file ORDER BY rank DESC, line, emit_seq) <= 80"
+
 _CTES = {
     "lang": f"SELECT * FROM {_values(list(EXTENSION_LANGUAGE.items()))} AS t(ext, language)",
     "raw": f"""SELECT l_orderkey AS file_id, l_orderkey % 40 AS repo_id, {fx.PATH_SQL} AS path,
@@ -65,9 +68,10 @@ _CTES = {
     "hits": """SELECT lines.file_id, lines.repo_id, path, language, line_no, text, rules.*
         FROM lines JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx)
         WHERE languages IS NULL OR list_contains(string_split(languages, ','), language)""",
-    "found": """SELECT file_id, repo_id, path AS file, line_no AS line, line_no AS end_line, severity, rank, category, title,
+    "found_all": """SELECT file_id, repo_id, path AS file, line_no AS line, line_no AS end_line, severity, rank, category, title,
         description, suggestion, confidence, rule_id, 'heuristic' AS source, substr(trim(text), 1, 200) AS code,
         CAST(line_no AS BIGINT) * 1024 + rule_idx AS emit_seq FROM hits""",
+    "found": f"SELECT * FROM found_all {_CAP}",
     "counts": "SELECT repo_id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
     + ", count(*) AS total FROM found GROUP BY repo_id",
     "big": """SELECT repo_id, 'r' || cast(repo_id as string) || '.js' AS path, l_partkey,
@@ -126,7 +130,8 @@ _NEEDS = {
     "lines": ["raw", "files"],
     "contents": ["raw", "files"],
     "hits": ["lines", "template", "rules"],
-    "found": ["hits"],
+    "found_all": ["hits"],
+    "found": ["found_all"],
     "counts": ["found"],
     "big": ["raw"],
     "policies": ["layers"],
@@ -386,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
             "hits", "SELECT rule_idx, rule_id, severity, category, title, confidence, count(file_id) AS n_hits FROM rules "
             "LEFT JOIN (SELECT rule_idx, file_id FROM hits) USING (rule_idx) GROUP BY ALL",
         ),
-        "line_findings": _with("found", f"SELECT {_FINDING_COLUMNS} FROM found"),
+        "line_findings": _with("found_all", f"SELECT {_FINDING_COLUMNS} FROM found_all"),
         "secret_scan": _with(
             "lines", f"SELECT repo_id, path, line_no, regexp_extract(text, {_q(LINE_RULES[2].pattern)}, 1) AS value FROM lines WHERE {_rule_condition(2)}",
         ),
@@ -437,7 +442,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         # focus and diffs
         "focus_semi": _with(
-            "found", "SELECT repo_id, file, line, rule_id FROM found WHERE file_id % 4 = 0 OR (file_id, line) IN "
+            "found_all", "SELECT repo_id, file, line, rule_id FROM found_all WHERE file_id % 4 = 0 OR (file_id, line) IN "
             "(SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R')",
         ),
         "focus_summary": _with(
@@ -446,18 +451,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "diff_lines": _with("changed", "SELECT repo_id, diff_id, path, line_no FROM changed"),
         "diff_scan": _with(
-            "found", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found "
-            "WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%'",
+            "found_all", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_all "
+            f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
         ),
         # whole scans
         "repo_scan": _with(
-            "found", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found "
-            f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}])",
+            "found_all", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_all "
+            f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}]) {_CAP}",
         ),
         "content_scan": _with(
             "files raw template rules", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
             "JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx) "
-            "WHERE languages IS NULL OR list_contains(string_split(languages, ','), coalesce(language, 'text'))",
+            "WHERE languages IS NULL OR list_contains(string_split(languages, ','), coalesce(language, 'text')) "
+            "QUALIFY row_number() OVER (PARTITION BY raw.repo_id, raw.path ORDER BY rank DESC, line_no, rule_idx) <= 80",
         ),
         "scan_errors": _with(
             "files", "SELECT repo_id, n AS n_errors, string_agg(error, chr(10) ORDER BY i) AS first_errors FROM ("
@@ -506,8 +512,8 @@ def oracle_sql() -> dict[str, str]:
             "modelled", "SELECT repo_id, file, emit_seq, 'L' || cast(line as string) || CASE WHEN end_line > line THEN '-' || cast(end_line as string) ELSE '' END AS span FROM modelled",
         ),
         "response_fallback": _with(
-            "modelled found", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
-            "SELECT repo_id, file, line, title, confidence, source FROM found WHERE confidence >= 0.5 AND file_id % 11 = 0",
+            "modelled found_all", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
+            f"(SELECT repo_id, file, line, title, confidence, source FROM found_all WHERE confidence >= 0.5 AND file_id % 11 = 0 {_CAP})",
         ),
         # reports
         "summary_text": _with(
