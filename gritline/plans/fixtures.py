@@ -138,32 +138,39 @@ def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str, *, known: bool = True) -> DataFrame:
-    """file_id, repo_id, path, language, content."""
+    """file_id, repo_id, path, language, content, for files within the size limit."""
     return fold_lines(code_lines(spark, sf_dir, known=known), ["file_id", "repo_id", "path", "language"])
 
 
-# A diff covers the files of a repository among 400 consecutive orders, ten at most.
+# A diff covers the files of a repository among 400 consecutive orders, ten at most, and
+# 1000 lines of each; longer files continue in the next part. No diff grows beyond that.
 DIFF_SPAN = 400
+DIFF_LINES = 1000
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """zero-context diffs of ten files each: repo_id, diff_id, diff_text."""
-    files = fold_lines(
-        raw_lines(spark, sf_dir), ["file_id", "repo_id", "path"],
-        F.concat(F.when(F.col("file_id") % 5 == 0, "-").otherwise("+"), "text"),
-    )
-    n = F.size(F.split("content", "\n")).cast("string")
-    start = (F.col("file_id") % 50 + 1).cast("string")
-    gone = F.concat(F.lit("\n+++ /dev/null\n@@ -1,"), n, F.lit(" +0,0 @@\n"))
-    new = F.concat(F.lit("\n+++ b/"), F.col("path"), F.lit("\n@@ -0,0 +"), start, F.lit(","), n, F.lit(" @@\n"))
-    block = F.concat(
-        F.lit("--- a/"), F.col("path"), F.when(F.col("file_id") % 5 == 0, gone).otherwise(new), F.col("content")
+    """zero-context diffs: repo_id, diff_id, part, diff_text. One file in five is deleted."""
+    deleted = F.col("file_id") % 5 == 0
+    hunks = (
+        raw_lines(spark, sf_dir)
+        .groupBy("repo_id", "file_id", "path", F.floor((F.col("line_no") - 1) / DIFF_LINES).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
+        .withColumn("n", F.size("lines").cast("string"))
     )
+    start = (F.col("file_id") % 50 + 1 + F.col("part") * DIFF_LINES).cast("string")
+    gone = F.concat(F.lit("\n+++ /dev/null\n@@ -1,"), F.col("n"), F.lit(" +0,0 @@\n"))
+    new = F.concat(F.lit("\n+++ b/"), F.col("path"), F.lit("\n@@ -0,0 +"), start, F.lit(","), F.col("n"), F.lit(" @@\n"))
+    sign = F.when(deleted, "-").otherwise("+")
+    body = F.array_join(F.transform(F.col("lines.text"), lambda x: F.concat(sign, x)), "\n")
+    block = F.concat(F.lit("--- a/"), F.col("path"), F.when(deleted, gone).otherwise(new), body)
+    diff_id = F.floor(F.col("file_id") / DIFF_SPAN).cast("bigint")
     return (
-        files.select("repo_id", (F.col("file_id") / DIFF_SPAN).cast("bigint").alias("diff_id"), "file_id", block.alias("block"))
-        .groupBy("repo_id", "diff_id")
+        hunks.select("repo_id", diff_id.alias("diff_id"), "part", "file_id", block.alias("block"))
+        .groupBy("repo_id", "diff_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("file_id", "block"))).alias("blocks"))
-        .select("repo_id", "diff_id", F.concat(F.array_join(F.col("blocks.block"), "\n"), F.lit("\n")).alias("diff_text"))
+        .select(
+            "repo_id", "diff_id", "part", F.concat(F.array_join(F.col("blocks.block"), "\n"), F.lit("\n")).alias("diff_text")
+        )
     )
 
 

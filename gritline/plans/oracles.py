@@ -60,7 +60,10 @@ _CTES = {
     "lines": "SELECT raw.*, files.language FROM raw JOIN files USING (file_id) WHERE language IS NOT NULL",
     "contents": """SELECT file_id, raw.repo_id, raw.path, any_value(language) AS language,
         string_agg(text, chr(10) ORDER BY line_no) AS content, CAST(count(*) AS INTEGER) AS line_count
-        FROM raw JOIN files USING (file_id) GROUP BY file_id, raw.repo_id, raw.path""",
+        FROM raw JOIN files USING (file_id) GROUP BY file_id, raw.repo_id, raw.path HAVING strlen(content) <= 200000""",
+    # Lines of the files that are small enough to be held as one text.
+    "kept": "SELECT lines.* FROM lines SEMI JOIN contents USING (file_id)",
+    "found_kept": "SELECT found_all.* FROM found_all SEMI JOIN contents USING (file_id)",
     "rules": f"""SELECT rule_idx, rule_id, severity, rank, category, title, description, suggestion,
         CAST(confidence AS DOUBLE) AS confidence, languages FROM {_RULES}
         AS t(rule_idx, rule_id, severity, rank, category, title, description, suggestion, confidence, languages)""",
@@ -106,7 +109,7 @@ _CTES = {
           WHEN 9 THEN 0.5 ELSE 0.85 END AS DOUBLE) AS confidence,
         'ai' AS source, '' AS code, CAST(line_no - 1 AS BIGINT) AS emit_seq FROM items""",
     # Changed lines of the diffs.
-    "changed": """SELECT repo_id, CAST(floor(file_id / 400) AS BIGINT) AS diff_id, file_id, path,
+    "changed": """SELECT repo_id, CAST(floor(file_id / 400) AS BIGINT) AS diff_id, CAST((line_no - 1) // 1000 AS INTEGER) AS part, file_id, path,
         CAST(file_id % 50 + line_no AS INTEGER) AS line_no FROM raw WHERE file_id % 5 <> 0""",
     "headers": """SELECT s.repo_id, 'repo/' || cast(s.repo_id as string) AS target, 'heuristic' AS mode, '' AS model,
         files_scanned, coalesce(n_errors, 0) AS n_errors, """
@@ -132,6 +135,8 @@ _NEEDS = {
     "hits": ["lines", "template", "rules"],
     "found_all": ["hits"],
     "found": ["found_all"],
+    "kept": ["lines", "contents"],
+    "found_kept": ["found_all", "contents"],
     "counts": ["found"],
     "big": ["raw"],
     "policies": ["layers"],
@@ -374,13 +379,13 @@ def oracle_sql() -> dict[str, str]:
         # lines
         # A last empty line has no line break of its own, so it is not a line of the file.
         "explode_lines": _with(
-            "lines", "SELECT repo_id, path, language, line_no, text FROM lines "
+            "kept", "SELECT repo_id, path, language, line_no, text FROM kept "
             "QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id))",
         ),
         "number_lines": _with(
-            "lines", "SELECT repo_id, path, " + _NUMBERED + " AS numbered FROM ("
+            "kept", "SELECT repo_id, path, " + _NUMBERED + " AS numbered FROM ("
             "SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM ("
-            "SELECT * FROM lines QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) GROUP BY file_id, repo_id, path",
+            "SELECT * FROM kept QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) GROUP BY file_id, repo_id, path",
         ),
         "line_class": _with(
             "lines", "SELECT language, CASE WHEN text = '' THEN 'blank' WHEN language = 'python' AND l_partkey % 18 = 10 THEN 'comment' ELSE 'code' END AS line_class,"
@@ -449,20 +454,20 @@ def oracle_sql() -> dict[str, str]:
             "big", "SELECT repo_id, path, n_focus, summary || CASE WHEN n_focus > 12 THEN ', … (+' || cast(n_focus - 12 as string) || ' more)' ELSE '' END AS summary FROM ("
             "SELECT repo_id, path, count(*) AS n_focus, string_agg(cast(line_no as string), ', ' ORDER BY line_no) FILTER (line_no <= 12) AS summary FROM big GROUP BY 1, 2)",
         ),
-        "diff_lines": _with("changed", "SELECT repo_id, diff_id, path, line_no FROM changed"),
+        "diff_lines": _with("changed", "SELECT repo_id, diff_id, part, path, line_no FROM changed"),
         "diff_scan": _with(
-            "found_all", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_all "
+            "found_kept", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_kept "
             f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
         ),
         # whole scans
         "repo_scan": _with(
-            "found_all", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_all "
+            "found_kept", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_kept "
             f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}]) {_CAP}",
         ),
         "content_scan": _with(
-            "files raw template rules", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
+            "files raw template rules contents", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
             "JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx) "
-            "WHERE languages IS NULL OR list_contains(string_split(languages, ','), coalesce(language, 'text')) "
+            "WHERE (languages IS NULL OR list_contains(string_split(languages, ','), coalesce(files.language, 'text'))) AND file_id IN (SELECT file_id FROM contents) "
             "QUALIFY row_number() OVER (PARTITION BY raw.repo_id, raw.path ORDER BY rank DESC, line_no, rule_idx) <= 80",
         ),
         "scan_errors": _with(
@@ -495,11 +500,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         # reviewer model
         "review_requests": _with(
-            "lines changed", f"""SELECT lines.repo_id, lines.path, 'reviewer-model' AS model, CAST(4096 AS INTEGER) AS max_tokens, CAST(0 AS DOUBLE) AS temperature,
+            "kept changed", f"""SELECT lines.repo_id, lines.path, 'reviewer-model' AS model, CAST(4096 AS INTEGER) AS max_tokens, CAST(0 AS DOUBLE) AS temperature,
             'report_findings' AS tool, 'File: ' || lines.path || chr(10) || 'Language: ' || language || chr(10)
             || CASE WHEN any_value(f.focus) IS NULL THEN '' ELSE {_q(rs.SCOPE_TEXT)} || chr(10) || {_q(rs.FOCUS_LABEL)} || any_value(f.focus) || chr(10) END
             || chr(10) || {_q(rs.CODE_LABEL)} || chr(10) || '```' || chr(10) || {_NUMBERED} || chr(10) || '```' AS prompt
-            FROM (SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM (SELECT * FROM lines QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) lines
+            FROM (SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM (SELECT * FROM kept QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) lines
             LEFT JOIN (SELECT file_id, string_agg(cast(line_no as string), ', ' ORDER BY line_no) FILTER (i <= 12)
               || CASE WHEN count(*) > 12 THEN ', … (+' || cast(count(*) - 12 as string) || ' more)' ELSE '' END AS focus
               FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS i FROM changed) GROUP BY 1) f USING (file_id)
@@ -512,8 +517,8 @@ def oracle_sql() -> dict[str, str]:
             "modelled", "SELECT repo_id, file, emit_seq, 'L' || cast(line as string) || CASE WHEN end_line > line THEN '-' || cast(end_line as string) ELSE '' END AS span FROM modelled",
         ),
         "response_fallback": _with(
-            "modelled found_all", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
-            f"(SELECT repo_id, file, line, title, confidence, source FROM found_all WHERE confidence >= 0.5 AND file_id % 11 = 0 {_CAP})",
+            "modelled found_kept", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
+            f"(SELECT repo_id, file, line, title, confidence, source FROM found_kept WHERE confidence >= 0.5 AND file_id % 11 = 0 {_CAP})",
         ),
         # reports
         "summary_text": _with(
