@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,7 +87,10 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     spans = placed.groupBy(*group, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    joined = placed.join(spans.drop("_n"), [*group, "_part"])
+    spans = spans.drop("_n").withColumnsRenamed({c: f"_of_{c}" for c in (*group, "_part")})
+    # Null is a group like any other.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, "_part")])
+    joined = placed.join(spans, same)
     position = F.col("_seq") - F.col("_first") + F.col("_before") + 1
     return joined.withColumn(name, position).select(*df.columns, name)
 

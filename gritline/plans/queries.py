@@ -316,7 +316,7 @@ def diff_lines(spark, sf):
 def diff_scan(spark, sf):
     """Current files start with the lines before the hunk; the lib folder is gone."""
     lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
-    files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
+    files = stage(fx.code_files(spark, sf, known=False)).where(~F.col("path").startswith("lib/"))
     current = files.withColumn("content", F.concat(lead, F.col("content")))
     found = sc.scan_diffs(fx.diffs(spark, sf), current, exclude=["*.min.js"])
     return found.select("repo_id", "file", "line", "rule_id", "code")
@@ -327,7 +327,7 @@ def diff_scan(spark, sf):
 
 @query
 def repo_scan(spark, sf):
-    files = fs.select_files(fx.code_files(spark, sf).drop("language"), exclude=["tests/*"])
+    files = fs.select_files(stage(fx.code_files(spark, sf)).drop("language"), exclude=["tests/*"])
     found = sc.scan_files(fs.within_size(files), min_confidence=0.5)
     return found.drop("description", "suggestion")
 
@@ -335,7 +335,7 @@ def repo_scan(spark, sf):
 @query
 def content_scan(spark, sf):
     """Buffers of any name; those without a known extension count as text."""
-    buffers = fx.code_files(spark, sf, known=False).drop("language")
+    buffers = stage(fx.code_files(spark, sf, known=False)).drop("language")
     found = sc.scan_buffers(buffers)
     return found.select("repo_id", "file", "line", "rule_id", "source")
 
@@ -418,7 +418,8 @@ def finding_span(spark, sf):
 
 @query
 def response_fallback(spark, sf):
-    found = sc.scan_responses(fx.code_files(spark, sf), fx.responses(spark, sf), min_confidence=0.5)
+    files = stage(fx.code_files(spark, sf))
+    found = sc.scan_responses(files, fx.responses(spark, sf), min_confidence=0.5)
     return found.select("repo_id", "file", "line", "title", "confidence", "source")
 
 

@@ -91,9 +91,10 @@ def scan_responses(
 ) -> DataFrame:
     """Model findings, and rule findings for files without a good response.
 
-    Model findings are not capped.
+    Model findings are not capped. The parsed answers are written down once, because both the
+    findings and the list of files without an answer come from them.
     """
-    parsed = rs.parse_responses(responses)
+    parsed = stage(rs.parse_responses(responses))
     modelled = rs.response_findings(parsed, file_stats(files))
     if focus is not None:
         units = files.select("repo_id", "path", "has_focus") if "has_focus" in files.columns else None

@@ -11,6 +11,8 @@ SETTINGS = {
     # The JVM does not compile methods of more than 8000 bytes. Stages with many rule
     # expressions get there; below the limit Spark splits them into smaller methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Source files go to the Python parser in batches of bounded size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Recording the Python line of every expression slows down query building.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -40,6 +40,12 @@ def test_position_uses_many_tasks(spark):
     assert placed.agg(F.max("n")).first()[0] == 2000
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (2, 5)], "g long, v long")
+    got = skew.position_in_group(df, ["g"], [F.col("v")], "n").collect()
+    assert {(r["g"], r["v"]): r["n"] for r in got} == {(None, 1): 1, (None, 3): 2, (2, 5): 1}
+
+
 def test_salted_join(spark):
     df = sample(spark)
     small = df.select("g").distinct().where("g % 2 = 1").withColumn("w", F.col("g") * 2)
