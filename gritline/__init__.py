@@ -1,4 +1,4 @@
-"""Code-quality analytics on Spark: files, diffs and model answers to ranked findings and reports."""
+"""Source-quality analytics on Spark: files, diffs and model answers to ranked findings and reports."""
 
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.findings import cap_per_file, normalize_findings, severity_counts, sort_findings

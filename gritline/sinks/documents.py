@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import severity as sv
 from gritline.functions import text as tx
+from gritline.operators.skew import stage
 from gritline.sinks.rows import KEY_COLUMNS, given, report_key, sarif_results, sarif_rules
 from gritline.vocab import INFORMATION_URI, PRODUCT, PRODUCT_VERSION, SEVERITIES
 
@@ -85,8 +86,10 @@ def _open_object(fields: Column) -> Column:
 def json_parts(headers: DataFrame, findings: DataFrame, paths: DataFrame, errors: DataFrame) -> DataFrame:
     """JSON report parts: header and counts, then paths, errors and findings.
 
-    ``headers`` comes from :func:`gritline.plans.scans.scan_headers`.
+    ``headers`` comes from :func:`gritline.plans.scans.scan_headers`. It has one row per scan and
+    is written down once, so that its counts are not computed again for every section.
     """
+    headers = stage(headers)
     head = F.struct(
         "target", "model", "mode", "files_scanned", F.lit(0.0).alias("duration_s"),
         F.col("total").alias("total_findings"), F.struct(*SEVERITIES).alias("counts"),
@@ -138,6 +141,7 @@ def markdown_file_headers(findings: DataFrame) -> DataFrame:
 
 def markdown_parts(headers: DataFrame, findings: DataFrame) -> DataFrame:
     """Markdown report parts: header, severity table, findings under file headings."""
+    headers = stage(headers)
     label = F.coalesce(given("model"), F.lit("heuristics"))
     facts = F.concat(
         F.lit("**Mode:** "), F.col("mode"), F.lit(" · **Model:** `"), label, F.lit("` · **Files scanned:** "),
@@ -212,6 +216,7 @@ SARIF_TAIL = "]}]}"
 
 def sarif_parts(headers: DataFrame, findings: DataFrame) -> DataFrame:
     """SARIF report parts: envelope, rules in order of first appearance, results."""
+    headers = stage(headers)
     return _union(
         [
             _parts(headers, 0, F.lit(SARIF_HEAD)),
