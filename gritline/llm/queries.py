@@ -5,10 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritline.llm import bpe, exact, packing, token_counts
+import corpus_pipeline
+from gritline.llm import (
+    bpe,
+    exact,
+    packing,
+    passages,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+)
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -23,6 +35,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORDS)
     ids = bpe.encode(_read(spark, sf_dir, "documents"), path)
@@ -39,16 +55,57 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), SEQUENCE)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), 20)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.train(documents, _read(spark, sf_dir, "labels")))
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    found = pii.personal_data(documents, pii.train(documents))
+    base = F.filter("spans", lambda s: s.base)
+    counts = [_count(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
     return counts.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return quality.quality(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
+    "op9_passages": op9_passages,
+    "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -59,4 +116,18 @@ ORACLES: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op5_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
 }
