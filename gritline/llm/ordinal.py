@@ -17,6 +17,7 @@ from gritline.llm.pretokens import Known, pretokens, segments
 
 BUCKETS = 1 << 20
 SAMPLE = 3000
+REPEATED = BUCKETS - 1  # stands for a pair of tokens that its text had before
 
 
 def _features(words: list[bytes]) -> list[tuple[int, int]]:
@@ -34,8 +35,8 @@ def _features(words: list[bytes]) -> list[tuple[int, int]]:
             shape = "number" if text.isnumeric() else "mark"
         out.append(
             (
-                xxhash.xxh32_intdigest(text.lower().encode(), 1) % BUCKETS,
-                xxhash.xxh32_intdigest(f"{shape} {min(len(text), 12)}".encode(), 2) % BUCKETS,
+                xxhash.xxh32_intdigest(text.lower().encode(), 1) % REPEATED,
+                xxhash.xxh32_intdigest(f"{shape} {min(len(text), 12)}".encode(), 2) % REPEATED,
             )
         )
     return out
@@ -47,16 +48,24 @@ def _known() -> Known:
 
 
 def token_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all pre-tokens in a row, the text of each bucket, and the pre-tokens of each text."""
+    """Buckets of all texts, the text of each bucket, and the number of pre-tokens of each text."""
     parts, owner, special = segments(texts, ())
     pieces = pretokens(parts, special, glue_blank=False)
     if not len(pieces.codes):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     known = _known()
-    places = known.index(pieces.words, _features)
-    buckets, ends = gather(places[pieces.codes], known.starts, known.flat)
+    places = known.index(pieces.words, _features)[pieces.codes]
+    buckets, ends = gather(places, known.starts, known.flat)
     text = owner[pieces.segment]
-    return buckets, np.repeat(text, np.diff(ends)), np.bincount(text, minlength=len(texts))
+    # A third feature: whether the token and the one before it came together earlier in the text.
+    pairs = np.stack([text[1:], places[:-1], places[1:]], axis=1)[text[1:] == text[:-1]]
+    order = np.lexsort(pairs.T)
+    again = (pairs[order[1:]] == pairs[order[:-1]]).all(axis=1)
+    seen = np.bincount(pairs[order[1:]][again, 0], minlength=len(texts))
+    tokens = np.bincount(text, minlength=len(texts))
+    repeats = np.repeat(np.arange(len(texts)), seen)
+    buckets = np.concatenate([buckets, np.full(len(repeats), REPEATED, buckets.dtype)])
+    return buckets, np.concatenate([np.repeat(text, np.diff(ends)), repeats]), tokens
 
 
 @dataclass
@@ -91,46 +100,75 @@ def _dense(model: Model) -> np.ndarray:
     return found[1]
 
 
+def _loss(
+    parameters: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray,
+    weight: np.ndarray, n_grades: int, ridge: float,
+) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood and its gradient; parameters are weights, a threshold and log gaps."""
+    n, d = len(grades), len(parameters) - n_grades + 1
+    w, gap = parameters[:d], np.exp(parameters[d + 1 :])
+    bounds = np.concatenate([[-np.inf], parameters[d] + np.append(0, np.cumsum(gap)), [np.inf]])
+    score = np.bincount(rows, values * w[columns], n)
+    with np.errstate(over="ignore"):
+        low = 1 / (1 + np.exp(bounds[grades] - score))  # P(at least this grade)
+        high = 1 / (1 + np.exp(bounds[grades + 1] - score))  # P(above it)
+    chance = np.maximum(low - high, 1e-12)
+    slope_low, slope_high = low * (1 - low) / chance * weight, high * (1 - high) / chance * weight
+    by_score = slope_high - slope_low
+    by_bound = np.bincount(grades, slope_low, n_grades + 1) - np.bincount(grades + 1, slope_high, n_grades + 1)
+    by_threshold = by_bound[1:n_grades]
+    gradient = np.concatenate(
+        [
+            np.bincount(columns, values * by_score[rows], d) + ridge * w,
+            [by_threshold.sum()],
+            np.cumsum(by_threshold[::-1])[::-1][1:] * gap,
+        ]
+    )
+    return float(-(weight * np.log(chance)).sum() + ridge / 2 * (w @ w)), gradient
+
+
 def fit(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, share: np.ndarray,
-    n_grades: int, steps: int = 150, ridge: float = 1e-4, rate: float = 0.3,
+    n_grades: int, steps: int = 100, ridge: float = 1e-4, memory: int = 8,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds that maximise the penalised likelihood, by full-batch Adam.
+    """Weights and ordered thresholds of the largest penalised likelihood, by limited-memory BFGS.
 
     ``share`` weighs the rows. Thresholds are the first one and positive gaps, so they stay ordered
     while all of them share the weights.
     """
-    n, d = len(grades), int(columns.max(initial=-1)) + 1
-    cumulative = np.array([share[grades > k].sum() / share.sum() for k in range(n_grades - 1)])
-    start = -np.log(np.clip(cumulative, 1e-3, 1 - 1e-3) / np.clip(1 - cumulative, 1e-3, 1))
-    gaps = np.log(np.maximum(np.diff(start), 1e-2))
-    parameters = np.concatenate([np.zeros(d), start[:1], gaps])
-    mean, spread = np.zeros_like(parameters), np.zeros_like(parameters)
-    weight = share / share.sum()
-    for step in range(1, steps + 1):
-        w, first, gap = parameters[:d], parameters[d], np.exp(parameters[d + 1 :])
-        thresholds = first + np.append(0, np.cumsum(gap))
-        score = np.bincount(rows, values * w[columns], n)
-        bounds = np.concatenate([[-60.0], thresholds, [60.0]])
-        low = 1 / (1 + np.exp(np.clip(score - bounds[grades], -60, 60)))
-        high = 1 / (1 + np.exp(np.clip(score - bounds[grades + 1], -60, 60)))
-        chance = np.maximum(high - low, 1e-12)
-        slope_low, slope_high = low * (1 - low) / chance * weight, high * (1 - high) / chance * weight
-        by_score = slope_high - slope_low  # of the negative log likelihood
-        by_bound = np.bincount(grades + 1, -slope_high, n_grades + 1) + np.bincount(grades, slope_low, n_grades + 1)
-        by_threshold = by_bound[1:n_grades]
-        gradient = np.concatenate(
-            [
-                np.bincount(columns, values * by_score[rows], d) + ridge * w,
-                [by_threshold.sum()],
-                np.cumsum(by_threshold[::-1])[::-1][1:] * gap,
-            ]
-        )
-        mean = 0.9 * mean + 0.1 * gradient
-        spread = 0.99 * spread + 0.01 * gradient**2
-        pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        parameters = parameters - pace * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-    return parameters[:d], parameters[d] + np.append(0, np.cumsum(np.exp(parameters[d + 1 :])))
+    d, weight = int(columns.max(initial=-1)) + 1, share / share.sum()
+    above = np.clip([weight[grades > k].sum() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
+    start = np.log((1 - above) / above)
+    now = np.concatenate([np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    loss, slope = _loss(now, rows, columns, values, grades, weight, n_grades, ridge)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        step, kept = -slope, []
+        for moved, turned in reversed(moves):
+            part = (moved @ step) / (turned @ moved)
+            kept.append(part)
+            step = step - part * turned
+        if moves:
+            moved, turned = moves[-1]
+            step = step * ((moved @ turned) / (turned @ turned))
+        for (moved, turned), part in zip(moves, reversed(kept)):
+            step = step + (part - (turned @ step) / (turned @ moved)) * moved
+        descent, pace = float(slope @ step), 1.0 if moves else min(1.0, 1 / np.abs(slope).sum())
+        while pace > 1e-8:
+            then = now + pace * step
+            new_loss, new_slope = _loss(then, rows, columns, values, grades, weight, n_grades, ridge)
+            if new_loss <= loss + 1e-4 * pace * descent:
+                break
+            pace /= 2
+        else:
+            break
+        moved, turned, fell = then - now, new_slope - slope, loss - new_loss
+        now, loss, slope = then, new_loss, new_slope
+        if moved @ turned > 1e-12:
+            moves = [*moves[1 - memory :], (moved, turned)]
+        if fell < 1e-7 * max(1.0, abs(loss)):
+            break
+    return now[:d], now[d] + np.append(0, np.cumsum(np.exp(now[d + 1 :])))
 
 
 @dataclass
@@ -191,8 +229,8 @@ def sample(df: DataFrame, graded: DataFrame, per_grade: int, id_col: str = "doc_
     )
 
 
-def train(data: Sample, n_grades: int, power: float, least_rows: int = 5, ridge: float = 1e-4) -> Model:
-    """Fit a model on a sample; buckets in fewer than ``least_rows`` rows have no weight.
+def train(data: Sample, n_grades: int, power: float, least: float = 0.005, ridge: float = 1e-3) -> Model:
+    """Fit a model on a sample; buckets in less than the share ``least`` of its rows have no weight.
 
     If the sample has a single grade, the model gives that grade to all rows; if it is empty, the
     highest one.
@@ -202,13 +240,12 @@ def train(data: Sample, n_grades: int, power: float, least_rows: int = 5, ridge:
         only = int(data.grades[0]) if len(data.grades) else n_grades - 1
         sure = np.array([-40.0 if k < only else 40.0 for k in range(n_grades - 1)])
         return Model(empty, empty.astype(np.float32), sure, power)
-    often = np.bincount(data.columns, minlength=BUCKETS) >= least_rows
+    often = np.bincount(data.columns, minlength=BUCKETS) >= max(3, least * len(data.grades))
     keep = often[data.columns]
     used, columns = np.unique(data.columns[keep], return_inverse=True)
     rows = data.rows[keep]
     values = data.counts[keep] / np.maximum(data.tokens[rows], 1) ** power
-    # Scaled to unit mean square, so that one rate suits all buckets.
-    scale = np.sqrt(np.bincount(columns, values**2) / len(data.grades)) + 1e-9
+    scale = np.sqrt(np.bincount(columns, values**2) / len(data.grades))  # so that one penalty suits all buckets
     weights, thresholds = fit(rows, columns, values / scale[columns], data.grades, data.share, n_grades, ridge=ridge)
     return Model(used, (weights / scale).astype(np.float32), thresholds, power)
 
