@@ -186,12 +186,12 @@ class Sample:
 def sample(df: DataFrame, graded: DataFrame, per_grade: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """Features of at most ``per_grade`` rows of each grade, the first in the order of a hash of the id.
 
-    ``graded`` has ``id`` and ``grade``; null grades and ids without a document are left out. A row's
-    weight makes up for the rows of its grade that aren't in the sample.
+    ``graded`` has ``id`` and ``grade``; null grades and ids without a document are left out. All
+    grades weigh the same, however many rows they have.
     """
-    sizes = {r["grade"]: r["count"] for r in graded.where("grade IS NOT NULL").groupBy("grade").count().collect()}
+    present = [r["grade"] for r in graded.where("grade IS NOT NULL").select("grade").distinct().collect()]
     chosen = [
-        graded.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(per_grade) for g in sorted(sizes)
+        graded.where(F.col("grade") == g).orderBy(F.xxhash64("id"), "id").limit(per_grade) for g in sorted(present)
     ]
     empty = np.zeros(0, np.int64)
     if not chosen:
@@ -217,20 +217,37 @@ def sample(df: DataFrame, graded: DataFrame, per_grade: int, id_col: str = "doc_
     lists = found["buckets"].combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     grades = found["grade"].to_numpy().astype(np.int64)
-    present = np.bincount(grades, minlength=1 + max(sizes))
-    share = np.array([sizes[g] / present[g] for g in grades.tolist()]) if len(grades) else np.zeros(0)
     return Sample(
         np.repeat(np.arange(len(lengths)), lengths),
         lists.flatten().to_numpy().astype(np.int64),
         found["counts"].combine_chunks().flatten().to_numpy().astype(np.float64),
         found["tokens"].to_numpy(),
         grades,
-        share,
+        1 / np.maximum(np.bincount(grades), 1)[grades],
     )
 
 
-def train(data: Sample, n_grades: int, power: float, least: float = 0.005, ridge: float = 1e-3) -> Model:
-    """Fit a model on a sample; buckets in less than the share ``least`` of its rows have no weight.
+def _telling(data: Sample, n_grades: int, errors: float) -> np.ndarray:
+    """Buckets whose share of rows differs between the grades above and below some threshold."""
+    found = np.bincount(data.columns, minlength=BUCKETS)
+    chosen = np.zeros(BUCKETS, bool)
+    for k in range(n_grades - 1):
+        above = data.grades > k
+        n, m = len(above), int(above.sum())
+        if 0 < m < n:
+            with_it = np.bincount(data.columns[above[data.rows]], minlength=BUCKETS)
+            spread = found / n * (1 - found / n) * (1 / m + 1 / (n - m)) + 1e-12
+            chosen |= np.abs(with_it / m - (found - with_it) / (n - m)) >= errors * np.sqrt(spread)
+    # A bucket in every row, such as a shape, may still differ in how often it comes.
+    return chosen | (found > 0.5 * len(data.grades))
+
+
+def train(data: Sample, n_grades: int, power: float, telling: float, ridge: float = 1e-3) -> Model:
+    """Fit a model on a sample; only buckets that tell grades apart have a weight.
+
+    A bucket does if, for some threshold, its share among the rows above and its share among the
+    others are at least ``telling`` standard errors apart. Most words of a corpus are rare and say
+    nothing; with a weight for each, the fit would learn its sample by heart.
 
     If the sample has a single grade, the model gives that grade to all rows; if it is empty, the
     highest one.
@@ -240,8 +257,7 @@ def train(data: Sample, n_grades: int, power: float, least: float = 0.005, ridge
         only = int(data.grades[0]) if len(data.grades) else n_grades - 1
         sure = np.array([-40.0 if k < only else 40.0 for k in range(n_grades - 1)])
         return Model(empty, empty.astype(np.float32), sure, power)
-    often = np.bincount(data.columns, minlength=BUCKETS) >= max(3, least * len(data.grades))
-    keep = often[data.columns]
+    keep = _telling(data, n_grades, telling)[data.columns]
     used, columns = np.unique(data.columns[keep], return_inverse=True)
     rows = data.rows[keep]
     values = data.counts[keep] / np.maximum(data.tokens[rows], 1) ** power

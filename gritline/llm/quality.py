@@ -26,7 +26,7 @@ def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) ->
 
     Without any label the model rates all documents as sound, so that none is rejected.
     """
-    return ordinal.train(ordinal.sample(df, ratings(labels), per_grade), GRADES, power=1.0)
+    return ordinal.train(ordinal.sample(df, ratings(labels), per_grade), GRADES, power=0.75, telling=8.0)
 
 
 def quality(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from gritline.llm import ordinal
 
 GRADES = 3  # none, mild, severe
+TOXIC_FROM = 0.5
+FITTED = {"power": 0.25, "telling": 5.0}
 
 
 def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) -> ordinal.Model:
@@ -20,12 +22,13 @@ def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) ->
     """
     graded = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("grade"))
     data = ordinal.sample(df, graded.where("grade IN (0, 1)"), per_grade)
-    first = ordinal.train(data, 2, power=0.5)
+    first = ordinal.train(data, 2, **FITTED)
     score = ordinal.sample_scores(first, data)
     toxic = data.grades == 1
     if toxic.any() and not toxic.all():
         data.grades = data.grades + (toxic & (score > np.median(score[toxic])))
-    return ordinal.train(data, GRADES, power=0.5)
+        data.share = 1 / np.maximum(np.bincount(data.grades), 1)[data.grades]
+    return ordinal.train(data, GRADES, **FITTED)
 
 
 def severity(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,5 +43,5 @@ def severity(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_c
         ordinal.expected(F.col("tails")).alias("severity"),
         F.col("tails")[0].alias("p_toxic"),
         F.col("tails")[1].alias("p_severe"),
-        (F.col("tails")[0] >= 0.5).alias("toxic"),
+        (F.col("tails")[0] >= TOXIC_FROM).alias("toxic"),
     )
