@@ -42,8 +42,9 @@ def ambiguous_chunks(df: DataFrame, repeated: DataFrame, id_col: str, text_col:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("t"))
+    again = repeated.select(F.col("id").alias("of")).distinct()
     chunks = (
-        rows.join(repeated.select("id").distinct(), "id", "left_semi")
+        rows.join(again, F.col("id").eqNullSafe(F.col("of")), "left_semi")
         .select(F.explode(chunks_of(F.col("t"))).alias("chunk"))
         .select(chunk_hash(F.col("chunk"), bits).alias("h"), "chunk")
         .distinct()
@@ -60,12 +61,15 @@ def refine(df: DataFrame, known: DataFrame, clashes: DataFrame, id_col: str, tex
     """
     hashes = clashes.select("h").distinct()
     touched = (
-        known.select("id", F.explode(F.array_distinct("recipe")).alias("h")).join(hashes, "h", "left_semi")
-    ).select("id").distinct()
+        known.select(F.col("id").alias("of"), F.explode(F.array_distinct("recipe")).alias("h"))
+        .join(hashes, "h", "left_semi")
+        .select("of")
+        .distinct()
+    )
     text = F.coalesce(F.col(text_col), F.lit(""))
     marks = (
         df.select(F.col(id_col).cast("bigint").alias("id"), F.sha2(text, 256).alias("text_sha256"), text.alias("t"))
-        .join(touched, "id", "left_semi")
+        .join(touched, F.col("id").eqNullSafe(F.col("of")), "left_semi")
         .select("id", "text_sha256", F.posexplode(chunks_of(F.col("t"))).alias("k", "chunk"))
         .withColumn("h", chunk_hash(F.col("chunk"), bits))
         .join(clashes, ["h", "chunk"])
@@ -107,12 +111,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         refined = stage(refine(df, known, clashes, id_col, text_col, bits))
     refined = refined.withColumn("key", F.xxhash64("recipe", "marks"))
-    groups = (
+    groups = stage(
         refined.groupBy("key", "recipe", "marks")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
-    # A key with a third of all rows is split by the skew join: no step above needs its rows together.
+    # Both sides are tables, so that a key with a third of all rows is split by the skew join.
     a, b = refined.alias("a"), groups.alias("b")
     same = (
         (F.col("a.key") == F.col("b.key"))
