@@ -126,16 +126,16 @@ def dual_search(
 
 def plain_search(
     queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int
-) -> tuple[list[list[int]], np.ndarray]:
-    """The same in whole numbers of any size, for tiles whose products floats can't hold."""
-    scores, ids = [], np.full((len(queries), k), np.iinfo(np.int64).max)
-    for n, (query, own) in enumerate(zip(queries.tolist(), query_ids.tolist())):
-        ranked = sorted(
-            (-sum(a * b for a, b in zip(query, row)), i) for row, i in zip(rows.tolist(), row_ids.tolist()) if i != own
-        )[:k]
-        scores.append([-s for s, _ in ranked])
-        ids[n, : len(ranked)] = [i for _, i in ranked]
-    return scores, ids
+) -> list[tuple[int, int, int]]:
+    """(query, row, score) of the best ``k`` rows, in whole numbers of any size, for tiles whose
+    products floats can't hold. Scores are cut to the limits of a long before they are ranked."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    out = []
+    for query, own in zip(queries.tolist(), query_ids.tolist()):
+        scored = ((min(max(sum(a * b for a, b in zip(query, row)), low), high), i) for row, i in zip(rows.tolist(), row_ids.tolist()))
+        ranked = sorted((-s, i) for s, i in scored if i != own)[:k]
+        out += [(own, i, -s) for s, i in ranked]
+    return out
 
 
 def _distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +160,8 @@ def search_tile(table: pa.Table, k: int) -> pa.Table:
             row, col = np.nonzero(np.isfinite(scores))
             out_q, out_i, out_s = qi[row], found[row, col], scores[row, col].astype(np.int64)
         else:
-            lists, found = plain_search(q, qi, r, ri, k)
-            low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-            for n, one in enumerate(lists):
-                out_q += [qi[n]] * len(one)
-                out_i += found[n, : len(one)].tolist()
-                out_s += [min(max(s, low), high) for s in one]
+            found = plain_search(q, qi, r, ri, k)
+            out_q, out_i, out_s = zip(*found) if found else ([], [], [])
     columns = [pa.array(np.asarray(x, np.int64)) for x in (out_q, out_i, out_s)]
     return pa.table(columns, names=["query_id", "vec_id", "score"])
 
@@ -180,7 +176,7 @@ def top_k(
     score is the inner product, and ties go to the smaller id. Vectors that are null or hold null
     or non-finite components, and rows with a null id, take no part. Rows that repeat an id count
     once, the one with the smaller vector. Only vectors of equal length are compared. Scores
-    beyond 64 bits are cut to the limits of a long; components beyond them are, too.
+    beyond 64 bits are cut to the limits of a long before they are ranked; components are, too.
 
     Queries and rows are dealt into tiles of bounded size by a hash of the id, so equal vectors
     spread. Each pair of a query tile and a row tile is one dual-tree search; all pairs are
