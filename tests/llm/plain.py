@@ -59,9 +59,8 @@ def passages(texts: dict[int, str], least: int) -> set[tuple]:
                     spans[-1][1:] = [i + least, min(spans[-1][2], *ids), spans[-1][3] and min(ids) == k]
                 else:
                     spans.append([i, i + least, min(ids), min(ids) == k])
-        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[k])]
         for n, (a, b, first, is_first) in enumerate(spans, 1):
-            out.add((k, n, a, b - a, places[a][0], places[b - 1][1], first, is_first))
+            out.add((k, n, a, b - a, first, is_first))
     return out
 
 

@@ -178,16 +178,23 @@ def test_passages(documents):
         texts.append(pick.choice([" ", "\n", "  ", "\té "]).join(w))
     texts += ["", None, " ", texts[0], texts[0].upper(), "again " * 200]
     rows = document_rows(texts)
-    got = passages.repeated_passages(documents([*rows, rows[7], (None, texts[0], "en", "s", 0)], extra=True)).collect()
+    df = documents([*rows, rows[7], (None, texts[0], "en", "s", 0)], extra=True)
+    found = passages.repeated_passages(df)
+    got = found.collect()
     assert {tuple(r) for r in got} == plain.passages({k: t or "" for k, t, *_ in rows}, 50)
     assert len(got) == len(set(got)) and passages.repeated_passages(documents([])).count() == 0
+    sizes = {(r["doc_id"], r["passage"]): r["n_words"] for r in got}
+    for r in passages.passage_texts(documents(rows), found).collect():
+        assert len(plain.words(r["text"])) == sizes.pop((r["doc_id"], r["passage"]))
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["text"] == r["text"].strip()
+    assert not sizes
 
 
 def test_neighbours_across_batches(spark):
     """Rows with an equal neighbour stay, wherever batches and partitions end."""
     pick = random.Random(2)
     keys = [pick.randrange(400) for _ in range(600)]
-    df = spark.createDataFrame([(k, 0, key) for k, key in enumerate(keys)], "id long, pos int, key long")
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, key long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         found = passages.neighbours(df.repartitionByRange(5, "key").sortWithinPartitions("key", "id")).collect()
