@@ -20,6 +20,7 @@ KEY = 16  # words of a suffix that are compared first
 GRAM = 5  # words that select a position
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+SLICE = 2 << 20  # bytes of text at a time; the arrays take some thirty times that
 SLOTS = 64  # more than the windows that can select one position
 
 
@@ -121,7 +122,7 @@ def suffixes(df: DataFrame, least: int, key: int, gram: int, id_col: str, text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, limit=SLICE):
             words = words_of([t.encode() for t in part.column(1).to_pylist()])
             runs = runs_of(words, least, key, gram)
             text = np.searchsorted(words.first, runs.start, "right") - 1
@@ -196,7 +197,7 @@ def windows(df: DataFrame, probes: DataFrame, least: int, id_col: str, text_col:
     wanted = probes.groupBy(F.col("lo").alias("id")).agg(F.collect_list(F.struct("at", "run", "hi")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, limit=1 << 20):
+        for part in sliced(batches, limit=SLICE // 2):
             words = words_of(_contents(part.column("data")))
             lists = part.column("runs")
             text = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -285,7 +286,7 @@ def passage_texts(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     wanted = found.groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.struct("passage", "word", "n_words")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, limit=1 << 20):
+        for part in sliced(batches, limit=SLICE // 2):
             contents = _contents(part.column("data"))
             words = words_of(contents)
             rows = []
