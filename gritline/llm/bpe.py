@@ -15,6 +15,8 @@ from gritline.llm.batches import gather, list_array, map_text, offsets_of
 from gritline.llm.pretokens import Known, pretokens, segments
 from gritline.llm.vocabulary import NO_PARENT, Vocabulary, byte_letters, load, read
 
+KNOWN_PAIRS = 300_000
+
 
 def normal(text: str) -> str:
     """NFC and lower case, character by character (a sigma has one lower case)."""
@@ -75,6 +77,8 @@ class TrieEncoder:
                 for x, x_until in self._spine(left, 1)
                 for y, y_until in rights
             )
+            if len(self.apart) >= KNOWN_PAIRS:
+                self.apart.clear()
             self.apart[left, right] = known
         return known
 

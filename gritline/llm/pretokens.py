@@ -170,11 +170,11 @@ def _contractions(raw: np.ndarray, kind: np.ndarray, opens: np.ndarray, start: n
 class Known:
     """What is known of distinct words: a list of numbers for each, kept from slice to slice.
 
-    Words and numbers are flat arrays, so that a million of them take some tens of megabytes;
+    Words and numbers are flat arrays, so that some hundred thousand take tens of megabytes;
     beyond ``limit`` words it starts anew.
     """
 
-    def __init__(self, seeds: dict[bytes, tuple[int, ...]], limit: int = 1_000_000):
+    def __init__(self, seeds: dict[bytes, tuple[int, ...]], limit: int = 600_000):
         self.seeds, self.limit = seeds, limit
         self._reset()
 
