@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gritline.vocab import EXTENSION_LANGUAGE, SKIP_DIRS
 
@@ -29,22 +31,37 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _glob_set(members: str, negated: bool) -> str:
+    """Character class of a bracket's members; a range that runs backwards has none."""
+    parts = []
+    for part in re.findall(r"(?s).-.|.", members):
+        if len(part) == 3:
+            if part[0] <= part[2]:
+                parts.append(f"{_literal(part[0])}-{_literal(part[2])}")
+        else:
+            parts.append(_literal(part))
+    if not parts:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(parts)}]"
+
+
+def _literal(char: str) -> str:
+    return char if char.isalnum() or char in "_/ " or not char.isascii() else "\\" + char
+
+
 def glob_regex(glob: str) -> str:
-    """Anchored regex of a shell glob; ``*`` and ``?`` also match a slash."""
-    out, rest = [], glob
-    while rest:
-        head, rest = rest[0], rest[1:]
-        if head == "*":
+    """Anchored regex of a shell glob; ``*`` and ``?`` also match a slash, a lone bracket itself."""
+    out = []
+    for token in re.findall(r"(?s)\[!?\]?[^\]]*\]|.", glob):
+        if token == "*":
             out.append(".*")
-        elif head == "?":
+        elif token == "?":
             out.append(".")
-        elif head == "[" and (closing := re.match(r"(!?)(\]?[^\]]*)\]", rest)):
-            negated, members = closing.groups()
-            members = re.sub(r"([\\\[\]&^~|])", r"\\\1", members)
-            out.append(f"[{'^' if negated else ''}{members}]")
-            rest = rest[closing.end():]
+        elif len(token) > 1:
+            negated = token[1] == "!"
+            out.append(_glob_set(token[1 + negated : -1], negated))
         else:
-            out.append(re.sub(r"([^\w\s/])", r"\\\1", head) if head.isascii() else head)
+            out.append(_literal(token))
     return f"(?s)^(?:{''.join(out)})\\z"
 
 
@@ -57,27 +74,13 @@ def matches_any(path: Column, globs: Sequence[str]) -> Column:
     return hit
 
 
-def _one_glob(glob: Column) -> Column:
-    steps = [
-        (r"([\\.{}()+^$|&~])", r"\\$1"),  # literal characters
-        (r"\[!", "[^"),  # negated set
-        (r"\[(\^?)\]", r"[$1\\]"),  # a set that starts with ]
-        (r"\[(?![^\]\\]*(?:\\.[^\]\\]*)*\])", r"\\["),  # a bracket that is never closed
-        (r"\*(?![^\[]*\])", ".*"),
-        (r"\?(?![^\[]*\])", "."),
-    ]
-    for pattern, replacement in steps:
-        glob = F.regexp_replace(glob, pattern, replacement)
-    return glob
-
-
-def globs_regex(globs: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def globs_regex(globs: pd.Series) -> pd.Series:
     """One regex for an array of globs, null for a null or empty array.
 
     Compute it once per policy row, before the policy meets the files.
     """
-    body = F.array_join(F.transform(globs, _one_glob), "|")
-    return F.when(F.size(globs) > 0, F.concat(F.lit("(?s)^(?:"), body, F.lit(")\\z")))
+    return globs.map(lambda gs: "|".join(glob_regex(g) for g in gs if g is not None) if gs is not None and len(gs) else None)
 
 
 def matches_regex(path: Column, regex: Column) -> Column:

@@ -74,6 +74,21 @@ def as_whole(value: Column) -> Column:
     return F.coalesce(number, boolean, text)
 
 
+def bounded(number: Column, limit: float) -> Column:
+    """A double within plus and minus ``limit``, null for not-a-number, so that it can be cast."""
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(-limit), F.least(number, F.lit(limit))))
+
+
+def line_number(value: Column) -> Column:
+    """Whole number of a line field as an int; numbers beyond are cut to the limits."""
+    return bounded(as_whole(value), float((1 << 31) - 1)).cast("int")
+
+
+def is_endless(value: Column) -> Column:
+    """True for an infinite number."""
+    return F.coalesce(F.abs(as_double(value)) == float("inf"), F.lit(False)) & is_number(value)
+
+
 def confidence(value: Column) -> Column:
     """0.85 when missing; junk and explicit null give 0.5; the rest is clamped."""
     number = F.when(is_number(value), as_double(value))

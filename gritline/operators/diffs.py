@@ -29,7 +29,10 @@ def _target(piece: Column) -> Column:
 def _hunk_start(hunk: Column) -> Column:
     """New-file start line of a hunk header, 0 when it cannot be read."""
     found = F.nullif(F.regexp_extract(_first_line(hunk), HUNK, 1), F.lit(""))
-    return F.coalesce(found.try_cast("bigint"), F.lit(0).cast("bigint"))
+    # Far below the end of the numbers, so that adding positions can't overflow.
+    far = F.lit(1 << 60)
+    start = F.least(F.coalesce(found.try_cast("bigint"), far), far)
+    return F.when(found.isNotNull(), start).otherwise(F.lit(0).cast("bigint"))
 
 
 def _advancing(hunk: Column) -> Column:
@@ -77,7 +80,8 @@ def changed_lines(diffs: DataFrame, text: str = "diff_text") -> DataFrame:
     every line that counts moves the cursor by one, so the number of a line is the
     hunk's start plus its position among those lines. Only a piece that adds lines
     before its first hunk header needs the cursor the piece before has left; diffs with
-    such a piece get a running cursor over their pieces.
+    such a piece get a running cursor over their pieces. Lines beyond the numbers that a
+    file can have are left out. A diff is parsed in one row, so it is one unit of work.
     """
     keys = [c for c in diffs.columns if c != text]
     # The leading newline lets a header on the first line be seen as one.
@@ -106,9 +110,9 @@ def changed_lines(diffs: DataFrame, text: str = "diff_text") -> DataFrame:
     return lines.where(F.col("_line").startswith("+")).select(
         *keys,
         "path",
-        (F.col("_start") + F.col("_i")).cast("int").alias("line_no"),
+        (F.col("_start") + F.col("_i")).try_cast("int").alias("line_no"),
         F.substring("_line", 2, _ALL).alias("text"),
-    )
+    ).where(F.col("line_no").isNotNull())
 
 
 def parse_diffs(diffs: DataFrame, text: str = "diff_text") -> DataFrame:

@@ -12,8 +12,8 @@ from gritline.vocab import ERRORS_SHOWN, MAX_FINDINGS_PER_FILE, SEVERITIES, SEVE
 
 def normalize_findings(raw: DataFrame) -> DataFrame:
     """Bring loose findings into the closed vocabulary and valid ranges."""
-    line = F.greatest(F.lit(1), F.coalesce(F.col("line").cast("int"), F.lit(1)))
-    end_line = F.greatest(F.col("line"), F.coalesce(F.col("end_line").cast("int"), F.col("line")))
+    line = F.greatest(F.lit(1), F.coalesce(F.col("line").try_cast("int"), F.lit(1)))
+    end_line = F.greatest(F.col("line"), F.coalesce(F.col("end_line").try_cast("int"), F.col("line")))
     return (
         raw.withColumns(
             {

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritline.functions import text as tx
-from gritline.vocab import MAX_BYTES
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -27,33 +26,13 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def fold_lines(
-    lines: DataFrame, key: list[str], text: Column | None = None, sep: str = "\n", max_bytes: int = MAX_BYTES
-) -> DataFrame:
+def fold_lines(lines: DataFrame, key: list[str], text: Column | None = None, sep: str = "\n") -> DataFrame:
     """Lines back to one ``content`` per key, in ``line_no`` order.
 
-    Files over ``max_bytes`` are dropped, as the size filter does. Lines that start too far
-    beyond the limit are not collected: the last line kept already proves that the file is
-    too large. So a group never holds more than ``max_bytes`` and one line, and
-    because every line takes a separator, most of a huge file is gone before the shuffle.
+    A file's text is one value by nature, so its lines meet in one task whatever their number.
     """
     text = F.col("text") if text is None else text
-    gap = len(sep)
-    in_file = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    sized = (
-        lines.where((F.col("line_no") - 1) * gap <= max_bytes + gap)
-        .select(*key, "line_no", text.alias("text"))
-        .withColumn("_start", F.coalesce(F.sum(F.octet_length("text") + gap).over(in_file), F.lit(0)))
-    )
-    folded = (
-        sized.where(F.col("_start") <= max_bytes + gap)
-        .groupBy(*key)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"),
-            F.max(F.col("_start") + F.octet_length("text")).alias("_bytes"),
-        )
-        .where(F.col("_bytes") <= max_bytes)
-    )
+    folded = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_lines"))
     return folded.select(*key, F.array_join(F.col("_lines.text"), sep).alias("content"))
 
 

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritline.functions import text as tx
-from gritline.operators.skew import salted_join
 from gritline.schemas import FINDING_COLUMNS
 from gritline.vocab import PRODUCT
 
@@ -30,8 +29,9 @@ _S = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 SCRIPT = ("javascript", "typescript")
 
-# emit_seq = line * RULES_PER_LINE + rule index; syntax findings come after all lines.
-RULES_PER_LINE = 1024
+# emit_seq = line * INTS + rule number; both are below 2**31, so no two of them meet.
+INTS = 1 << 31
+RULES_PER_PASS = 40
 
 
 @dataclass(frozen=True)
@@ -144,8 +144,6 @@ LINE_RULES: tuple[LineRule, ...] = (
     ),
 )
 
-RULE_TABLE_LIMIT = 500
-
 
 def _java(pattern: str) -> str:
     """Case-insensitive patterns fold all letters, not only ASCII ones."""
@@ -168,7 +166,7 @@ def rule_matches(rule: LineRule, text: Column, language: Column, folded: Column,
     """
     tests: list[Column] = []
     if rule.languages is not None:
-        tests.append(language.isin(*rule.languages))
+        tests.append(language.isin(*rule.languages) if rule.languages else F.lit(False))
     if rule.needles:
         tests.append(_contains_any(text, rule.needles))
     if rule.folded:
@@ -195,7 +193,7 @@ def line_hits(lines: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> DataF
     """
     columns = [F.col(c) for c in ("text", "language", "_folded", "_wide")]
     marks = [F.when(rule_matches(r, *columns), F.lit(i)).otherwise(F.lit(-1)) for i, r in enumerate(rules)]
-    marked = with_folded(lines).select(*lines.columns, F.array(*marks).alias("_marks"))
+    marked = with_folded(lines).select(*lines.columns, F.array(*marks).cast("array<int>").alias("_marks"))
     return marked.select(*lines.columns, F.explode(F.array_remove("_marks", -1)).alias("rule_idx"))
 
 
@@ -233,7 +231,7 @@ def hit_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
                 "end_line": F.col("line_no").cast("int"),
                 "source": F.lit("heuristic"),
                 "code": tx.snippet(F.col("text")),
-                "emit_seq": F.col("line_no").cast("bigint") * RULES_PER_LINE + F.col("rule_idx"),
+                "emit_seq": F.col("line_no").cast("bigint") * INTS + F.col("rule_idx"),
             }
         )
         .select(*FINDING_COLUMNS)
@@ -245,44 +243,36 @@ def line_findings(lines: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> D
     return hit_findings(line_hits(lines, rules), F.broadcast(rule_table(lines.sparkSession, rules)))
 
 
-def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits of user rules kept in a table (columns as in :func:`rule_table`).
+def user_rules(rules: DataFrame) -> list[tuple[int, LineRule]]:
+    """Number and rule of every row of a rule table (columns as in :func:`rule_table`), in order.
 
-    A table of ordinary size is read once and unrolled into :func:`line_hits`. A larger
-    one is joined on the language, with the pattern as a column; a rule without
-    languages joins on a language of its own.
+    Rules are written by people, so their list has the size of a program, not of the data.
     """
-    head = rules.limit(RULE_TABLE_LIMIT + 1).collect()
-    if len(head) <= RULE_TABLE_LIMIT:
-        head = sorted(head, key=lambda r: r["rule_idx"])
-        parsed = [
+    rows = sorted(rules.toLocalIterator(), key=lambda r: r["rule_idx"])
+    return [
+        (
+            r["rule_idx"],
             LineRule(
                 r["pattern"], r["severity"], r["category"], r["title"], r["description"], r["suggestion"],
-                r["confidence"], tuple(r["languages"]) if r["languages"] is not None else None,
+                r["confidence"], None if r["languages"] is None else tuple(r["languages"]),
                 value_group=r["value_group"] or 0,
-            )
-            for r in head
-        ]
-        index = F.array(*[F.lit(r["rule_idx"]) for r in head])
-        hits = line_hits(lines, parsed)
-        return hits.withColumn("rule_idx", F.get(index, F.col("rule_idx")))
-    return joined_rule_hits(lines, rules)
-
-
-def joined_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits of a rule table of any size: salted equi join on language, then the pattern."""
-    scoped = rules.select(
-        "rule_idx",
-        F.when(F.col("pattern").startswith("(?i)"), F.concat(F.lit("(?iu)"), F.substring("pattern", 5, 1 << 30)))
-        .otherwise(F.col("pattern")).alias("pattern"),
-        F.col("value_group"),
-        F.explode(F.coalesce("languages", F.array(F.lit("*")))).alias("_scope"),
-    )
-    scopes = F.array_distinct(F.array(F.lit("*"), F.coalesce("language", F.lit("*"))))
-    value = F.call_function("regexp_extract", F.col("text"), F.col("pattern"), F.col("value_group"))
-    return (
-        salted_join(lines.withColumn("_scope", F.explode(scopes)), scoped, ["_scope"], ["path", "line_no"], salts=64)
-        .where(F.regexp_like("text", F.col("pattern")))
-        .where((F.col("value_group") == 0) | ~looks_like_placeholder(value))
-        .drop("_scope", "pattern", "value_group")
-    )
+            ),
+        )
+        for r in rows
+    ]
+
+
+def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hits of user rules kept in a table.
+
+    Patterns become literals, a fixed number of rules to a pass over the lines, so that a task
+    compiles each once and no line is paired with rules. A null ``value_group`` is none.
+    """
+    known = user_rules(rules)
+    passes = []
+    for start in range(0, max(1, len(known)), RULES_PER_PASS):
+        part = known[start : start + RULES_PER_PASS]
+        index = F.array(*[F.lit(number) for number, _ in part]).cast("array<int>")
+        hits = line_hits(lines, [rule for _, rule in part])
+        passes.append(hits.withColumn("rule_idx", F.get(index, F.col("rule_idx"))))
+    return reduce(DataFrame.unionByName, passes)

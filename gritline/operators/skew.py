@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -11,32 +10,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder below the cluster's ``spark.checkpoint.dir``, or below the warehouse if there is none.
 
-    A temporary folder of this machine is used only in local mode.
+    All executors share either of them.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="gritline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
     return f"{root.rstrip('/')}/gritline-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rebalance a scan that comes in fewer tasks than the cluster can run at a time.
-
-    For narrow rows that are about to grow or to cost much time each. A scan with
-    enough tasks stays as it is, without a shuffle.
-    """
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
+    """Deal narrow rows that are about to grow, or to cost much time each, over all tasks."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
@@ -56,19 +43,6 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the groups that hold more than ``rows`` rows.
-
-    A mergeable heavy-hitter sketch: one pass over the group columns, no shuffle,
-    at most 100 numbers returned. It only chooses between two exact ways of doing
-    the same work, so an estimate is enough.
-    """
-    sketch = df.select(F.xxhash64(*group).alias("h")).select(
-        F.expr("approx_top_k(h, 100, 10000)").alias("top")
-    )
-    return sorted(x["item"] for x in sketch.first()["top"] if x["count"] > rows)
-
-
 def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """1-based position of every row in its group, without one task per group.
 
@@ -95,19 +69,6 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     return joined.withColumn(name, position).select(*df.columns, name)
 
 
-def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, hot: Sequence[int] = ()
-) -> DataFrame:
-    """Row numbers per group: a plain window, and range partitions for hot groups."""
-    window = Window.partitionBy(*group).orderBy(*order)
-    numbered = F.row_number().over(window).cast("bigint")
-    if not hot:
-        return df.withColumn(name, numbered)
-    is_hot = F.xxhash64(*group).isin(list(hot))
-    cold = df.where(~is_hot).withColumn(name, numbered)
-    return cold.unionByName(position_in_group(df.where(is_hot), group, order, name))
-
-
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], salt: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:

@@ -16,8 +16,9 @@ from gritline.schemas import FINDING_COLUMNS, SYNTAX_FACTS
 from gritline.vocab import LONG_FUNCTION_LINES, SNIPPET_CHARS
 
 # Syntax findings are emitted after all line findings of a file.
-SYNTAX_EMIT_BASE = 1 << 50
-FINDINGS_PER_NODE = 1 << 16
+SYNTAX_EMIT_BASE = 1 << 62
+FINDINGS_PER_NODE = 1 << 31
+FACTS_PER_BATCH = 5000
 
 # --- fixed values: severity, category, title, description, suggestion, confidence -----
 BARE_EXCEPT = (
@@ -98,17 +99,26 @@ _ARROW_SCHEMA = to_arrow_schema(SYNTAX_FACTS)
 _CHILD_COLUMNS = ("role", "kind", "line", "code")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_ARROW_SCHEMA)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, field.type) for values, field in zip(columns, _ARROW_SCHEMA)], schema=_ARROW_SCHEMA
+    )
+
+
 def _facts_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts in batches of bounded size, one file's text in memory at a time."""
+    rows: list[tuple] = []
     for batch in batches:
-        rows = []
-        for repo_id, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for k in range(batch.num_rows):
+            repo_id, path, content = (batch.column(i)[k].as_py() for i in range(3))
             for *node, children in file_facts(content):
                 nested = None if children is None else [dict(zip(_CHILD_COLUMNS, c)) for c in children]
                 rows.append((repo_id, path, *node, nested))
-        columns = zip(*rows) if rows else [[]] * len(_ARROW_SCHEMA)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values, field.type) for values, field in zip(columns, _ARROW_SCHEMA)], schema=_ARROW_SCHEMA
-        )
+            if len(rows) >= FACTS_PER_BATCH:
+                yield _batch(rows)
+                rows = []
+    yield _batch(rows)
 
 
 def syntax_facts(files: DataFrame) -> DataFrame:
@@ -147,7 +157,7 @@ def fact_findings(facts: DataFrame) -> DataFrame:
     title = F.format_string(LONG_FUNCTION[2], F.col("name"), length)
     long_function = F.when(
         function & ((end - line) > LONG_FUNCTION_LINES),
-        _finding(LONG_FUNCTION, line, code, F.lit(FINDINGS_PER_NODE - 1), end, title),
+        _finding(LONG_FUNCTION, line, code, F.lit(FINDINGS_PER_NODE - 1).cast("bigint"), end, title),
     )
     none_operand = F.exists(children, lambda c: c["role"].isin("Eq", "NotEq") & (c["kind"] == "None"))
     comparison = F.when((kind == "Compare") & none_operand, _finding(NONE_COMPARISON, line, code, F.lit(0)))

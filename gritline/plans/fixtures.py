@@ -6,12 +6,14 @@ queries and their SQL counterparts start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.operators.lines import fold_lines
-from gritline.operators.skew import hot_groups, number_rows, spread
+from gritline.operators.skew import spread
 
 N_REPOS = 40
 
@@ -92,17 +94,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_hot: dict[tuple[str, str], list[int]] = {}
-
-
-def hot_orders(spark: SparkSession, sf_dir: str) -> list[int]:
-    """Hashes of orders with very many lines, found once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _hot:
-        _hot[key] = hot_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
-    return _hot[key]
-
-
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with the part key, numbered per file.
 
@@ -110,7 +101,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     keys = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER), "l_orderkey")
     order = [F.col(c) for c in LINE_ORDER]
-    numbered = number_rows(keys, ["l_orderkey"], order, "line_no", hot_orders(spark, sf_dir))
+    # An order stands for a file, and a file's lines are numbered in one task, as its text is one value.
+    numbered = keys.withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
     return numbered.select(
         F.col("l_orderkey").alias("file_id"),
         (F.col("l_orderkey") % N_REPOS).alias("repo_id"),
@@ -138,7 +130,7 @@ def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str, *, known: bool = True) -> DataFrame:
-    """file_id, repo_id, path, language, content, for files within the size limit."""
+    """file_id, repo_id, path, language, content."""
     return fold_lines(code_lines(spark, sf_dir, known=known), ["file_id", "repo_id", "path", "language"])
 
 
@@ -177,7 +169,7 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, ok, payload; one message per file, every eleventh call failed."""
     lines = raw_lines(spark, sf_dir).withColumn("text", F.expr(ITEM_SQL))
-    items = fold_lines(lines, ["file_id", "repo_id", "path"], sep=",", max_bytes=10_000_000)
+    items = fold_lines(lines, ["file_id", "repo_id", "path"], sep=",")
     head = '{"content":[{"type":"text","text":"ok"},{"type":"tool_use","name":"report_findings","input":{"findings":['
     return items.select(
         "repo_id",
@@ -209,6 +201,45 @@ def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Python files whose lines and syntax both break rules; the last kind has more findings than the cap.
+MIXED_SQL = """case o_orderkey % 3
+  when 0 then 'def f(a, b=[]):' || chr(10) || '    # TODO x' || chr(10) || '    return eval(a)' || chr(10)
+  when 1 then 'try:' || chr(10) || '    exec(x)' || chr(10) || 'except:' || chr(10) || '    pass' || chr(10)
+  else repeat('# TODO n' || chr(10), 100) || 'def g(a={}):' || chr(10) || '    return a' || chr(10) end"""
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return py_files(spark, sf_dir).withColumn("content", F.expr(MIXED_SQL.replace("o_orderkey", "cast(substring(path, 2, length(path) - 4) as bigint)")))
+
+
+# Number, id, pattern, severity, category, title, description, suggestion, confidence, languages, value group.
+USER_RULES = [
+    (0, "own/0", r'token = "[0-9a-fA-F]{40}"', "critical", "security", "Token", "", "", 0.9, None, None),
+    (7, "own/7", r"Licensed under the [A-Z]", "info", "docs", "License line", "", "", 0.9, ["text"], 0),
+    (2048, "own/2048", r"(?:^|[^0-9])[0-9]{16}(?:[^0-9]|$)", "high", "security", "Long number", "", "", 0.5, ["text", "html"], None),
+    (2049, "own/2049", r"(?i)<h[1-6][ >]", "low", "style", "Heading", "", "", 0.5, ["html"], None),
+    (2050, "own/2050", r"@mail[0-9]\.example\.com", "medium", "security", "Address", "", "", 0.5, [], None),
+]
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (1), conversations (2) and pages (3) as files: repo_id, path, language, content."""
+    turn = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    parts = [
+        (1, "documents", F.col("doc_id").cast("string"), "text", "text"),
+        (2, "conversations", turn, "text", "text"),
+        (3, "pages", F.col("page_id").cast("string"), "html", "html"),
+    ]
+    frames = [
+        table(spark, sf_dir, name).select(
+            F.lit(number).cast("bigint").alias("repo_id"), path.alias("path"), F.lit(language).alias("language"),
+            F.col(column).alias("content"),
+        )
+        for number, name, path, column, language in parts
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def save_columns(events: DataFrame) -> DataFrame:
     """F7 rows from events, batch or stream: path, version, ts, content."""
     return events.select(
@@ -216,11 +247,15 @@ def save_columns(events: DataFrame) -> DataFrame:
     )
 
 
-def save_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7 as a stream over the events table, be it one file or a folder."""
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, be it one file or a folder, as a stream."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
-    return save_columns(events)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
+
+
+def save_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 as a stream."""
+    return save_columns(event_stream(spark, sf_dir))
 
 
 def policy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,10 @@ _CTES = {
     "lines": "SELECT raw.*, files.language FROM raw JOIN files USING (file_id) WHERE language IS NOT NULL",
     "contents": """SELECT file_id, raw.repo_id, raw.path, any_value(language) AS language,
         string_agg(text, chr(10) ORDER BY line_no) AS content, CAST(count(*) AS INTEGER) AS line_count
-        FROM raw JOIN files USING (file_id) GROUP BY file_id, raw.repo_id, raw.path HAVING strlen(content) <= 200000""",
-    # Lines of the files that are small enough to be held as one text.
-    "kept": "SELECT lines.* FROM lines SEMI JOIN contents USING (file_id)",
-    "found_kept": "SELECT found_all.* FROM found_all SEMI JOIN contents USING (file_id)",
+        FROM raw JOIN files USING (file_id) GROUP BY file_id, raw.repo_id, raw.path""",
+    # Findings of the files within the size limit; a diff's files have up to 49 empty lines more.
+    "found_small": "SELECT found_all.* FROM found_all SEMI JOIN (SELECT file_id FROM contents WHERE strlen(content) <= 200000) USING (file_id)",
+    "found_diff": "SELECT found_all.* FROM found_all SEMI JOIN (SELECT file_id FROM contents WHERE strlen(content) + file_id % 50 <= 200000) USING (file_id)",
     "rules": f"""SELECT rule_idx, rule_id, severity, rank, category, title, description, suggestion,
         CAST(confidence AS DOUBLE) AS confidence, languages FROM {_RULES}
         AS t(rule_idx, rule_id, severity, rank, category, title, description, suggestion, confidence, languages)""",
@@ -73,7 +73,7 @@ _CTES = {
         WHERE languages IS NULL OR list_contains(string_split(languages, ','), language)""",
     "found_all": """SELECT file_id, repo_id, path AS file, line_no AS line, line_no AS end_line, severity, rank, category, title,
         description, suggestion, confidence, rule_id, 'heuristic' AS source, substr(trim(text), 1, 200) AS code,
-        CAST(line_no AS BIGINT) * 1024 + rule_idx AS emit_seq FROM hits""",
+        CAST(line_no AS BIGINT) * 2147483648 + rule_idx AS emit_seq FROM hits""",
     "found": f"SELECT * FROM found_all {_CAP}",
     "counts": "SELECT repo_id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
     + ", count(*) AS total FROM found GROUP BY repo_id",
@@ -135,8 +135,8 @@ _NEEDS = {
     "hits": ["lines", "template", "rules"],
     "found_all": ["hits"],
     "found": ["found_all"],
-    "kept": ["lines", "contents"],
-    "found_kept": ["found_all", "contents"],
+    "found_small": ["found_all", "contents"],
+    "found_diff": ["found_all", "contents"],
     "counts": ["found"],
     "big": ["raw"],
     "policies": ["layers"],
@@ -379,13 +379,13 @@ def oracle_sql() -> dict[str, str]:
         # lines
         # A last empty line has no line break of its own, so it is not a line of the file.
         "explode_lines": _with(
-            "kept", "SELECT repo_id, path, language, line_no, text FROM kept "
+            "lines", "SELECT repo_id, path, language, line_no, text FROM lines "
             "QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id))",
         ),
         "number_lines": _with(
-            "kept", "SELECT repo_id, path, " + _NUMBERED + " AS numbered FROM ("
+            "lines", "SELECT repo_id, path, " + _NUMBERED + " AS numbered FROM ("
             "SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM ("
-            "SELECT * FROM kept QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) GROUP BY file_id, repo_id, path",
+            "SELECT * FROM lines QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) GROUP BY file_id, repo_id, path",
         ),
         "line_class": _with(
             "lines", "SELECT language, CASE WHEN text = '' THEN 'blank' WHEN language = 'python' AND l_partkey % 18 = 10 THEN 'comment' ELSE 'code' END AS line_class,"
@@ -432,7 +432,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "min_confidence": _with("found", f"SELECT {listing} FROM found WHERE confidence >= 0.6"),
         "cap_per_file": _with(
-            "big template rules", "SELECT repo_id, path AS file, line_no AS line, severity, rule_id, CAST(line_no AS BIGINT) * 1024 + rule_idx AS emit_seq "
+            "big template rules", "SELECT repo_id, path AS file, line_no AS line, severity, rule_id, CAST(line_no AS BIGINT) * 2147483648 + rule_idx AS emit_seq "
             "FROM big JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx) "
             "QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY rank DESC, line_no, rule_idx) <= 80",
         ),
@@ -456,18 +456,18 @@ def oracle_sql() -> dict[str, str]:
         ),
         "diff_lines": _with("changed", "SELECT repo_id, diff_id, part, path, line_no FROM changed"),
         "diff_scan": _with(
-            "found_kept", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_kept "
+            "found_diff", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_diff "
             f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
         ),
         # whole scans
         "repo_scan": _with(
-            "found_kept", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_kept "
+            "found_small", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_small "
             f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}]) {_CAP}",
         ),
         "content_scan": _with(
-            "files raw template rules contents", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
+            "files raw template rules", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
             "JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx) "
-            "WHERE (languages IS NULL OR list_contains(string_split(languages, ','), coalesce(files.language, 'text'))) AND file_id IN (SELECT file_id FROM contents) "
+            "WHERE (languages IS NULL OR list_contains(string_split(languages, ','), coalesce(files.language, 'text'))) "
             "QUALIFY row_number() OVER (PARTITION BY raw.repo_id, raw.path ORDER BY rank DESC, line_no, rule_idx) <= 80",
         ),
         "scan_errors": _with(
@@ -479,8 +479,67 @@ def oracle_sql() -> dict[str, str]:
         "scan_header": _with(
             "files counts", "SELECT repo_id, 'repo/' || cast(repo_id as string) AS target, 'heuristic' AS mode, '' AS model, files_scanned, n_errors, "
             + ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*SEVERITIES, "total"])
-            + " FROM (SELECT repo_id, count(*) FILTER (file_id % 13 <> 0) AS files_scanned, count(*) FILTER (file_id % 13 = 0) AS n_errors"
-            " FROM files WHERE language IS NOT NULL GROUP BY 1) LEFT JOIN counts USING (repo_id) WHERE files_scanned > 0",
+            + " FROM (SELECT r AS repo_id, count(path) FILTER (file_id % 13 <> 0 AND r <> 7) AS files_scanned, count(path) FILTER (file_id % 13 = 0 OR r = 7) AS n_errors"
+            " FROM range(41) AS s(r) LEFT JOIN files ON repo_id = r AND language IS NOT NULL GROUP BY 1) LEFT JOIN (SELECT * FROM counts WHERE repo_id <> 7) USING (repo_id)",
+        ),
+        "scan_header_ai": _with(
+            "files modelled found_all", "SELECT repo_id, 'repo/' || cast(repo_id as string) AS target, 'ai' AS mode, 'reviewer-model' AS model, files_scanned, n_errors, "
+            + ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*SEVERITIES, "total"])
+            + " FROM (SELECT repo_id, count(*) AS files_scanned, count(*) FILTER (file_id % 11 = 0) AS n_errors FROM files WHERE language IS NOT NULL GROUP BY 1)"
+            " LEFT JOIN (SELECT repo_id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
+            + f", count(*) AS total FROM (SELECT repo_id, severity FROM modelled UNION ALL (SELECT repo_id, severity FROM found_all WHERE file_id % 11 = 0 {_CAP})) GROUP BY 1) USING (repo_id)",
+        ),
+        "mixed_scan": f"""SELECT repo_id, file, line, severity, title, {_DERIVED} AS rule_id FROM (
+            SELECT o_orderkey % 40 AS repo_id, 'o' || cast(o_orderkey as string) || '.py' AS file, CAST(line AS INTEGER) AS line, severity, category, title
+            FROM orders JOIN (SELECT 0 AS arm, 1 AS line, 'medium' AS severity, 'bug' AS category, 'Mutable default argument' AS title
+              UNION ALL VALUES (0, 2, 'info', 'maintainability', 'Unresolved TODO/FIXME marker'), (0, 3, 'high', 'security', 'Dynamic code execution (eval/exec)'),
+                (1, 2, 'high', 'security', 'Dynamic code execution (eval/exec)'), (1, 3, 'medium', 'bug', 'Bare ''except:'' clause'),
+                (1, 3, 'medium', 'bug', 'Exception silently swallowed'), (2, 101, 'medium', 'bug', 'Mutable default argument')
+              UNION ALL SELECT 2, i, 'info', 'maintainability', 'Unresolved TODO/FIXME marker' FROM range(1, 80) AS u(i)) ON o_orderkey % 3 = arm)""",
+        "user_rule_scan": """WITH f AS (SELECT 1 AS repo_id, cast(doc_id as string) AS path, text AS content FROM documents
+            UNION ALL SELECT 2, cast(conv_id as string) || '-' || cast(turn as string), text FROM conversations
+            UNION ALL SELECT 3, cast(page_id as string), html FROM pages),
+          l AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line FROM f),
+          h AS (SELECT repo_id, path, unnest([
+              CASE WHEN regexp_matches(line, 'token = "[[:xdigit:]]{40}"') THEN 0 END,
+              CASE WHEN repo_id < 3 AND regexp_matches(line, 'Licensed under the [[:upper:]]') THEN 7 END,
+              CASE WHEN list_contains(list_transform(regexp_extract_all(line, '[0-9]+'), lambda n: len(n)), 16) THEN 2048 END,
+              CASE WHEN repo_id = 3 AND regexp_matches(lower(line), '<h[1-6]( |>)') THEN 2049 END]) AS rule_idx FROM l)
+          SELECT CAST(repo_id AS BIGINT) AS repo_id, CAST(rule_idx AS INTEGER) AS rule_idx, count(*) AS n_hits, count(DISTINCT path) AS n_files
+          FROM h WHERE rule_idx IS NOT NULL GROUP BY 1, 2""",
+        "diff_report": _with(
+            "files contents found_diff raw", "SELECT r AS repo_id, 'origin/main...' || CASE WHEN r % 2 = 1 THEN 'h' || cast(r as string) ELSE 'WORKTREE' END AS target, "
+            "'heuristic' AS mode, '' AS model, coalesce(files_scanned, 0) AS files_scanned, coalesce(n_errors, 0) AS n_errors, "
+            + ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*SEVERITIES, "total"])
+            + " FROM (SELECT DISTINCT repo_id AS r FROM files) LEFT JOIN (SELECT repo_id AS r, count(*) AS files_scanned FROM contents WHERE language IS NOT NULL "
+            "AND file_id % 5 <> 0 AND path NOT LIKE '%.min.js' AND path NOT LIKE 'lib/%' AND strlen(content) + file_id % 50 <= 200000 AND repo_id <> 3 GROUP BY 1) USING (r) "
+            "LEFT JOIN (SELECT repo_id AS r, count(DISTINCT (file_id // 400, (line_no - 1) // 1000)) AS n_errors FROM raw WHERE repo_id = 3 GROUP BY 1) USING (r) "
+            "LEFT JOIN (SELECT repo_id AS r, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
+            + ", count(*) AS total FROM (SELECT * FROM found_diff WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' AND repo_id <> 3 "
+            f"{_CAP}) GROUP BY 1) USING (r)",
+        ),
+        "policy_size": _with(
+            "contents policies", "SELECT contents.repo_id, path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM contents LEFT JOIN policies USING (repo_id) "
+            "WHERE language IS NOT NULL AND strlen(content) <= coalesce(max_bytes, 200000)",
+        ),
+        "report_rerender": _with(
+            "files found", f"""SELECT file_id AS repo_id, section, body FROM (SELECT file_id, unnest([
+              {{'section': 0, 'body': '## 🤖 {PRODUCT} report' || chr(10) || chr(10) || '**Mode:** heuristic · **Model:** `heuristics` · **Files scanned:** 1 · **Findings:** ' || total || chr(10)}},
+              {{'section': 1, 'body': CASE WHEN total = 0 THEN '✅ No issues found in the analyzed code.' ELSE '| Severity | Count |' || chr(10) || '| --- | --- |' || chr(10) || """
+            + " || ".join(f"CASE WHEN {s} > 0 THEN '| {SEVERITY_EMOJI[s]} {s} | ' || {s} || ' |' || chr(10) ELSE '' END" for s in SEVERITIES)
+            + " END}], recursive := true) FROM (SELECT files.file_id, count(found.file_id) AS total, "
+            + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
+            + " FROM files LEFT JOIN found USING (file_id) WHERE language IS NOT NULL AND files.file_id % 19 <> 0 GROUP BY 1))",
+        ),
+        "report_gate": _with(
+            "files found", "SELECT files.file_id AS repo_id, 'high' AS fail_on, count(*) FILTER (severity IN ('critical', 'high')) AS n_at_or_above, "
+            "CASE WHEN count(*) FILTER (severity IN ('critical', 'high')) > 0 THEN 'fail' ELSE 'pass' END AS gate "
+            "FROM files LEFT JOIN found USING (file_id) WHERE language IS NOT NULL AND files.file_id % 19 <> 0 GROUP BY 1",
+        ),
+        "findings_table": _with("found", "SELECT repo_id, file, line, severity, rule_id, emit_seq FROM found"),
+        "request_stream": _with(
+            "rules", "SELECT event_id AS repo_id, rule_id AS outcome FROM events JOIN rules ON (event_id % 6 = 0 AND rule_idx = 8) OR (event_id % 6 = 1 AND rule_idx = 3) "
+            "UNION ALL SELECT event_id, CASE WHEN event_id % 6 < 5 THEN 'missing_content' ELSE 'invalid_json' END FROM events WHERE event_id % 6 > 2",
         ),
         # policies
         "policy_resolve": _with("policies", "SELECT * FROM policies"),
@@ -500,11 +559,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         # reviewer model
         "review_requests": _with(
-            "kept changed", f"""SELECT lines.repo_id, lines.path, 'reviewer-model' AS model, CAST(4096 AS INTEGER) AS max_tokens, CAST(0 AS DOUBLE) AS temperature,
+            "lines changed", f"""SELECT lines.repo_id, lines.path, 'reviewer-model' AS model, CAST(4096 AS INTEGER) AS max_tokens, CAST(0 AS DOUBLE) AS temperature,
             'report_findings' AS tool, 'File: ' || lines.path || chr(10) || 'Language: ' || language || chr(10)
             || CASE WHEN any_value(f.focus) IS NULL THEN '' ELSE {_q(rs.SCOPE_TEXT)} || chr(10) || {_q(rs.FOCUS_LABEL)} || any_value(f.focus) || chr(10) END
             || chr(10) || {_q(rs.CODE_LABEL)} || chr(10) || '```' || chr(10) || {_NUMBERED} || chr(10) || '```' AS prompt
-            FROM (SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM (SELECT * FROM kept QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) lines
+            FROM (SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM (SELECT * FROM lines QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) lines
             LEFT JOIN (SELECT file_id, string_agg(cast(line_no as string), ', ' ORDER BY line_no) FILTER (i <= 12)
               || CASE WHEN count(*) > 12 THEN ', … (+' || cast(count(*) - 12 as string) || ' more)' ELSE '' END AS focus
               FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS i FROM changed) GROUP BY 1) f USING (file_id)
@@ -517,8 +576,8 @@ def oracle_sql() -> dict[str, str]:
             "modelled", "SELECT repo_id, file, emit_seq, 'L' || cast(line as string) || CASE WHEN end_line > line THEN '-' || cast(end_line as string) ELSE '' END AS span FROM modelled",
         ),
         "response_fallback": _with(
-            "modelled found_kept", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
-            f"(SELECT repo_id, file, line, title, confidence, source FROM found_kept WHERE confidence >= 0.5 AND file_id % 11 = 0 {_CAP})",
+            "modelled found_all", "SELECT repo_id, file, line, title, confidence, source FROM modelled WHERE confidence >= 0.5 UNION ALL "
+            f"(SELECT repo_id, file, line, title, confidence, source FROM found_all WHERE confidence >= 0.5 AND file_id % 11 = 0 {_CAP})",
         ),
         # reports
         "summary_text": _with(

@@ -22,6 +22,8 @@ from gritline.plans import fixtures as fx
 from gritline.plans import scans as sc
 from gritline.sinks import documents as doc
 from gritline.sinks import rows as rw
+from gritline.schemas import FINDINGS
+from gritline.sources import diffs as ds
 from gritline.sources import files as fs
 from gritline.sources import reports as rp
 from gritline.sources import requests as rq
@@ -158,8 +160,8 @@ def rule_hits(spark, sf):
 
 @query
 def rule_theta_join(spark, sf):
-    """Rules as a table, joined with the lines."""
-    hits = rl.joined_rule_hits(fx.code_lines(spark, sf), rl.rule_table(spark))
+    """Rules as a table, met by the lines without pairing them."""
+    hits = rl.table_rule_hits(fx.code_lines(spark, sf), rl.rule_table(spark))
     return hits.groupBy("language", "rule_idx").agg(F.count("*").alias("n_hits"))
 
 
@@ -316,18 +318,33 @@ def diff_lines(spark, sf):
 def diff_scan(spark, sf):
     """Current files start with the lines before the hunk; the lib folder is gone."""
     lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
-    files = stage(fx.code_files(spark, sf, known=False)).where(~F.col("path").startswith("lib/"))
+    files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
     current = files.withColumn("content", F.concat(lead, F.col("content")))
     found = sc.scan_diffs(fx.diffs(spark, sf), current, exclude=["*.min.js"])
     return found.select("repo_id", "file", "line", "rule_id", "code")
 
 
+@query
+def diff_report(spark, sf):
+    """Headers of one diff scan per repository; the diffs of repository 3 failed."""
+    lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
+    files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
+    current = files.withColumn("content", F.concat(lead, F.col("content")))
+    head = F.when(F.col("repo_id") % 2 == 1, F.concat(F.lit("h"), F.col("repo_id").cast("string"))).otherwise("")
+    diffs = fx.diffs(spark, sf).select(
+        "repo_id",
+        ds.target_label(F.lit("origin/main"), head).alias("target"),
+        F.when(F.col("repo_id") != 3, F.col("diff_text")).alias("diff_text"),
+    )
+    return sc.diff_report(diffs, current, exclude=["*.min.js"])[0]
+
+
 # --- whole scans ---------------------------------------------------------------------------------
 
 
 @query
 def repo_scan(spark, sf):
-    files = fs.select_files(stage(fx.code_files(spark, sf)).drop("language"), exclude=["tests/*"])
+    files = fs.select_files(fx.code_files(spark, sf).drop("language"), exclude=["tests/*"])
     found = sc.scan_files(fs.within_size(files), min_confidence=0.5)
     return found.drop("description", "suggestion")
 
@@ -335,11 +352,26 @@ def repo_scan(spark, sf):
 @query
 def content_scan(spark, sf):
     """Buffers of any name; those without a known extension count as text."""
-    buffers = stage(fx.code_files(spark, sf, known=False)).drop("language")
+    buffers = fx.code_files(spark, sf, known=False).drop("language")
     found = sc.scan_buffers(buffers)
     return found.select("repo_id", "file", "line", "rule_id", "source")
 
 
+@query
+def mixed_scan(spark, sf):
+    """Python files in which both line and syntax rules find something, one with more than the cap."""
+    found = sc.scan_files(fx.mixed_files(spark, sf))
+    return found.select("repo_id", "file", "line", "severity", "title", "rule_id")
+
+
+@query
+def user_rule_scan(spark, sf):
+    """Rules of a user over the lines of all documents, conversations and pages."""
+    rules = spark.createDataFrame(fx.USER_RULES, rl.rule_table(spark).schema)
+    hits = rl.table_rule_hits(explode_lines(fx.text_files(spark, sf)), rules)
+    return hits.groupBy("repo_id", "rule_idx").agg(F.count("*").alias("n_hits"), F.countDistinct("path").alias("n_files"))
+
+
 @query
 def scan_errors(spark, sf):
     files = fx.file_list(spark, sf).withColumn("content", F.when(F.col("file_id") % 13 != 0, "x = 1"))
@@ -349,11 +381,24 @@ def scan_errors(spark, sf):
 
 @query
 def scan_header(spark, sf):
+    """Repository 7 has no readable file, and the last one no file at all."""
     files = fx.file_list(spark, sf).where(F.col("language").isNotNull())
-    readable = files.withColumn("content", F.when(F.col("file_id") % 13 != 0, "x = 1"))
+    gone = (F.col("file_id") % 13 == 0) | (F.col("repo_id") == 7)
+    readable = files.withColumn("content", F.when(~gone, "x = 1"))
     return sc.scan_headers(
-        readable.where(F.col("content").isNotNull()), findings(spark, sf), fs.read_errors(readable)
-    )
+        readable.where(F.col("content").isNotNull()), findings(spark, sf).where("repo_id <> 7"), fs.read_errors(readable),
+        scans=spark.range(fx.N_REPOS + 1).withColumnRenamed("id", "repo_id"),
+    )
+
+
+@query
+def scan_header_ai(spark, sf):
+    """Scans with a reviewer model: failed calls are errors, and rules stand in for them."""
+    files, answers = fx.code_files(spark, sf), fx.responses(spark, sf)
+    mode = sc.mode_of(answers)
+    found = sc.scan_responses(files, answers)
+    errors = sc.scan_errors(files, answers.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
+    return sc.scan_headers(files, found, errors, mode=mode, model=sc.model_label(mode))
 
 
 # --- policies ----------------------------------------------------------------------------------------
@@ -377,6 +422,12 @@ def policy_globs(spark, sf):
     return pol.filter_by_policy(fx.file_list(spark, sf), policies(spark, sf)).select("repo_id", "path")
 
 
+@query
+def policy_size(spark, sf):
+    """Files within the size limit of their repository's policy."""
+    return file_stats(fs.within_policy_size(fx.code_files(spark, sf), policies(spark, sf))).select("repo_id", "path", "n_bytes")
+
+
 @query
 def gate(spark, sf):
     return pol.gate(findings(spark, sf), policies(spark, sf))
@@ -418,7 +469,7 @@ def finding_span(spark, sf):
 
 @query
 def response_fallback(spark, sf):
-    files = stage(fx.code_files(spark, sf))
+    files = fx.code_files(spark, sf)
     found = sc.scan_responses(files, fx.responses(spark, sf), min_confidence=0.5)
     return found.select("repo_id", "file", "line", "title", "confidence", "source")
 
@@ -494,12 +545,39 @@ def report_reload(spark, sf):
     return rp.report_findings(parsed)
 
 
-@query
-def report_errors(spark, sf):
+def _reparsed(spark, sf):
     files, found = _file_scans(spark, sf)
     bodies = doc.file_reports(files, found)
     cut = F.when(F.col("repo_id") % 19 == 0, F.substring("body", 1, 30)).otherwise(F.col("body"))
-    return rp.report_errors(rp.parse_reports(bodies.select(F.col("repo_id").alias("report_id"), cut.alias("body"))))
+    return rp.parse_reports(bodies.select(F.col("repo_id").alias("report_id"), cut.alias("body")))
+
+
+@query
+def report_errors(spark, sf):
+    return rp.report_errors(_reparsed(spark, sf))
+
+
+@query
+def report_rerender(spark, sf):
+    """Titles and tables of saved reports, rendered again as Markdown."""
+    headers, found, _, _ = sc.reloaded(_reparsed(spark, sf))
+    return doc.markdown_parts(headers, found).where("section < 2").select("repo_id", "section", "body")
+
+
+@query
+def report_gate(spark, sf):
+    """Gate over saved reports."""
+    headers, found, _, _ = sc.reloaded(_reparsed(spark, sf))
+    return pol.render_gate(found, headers, "high")
+
+
+@query
+def findings_table(spark, sf):
+    """The findings table written and read back."""
+    folder = shared_dir(spark)
+    doc.write_findings(findings(spark, sf), folder)
+    read = spark.read.schema(FINDINGS).parquet(folder)
+    return read.select("repo_id", "file", "line", "severity", "rule_id", "emit_seq")
 
 
 @query
@@ -541,3 +619,14 @@ def request_scan(spark, sf):
     return found.select("repo_id", "file", "line", "rule_id")
 
 
+@query
+def request_stream(spark, sf):
+    """Request bodies as a stream: findings of valid ones, and the rejects."""
+    folder = shared_dir(spark)
+    bodies = fx.event_stream(spark, sf).select(F.col("event_id").alias("repo_id"), F.expr(fx.BODY_SQL).alias("body"))
+    st.scan_requests(bodies, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.schema(FINDINGS).parquet(f"{folder}/out/findings").select("repo_id", F.col("rule_id").alias("outcome"))
+    rejects = spark.read.schema("repo_id bigint, status string").parquet(f"{folder}/out/rejects")
+    return found.union(rejects.select("repo_id", "status"))
+
+

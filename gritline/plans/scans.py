@@ -15,7 +15,9 @@ from gritline.operators.lines import explode_lines, file_stats
 from gritline.operators.rules import LINE_RULES, LineRule, line_findings
 from gritline.operators.skew import stage
 from gritline.operators.syntax import fact_findings, syntax_errors, syntax_facts
+from gritline.sources import diffs as ds
 from gritline.sources import files as fs
+from gritline.sources import reports as rp
 from gritline.sources import responses as rs
 from gritline.vocab import DEFAULT_MODEL, MAX_BYTES, MAX_FINDINGS_PER_FILE
 
@@ -122,25 +124,64 @@ def scan_headers(
     model: str = "",
     mode: str = "heuristic",
     target: str = "repo/",
+    scans: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per scanned repository: target, mode, model, files, errors, counts."""
+    """One row per scan: target, mode, model, files, errors, counts.
+
+    ``scans`` lists the scans (repo_id, and target if they have names of their own). Without it they
+    are those with a file or an error. A scan that read no file has a row like any other.
+    """
+    if scans is None:
+        scans = files.select("repo_id").union(errors.select("repo_id"))
+    if "target" not in scans.columns:
+        scans = scans.withColumn("target", F.concat(F.lit(target), F.col("repo_id").cast("string")))
     scanned = files.groupBy("repo_id").agg(F.count("*").alias("files_scanned"))
     failed = errors.groupBy("repo_id").agg(F.count("*").alias("n_errors"))
     counts = fd.severity_counts(findings)
     return (
-        scanned.join(failed, "repo_id", "left")
+        scans.select("repo_id", "target").distinct()
+        .join(scanned, "repo_id", "left")
+        .join(failed, "repo_id", "left")
         .join(counts, "repo_id", "left")
         .na.fill(0)
         .select(
-            "repo_id",
-            F.concat(F.lit(target), F.col("repo_id").cast("string")).alias("target"),
-            F.lit(mode).alias("mode"),
-            F.lit(model).alias("model"),
-            *[c for c in scanned.columns if c != "repo_id"],
-            "n_errors",
+            "repo_id", "target", F.lit(mode).alias("mode"), F.lit(model).alias("model"), "files_scanned", "n_errors",
             *[c for c in counts.columns if c != "repo_id"],
         )
+    )
+
+
+def diff_report(
+    diffs: DataFrame, files: DataFrame, *, include=None, exclude=None, max_bytes: int = MAX_BYTES, **options
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Result of diff scans: headers, findings, paths and errors.
+
+    ``diffs`` has repo_id, target and diff_text. A diff that failed (null text) gives a header with an
+    error and no files.
+    """
+    chosen, focus = changed_files(diffs, files, include=include, exclude=exclude, max_bytes=max_bytes)
+    found = scan_files(chosen, focus=focus, **options)
+    errors = ds.failed_diffs(diffs)
+    headers = scan_headers(chosen, found, errors, scans=diffs.select("repo_id", "target"))
+    return headers, found, chosen.select("repo_id", "path"), errors
+
+
+def reloaded(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Saved reports, parsed, as headers, findings, paths and errors to render again.
+
+    Counts come from the findings, as stored ones may be wrong; the report id is the repository.
+    """
+    scans = rp.report_scans(parsed).withColumnRenamed("report_id", "repo_id")
+    found = rp.report_findings(parsed)
+    counts = fd.severity_counts(found)
+    headers = (
+        scans.select("repo_id", "target", "mode", "model", "files_scanned", F.size("errors").cast("bigint").alias("n_errors"))
+        .join(counts, "repo_id", "left")
+        .na.fill(0)
     )
+    paths = scans.select("repo_id", F.explode("paths").alias("path"))
+    errors = scans.select("repo_id", F.lit("").alias("path"), F.explode("errors").alias("error"))
+    return headers, found, paths, errors
 
 
 def mode_of(responses: DataFrame | None) -> str:

@@ -59,11 +59,15 @@ def _with_commas(items: DataFrame) -> DataFrame:
 
 
 def _text_items(df: DataFrame, section: int, column: str) -> DataFrame:
-    """JSON strings, each once, ordered by their text. A one-element array is cut to its element."""
-    df = df.select("repo_id", column).distinct()
+    """JSON strings in the order of their text. A one-element array is cut to its element.
+
+    Repeated texts stay; their number in the row of equal texts tells them apart.
+    """
+    counted = df.groupBy("repo_id", column).agg(F.count("*").alias("_n"))
+    df = counted.select("repo_id", column, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     quoted = F.to_json(F.array(F.col(column)))
     body = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    return _with_commas(_parts(df, section, body, key={"file": F.col(column)}))
+    return _with_commas(_parts(df, section, body, key={"file": F.col(column), "emit_seq": F.col("_i") - 1}))
 
 
 def finding_json() -> Column:
@@ -97,7 +101,7 @@ def json_parts(headers: DataFrame, findings: DataFrame, paths: DataFrame, errors
     return _union(
         [
             _parts(headers, 0, F.concat(_open_object(head), F.lit(',"paths":['))),
-            _text_items(paths, 1, "path"),
+            _text_items(paths.select("repo_id", "path").distinct(), 1, "path"),
             _parts(headers, 2, F.lit('],"errors":[')),
             _text_items(errors, 3, "error"),
             _parts(headers, 4, F.lit('],"findings":[')),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import text as tx
-from gritline.vocab import MAX_BYTES
+from gritline.operators.skew import salted_join
+from gritline.vocab import EXTENSION_LANGUAGE, MAX_BYTES
 
 
 def read_repository(
@@ -30,6 +31,7 @@ def read_repository(
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", extension_glob())
         .load(root)
         .where(F.col("length") <= max_bytes)
     )
@@ -45,6 +47,12 @@ def read_repository(
     )
 
 
+def extension_glob() -> str:
+    """Glob of the file names with a known extension, in any case; others are never opened."""
+    ends = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in EXTENSION_LANGUAGE]
+    return "*.{" + ",".join(ends) + "}"
+
+
 def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", px.language_for(F.col("path")))
 
@@ -94,6 +102,13 @@ def within_size(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return files.where(F.octet_length("content") <= max_bytes)
 
 
+def within_policy_size(files: DataFrame, policies: DataFrame) -> DataFrame:
+    """Files within the size limit of their repository's policy; without one, the usual limit."""
+    limits = policies.select("repo_id", F.col("max_bytes").alias("_max"))
+    joined = salted_join(files, limits, ["repo_id"], ["path"], "left")
+    return joined.where(F.octet_length("content") <= F.coalesce("_max", F.lit(MAX_BYTES))).drop("_max")
+
+
 def first_files(files: DataFrame, max_files: int) -> DataFrame:
     """At most ``max_files`` files per repository, in path order.
 

@@ -39,7 +39,7 @@ def report_scans(parsed: DataFrame) -> DataFrame:
         found = F.try_variant_get(report, f"$.{name}", "array<string>")
         return F.coalesce(found, F.array().cast("array<string>"))
 
-    files = F.coalesce(vx.as_whole(vx.field(report, "files_scanned")), F.lit(0.0))
+    files = vx.bounded(F.coalesce(vx.as_whole(vx.field(report, "files_scanned")), F.lit(0.0)), 2.0**53)
     return parsed.where("good").select(
         "report_id",
         or_default("target", "").alias("target"),
@@ -73,8 +73,8 @@ def report_findings(parsed: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.coalesce(vx.as_text(get(name)), F.lit(""))
 
-    line = F.greatest(F.lit(1.0), F.coalesce(vx.as_whole(get("line")), F.lit(1.0))).cast("int")
-    end = F.greatest(F.col("line"), F.coalesce(vx.as_whole(get("end_line")).cast("int"), F.col("line")))
+    line = F.greatest(F.lit(1), F.coalesce(vx.line_number(get("line")), F.lit(1)))
+    end = F.greatest(F.col("line"), F.coalesce(vx.line_number(get("end_line")), F.col("line")))
     return (
         items.withColumns(
             {

@@ -104,10 +104,17 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     broken = (vx.is_number(found) & (vx.as_double(found) != 0)) | ((vx.as_text(found) == "true") & ~vx.is_text(found))
     parsed = once(responses.select("repo_id", "path", "ok", "payload"), {"_message": F.try_parse_json("payload")})
     reported = once(parsed, {"_found": vx.field(_report_input(F.col("_message")), "findings")})
-    good = F.coalesce("ok", F.lit(False)) & vx.is_object(F.col("_message")) & ~F.coalesce(broken, F.lit(False))
-    return once(reported, {"good": good}).select(
-        "repo_id", "path", F.try_variant_get(found, "$", "array<variant>").alias("items"), "good"
-    )
+    items = F.try_variant_get(found, "$", "array<variant>")
+
+    def endless(item: Column) -> Column:
+        ends = vx.is_endless(vx.field(item, "line")) | vx.is_endless(vx.field(item, "end_line"))
+        return ends & vx.truthy_text(vx.field(item, "title")).isNotNull()
+
+    # The text is searched first: hardly any answer has a number with a large exponent.
+    suspect = F.col("payload").rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}")
+    lost = F.coalesce(suspect & F.exists(items, lambda i: vx.is_object(i) & endless(i)), F.lit(False))
+    good = F.coalesce("ok", F.lit(False)) & vx.is_object(F.col("_message")) & ~F.coalesce(broken, F.lit(False)) & ~lost
+    return once(reported, {"good": good}).select("repo_id", "path", items.alias("items"), "good")
 
 
 def response_findings(parsed: DataFrame, files: DataFrame) -> DataFrame:
@@ -128,14 +135,14 @@ def response_findings(parsed: DataFrame, files: DataFrame) -> DataFrame:
     def get(name: str) -> Column:
         return F.col(f"v_{name}")
 
-    last = F.col("line_count").cast("double")
-    line = F.greatest(F.lit(1.0), F.least(F.coalesce(vx.as_whole(get("line")), F.lit(1.0)), last))
-    end = F.greatest(F.col("line"), F.least(F.coalesce(vx.as_whole(get("end_line")), F.lit(1.0)), last).cast("int"))
+    last = F.col("line_count").cast("int")
+    line = F.greatest(F.lit(1), F.least(F.coalesce(vx.line_number(get("line")), F.lit(1)), last))
+    end = F.greatest(F.col("line"), F.least(F.coalesce(vx.line_number(get("end_line")), F.lit(1)), last))
     return (
         items.withColumns(
             {
                 "file": F.col("path"),
-                "line": line.cast("int"),
+                "line": line,
                 "severity": sv.coerce_severity(vx.as_text(get("severity"))),
                 "category": F.when(get("category").isNull(), F.lit(DEFAULT_CATEGORY)).otherwise(
                     sv.normalize_category(vx.as_text(get("category")))

@@ -45,8 +45,8 @@ def test_decode_matches_python(spark):
     assert [r["t"] for r in got] == want
 
 
-PATHS = ["a.py", "src/a.py", "src/x/B.ts", "vendor/m.js", "web/vendor/m1.js", "m1.min.js", "a[1].py", "x/..py", ".py", "b.", "a.tar.GZ", "q/[z"]
-GLOBS = ["*.py", "src/*", "**/vendor/**", "m?.*", "*[0-9].js", "[!a]*", "a[[]1].py", "*.min.js", "q/[z", "b.", "*[!s]", "[]a]*", "x/..?y"]
+PATHS = ["a.py", "src/a.py", "src/x/B.ts", "vendor/m.js", "web/vendor/m1.js", "m1.min.js", "a[1].py", "x/..py", ".py", "b.", "a.tar.GZ", "q/[z", "a[x.py", "^b", "-c", "b&", "é!"]
+GLOBS = ["*.py", "src/*", "**/vendor/**", "m?.*", "*[0-9].js", "[!a]*", "a[[]1].py", "*.min.js", "q/[z", "b.", "*[!s]", "[]a]*", "x/..?y", "a[[]1[]].py", "[z-a]*", "[!z-a]*", "[z-ab]*", "[a-]*", "*[--.]py", "[!]]*", "[^a]*", "a[1\\].py", "*[a&&b]*", "é?"]
 
 
 def test_globs_match_fnmatch(spark):
@@ -57,13 +57,13 @@ def test_globs_match_fnmatch(spark):
         assert got == want, glob
 
 
-@pytest.mark.parametrize("globs", [GLOBS[:2], GLOBS[2:6], ["*[02468].[jt]s"], ["q/[z"], []])
+@pytest.mark.parametrize("globs", [GLOBS[13:], ["[z-a]"], [None, "*.py"], GLOBS[:2], GLOBS[2:6], ["*[02468].[jt]s"], ["q/[z"], []])
 def test_policy_globs_match_fnmatch(spark, globs):
     df = spark.createDataFrame([(1, p) for p in PATHS], "repo_id long, path string")
     policies = spark.createDataFrame([(1, globs, None)], "repo_id long, include array<string>, exclude array<string>")
     want = sorted(
         p for p in PATHS
-        if not globs or any(fnmatch.fnmatchcase(p, g) or fnmatch.fnmatchcase(os.path.basename(p), g) for g in globs)
+        if not globs or any(fnmatch.fnmatchcase(p, g) or fnmatch.fnmatchcase(os.path.basename(p), g) for g in globs if g)
     )
     assert sorted(r["path"] for r in pol.filter_by_policy(df, policies).collect()) == want
 

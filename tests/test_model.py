@@ -141,8 +141,8 @@ def test_latest_findings_over_batches(spark, tmp_path):
     # A clean save clears b.js; a late older version of a.js changes nothing.
     assert arrive(("b.js", 3, "ok"), ("a.js", 1, "eval(x)")) == [("a.js", 2, 2)]
     assert arrive(("c.py", 1, "def f(a=[]):\n    pass")) == [("a.js", 2, 2), ("c.py", 1, 1)]
-    st.compact(spark, state, str(tmp_path / "fresh"))
-    again = st.current_findings(spark, str(tmp_path / "fresh")).collect()
+    st.compact(spark, state)
+    again = st.current_findings(spark, state).collect()
     assert sorted((r["file"], r["version"]) for r in again) == [("a.js", 2), ("c.py", 1)]
 
 
@@ -155,3 +155,48 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["version", "file", "line", "rule_id"]
     got = spark.read.schema(st.VERSIONED).parquet(str(tmp_path / "out")).select(*key).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, st.scan_save_batch(saves).select(*key).collect()))
+
+
+@pytest.mark.parametrize("item, lost", [('{"title": "T", "line": 1e999}', True), ('{"title": "T", "end_line": -1e999}', True), ('{"line": 1e999}', False), ('{"title": "T", "line": 1e12}', False)])
+def test_an_infinite_line_fails_the_answer(spark, item, lost):
+    payload = '{"content": [{"type": "tool_use", "name": "report_findings", "input": {"findings": [%s]}}]}' % item
+    assert respond(spark, payload)[0] is not lost
+
+
+def test_bad_focus_is_rejected(spark):
+    bodies = ['{"content": "x", "focus_lines": [1, "x"]}', '{"content": "x", "focus_lines": [1, "2", 3.7, true]}',
+              '{"content": "x", "focus_lines": [null]}', '{"content": "x", "focus_lines": 5}', '{"content": "x", "focus_lines": [1e999]}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "repo_id long, body string")
+    checked = rq.validate_requests(rows)
+    assert [r["status"] for r in checked.orderBy("repo_id").collect()] == ["bad_focus", "ok", "bad_focus", "ok", "bad_focus"]
+    units = {r["repo_id"]: r for r in rq.request_units(checked).collect()}
+    assert units[1]["focus_lines"] == [1, 2, 3] and not units[3]["has_focus"]
+
+
+def test_saves_are_scanned_like_files(spark):
+    """A save with many hits is capped, and one that arrives twice counts once."""
+    rows = [("a.js", 1, "// TODO\n" * 100), ("a.js", 1, "// TODO\n" * 100), ("b.js", 2, "eval(x)")]
+    saves = spark.createDataFrame(rows, "path string, version long, content string")
+    got = st.scan_save_batch(saves).groupBy("file").count().collect()
+    assert {r["file"]: r["count"] for r in got} == {"a.js": 80, "b.js": 1}
+    assert st.latest_saves(saves).count() == 2
+
+
+def test_snapshots_are_read(spark, tmp_path):
+    """Readers go on from a snapshot, also when the batches it covers are gone."""
+    import shutil
+
+    target = str(tmp_path / "state")
+    make = lambda rows: spark.createDataFrame(rows, "path string, version long, content string")
+    st._write_batch(make([("a.js", 1, "eval(x)"), ("b.js", 1, "eval(x)")]), 0, target)
+    st._write_batch(make([("a.js", 2, "let x = 1"), ("c.js", 2, "eval(x)")]), 1, target)
+    want = {("b.js", 1), ("c.js", 2)}
+    state = lambda: {(r["file"], r["version"]) for r in st.current_findings(spark, target).collect()}
+    assert state() == want
+    st.compact(spark, target)
+    st._write_batch(make([("b.js", 3, "let y = 1"), ("a.js", 1, "eval(x)")]), 2, target)
+    shutil.rmtree(tmp_path / "state" / "findings" / "batch_id=0")
+    shutil.rmtree(tmp_path / "state" / "versions" / "batch_id=0")
+    assert state() == {("c.js", 2)}
+    st.compact(spark, target)
+    assert state() == {("c.js", 2)}

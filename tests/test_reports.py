@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from gritline.operators import findings as fd
-from gritline.plans.scans import scan_headers
+from gritline.plans.scans import reloaded, scan_headers
 from gritline.schemas import FINDINGS
 from gritline.sinks import documents as doc
 from gritline.sinks import rows as rw
@@ -143,3 +143,39 @@ def test_summary_and_order(inputs):
     assert order == [("a.py", 10), ("a.py", 2), ("b.py", 3), ("./c.py", 1), ("b.py", 3)]
     placed = {(r["file"], r["severity"]): r["position"] for r in fd.number_findings(found).collect()}
     assert placed[("b.py", "info")] == 5 and placed[("a.py", "critical")] == 1
+
+
+def test_numbers_beyond_the_limits_end_no_job(spark):
+    bodies = [(1, '{"files_scanned": 1e300, "findings": [{"line": 1e12, "title": "a"}, {"line": 1e999, "end_line": -1e999, "title": "b"}]}')]
+    parsed = rp.parse_reports(spark.createDataFrame(bodies, "report_id long, body string"))
+    assert [r["line"] for r in rp.report_findings(parsed).orderBy("emit_seq").collect()] == [2147483647, 2147483647]
+    assert rp.report_scans(parsed).first()["files_scanned"] == 2**53
+
+
+def test_repeated_errors_stay(spark, tmp_path):
+    errors = spark.createDataFrame([(1, "a", "a: lost"), (1, "a", "a: lost"), (1, "b", "b: lost")], "repo_id long, path string, error string")
+    files = spark.createDataFrame([], "repo_id long, path string")
+    found = spark.createDataFrame([], FINDINGS)
+    parts = doc.json_parts(scan_headers(files, found, errors), found, files, errors)
+    doc.write_documents(parts, str(tmp_path / "out"))
+    got = json.loads(assemble(tmp_path / "out")[1])
+    assert got["errors"] == ["a: lost", "a: lost", "b: lost"] and got["files_scanned"] == 0
+
+
+def test_confidence_is_rounded_in_json(spark, tmp_path):
+    found = spark.createDataFrame([finding(1, "a.py", 1, "low", "T", confidence=c, seq=k) for k, c in enumerate((0.12345, 0.6785, 1 / 3))], FINDINGS)
+    files = found.selectExpr("repo_id", "file as path").distinct()
+    errors = spark.createDataFrame([], "repo_id long, path string, error string")
+    doc.write_documents(doc.json_parts(scan_headers(files, found, errors), found, files, errors), str(tmp_path / "out"))
+    got = [f["confidence"] for f in json.loads(assemble(tmp_path / "out")[1])["findings"]]
+    assert sorted(got) == [0.123, 0.333, 0.678]
+
+
+def test_saved_reports_are_rendered_again(spark, tmp_path):
+    body = json.dumps({"target": "t", "mode": "ai", "model": "m", "files_scanned": 2, "paths": ["a.py", "b.py"], "errors": ["x: lost"],
+                       "findings": [{"file": "a.py", "line": 3, "severity": "high", "title": "T"}]})
+    parsed = rp.parse_reports(spark.createDataFrame([(5, body)], "report_id long, body string"))
+    doc.write_documents(doc.json_parts(*reloaded(parsed)), str(tmp_path / "out"))
+    got = json.loads(assemble(tmp_path / "out")[5])
+    assert (got["target"], got["mode"], got["files_scanned"], got["total_findings"]) == ("t", "ai", 2, 1)
+    assert got["errors"] == ["x: lost"] and got["counts"]["high"] == 1

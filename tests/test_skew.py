@@ -18,21 +18,11 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_hot_groups(spark):
+def test_positions_equal_the_window(spark):
     df = sample(spark)
-    hot = skew.hot_groups(df, ["g"], rows=500)
-    assert hot == [spark.sql("select xxhash64(7L)").first()[0]]
-    assert skew.hot_groups(df, ["g"], rows=5000) == []
-
-
-def test_hot_numbering_equals_the_window(spark):
-    df = sample(spark)
-    hot = skew.hot_groups(df, ["g"], rows=500)
-    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v")).cast("bigint"))
-    assert rows(skew.number_rows(df, ["g"], [F.col("v")], "n", hot)) == rows(want)
-    assert rows(skew.position_in_group(df, ["g"], [F.col("v").desc()], "n")) == rows(
-        df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc())).cast("bigint"))
-    )
+    for order in (F.col("v"), F.col("v").desc()):
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(order)).cast("bigint"))
+        assert rows(skew.position_in_group(df, ["g"], [order], "n")) == rows(want)
 
 
 def test_position_uses_many_tasks(spark):
