@@ -46,15 +46,15 @@ def line_count(content: Column) -> Column:
 
 def number_lines(content: Column) -> Column:
     """``N| text`` lines, numbers right-justified to the widest one."""
-    numbered = F.transform(
-        lines(content),
-        lambda text, i: F.struct((i + 1).cast("string").alias("n"), text.alias("text")),
-    )
-    width = F.length(F.size(lines(content)).cast("string"))
-    return F.array_join(
-        F.transform(numbered, lambda x: F.concat(F.lpad(x["n"], width, F.lit(" ")), F.lit("| "), x["text"])),
-        "\n",
-    )
+
+    def numbered(texts: Column) -> Column:
+        width = F.length(F.size(texts).cast("string"))
+        return F.transform(
+            texts, lambda text, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit("| "), text)
+        )
+
+    # The lines are a variable of the outer step, so that they are cut once and not for each line.
+    return F.array_join(F.get(F.transform(F.array(lines(content)), numbered), F.lit(0)), "\n")
 
 
 def snippet(text: Column) -> Column:
