@@ -242,12 +242,15 @@ def _telling(data: Sample, n_grades: int, errors: float) -> np.ndarray:
     return chosen | (found > 0.5 * len(data.grades))
 
 
-def train(data: Sample, n_grades: int, power: float, telling: float, ridge: float = 1e-3) -> Model:
+def train(
+    data: Sample, n_grades: int, power: float, telling: float, ridge: float = 1e-3, among: np.ndarray | None = None
+) -> Model:
     """Fit a model on a sample; only buckets that tell grades apart have a weight.
 
     A bucket does if, for some threshold, its share among the rows above and its share among the
     others are at least ``telling`` standard errors apart. Most words of a corpus are rare and say
-    nothing; with a weight for each, the fit would learn its sample by heart.
+    nothing; with a weight for each, the fit would learn its sample by heart. ``among`` gives the
+    buckets instead.
 
     If the sample has a single grade, the model gives that grade to all rows; if it is empty, the
     highest one.
@@ -257,7 +260,11 @@ def train(data: Sample, n_grades: int, power: float, telling: float, ridge: floa
         only = int(data.grades[0]) if len(data.grades) else n_grades - 1
         sure = np.array([-40.0 if k < only else 40.0 for k in range(n_grades - 1)])
         return Model(empty, empty.astype(np.float32), sure, power)
-    keep = _telling(data, n_grades, telling)[data.columns]
+    chosen = _telling(data, n_grades, telling)
+    if among is not None:
+        chosen[:] = False
+        chosen[among] = True
+    keep = chosen[data.columns]
     used, columns = np.unique(data.columns[keep], return_inverse=True)
     rows = data.rows[keep]
     values = data.counts[keep] / np.maximum(data.tokens[rows], 1) ** power

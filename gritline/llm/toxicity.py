@@ -10,7 +10,7 @@ from gritline.llm import ordinal
 
 GRADES = 3  # none, mild, severe
 TOXIC_FROM = 0.5
-FITTED = {"power": 0.25, "telling": 5.0}
+FITTED = {"power": 0.25, "telling": 6.0}
 
 
 def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) -> ordinal.Model:
@@ -18,7 +18,7 @@ def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) ->
 
     Labels say only whether a document is toxic. A first fit with one threshold scores the sample;
     the toxic half with the higher scores, where more of the text is marked, is the severe grade.
-    The second fit has both thresholds.
+    The second fit has both thresholds, and the buckets that tell toxic text from other text.
     """
     graded = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("grade"))
     data = ordinal.sample(df, graded.where("grade IN (0, 1)"), per_grade)
@@ -28,7 +28,7 @@ def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) ->
     if toxic.any() and not toxic.all():
         data.grades = data.grades + (toxic & (score > np.median(score[toxic])))
         data.share = 1 / np.maximum(np.bincount(data.grades), 1)[data.grades]
-    return ordinal.train(data, GRADES, **FITTED)
+    return ordinal.train(data, GRADES, **FITTED, among=first.buckets)
 
 
 def severity(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
