@@ -203,3 +203,24 @@ def test_neighbours_across_batches(spark):
     want = {k for k, key in enumerate(keys) if keys.count(key) > 1}
     got = [r["id"] for r in found]
     assert want <= set(got) and len(got) == len(set(got)) and len(set(got) - want) <= 10
+
+
+def similarity(a, b):
+    a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (plain.words(a), plain.words(b)))
+    return len(a & b) / len(a | b)
+
+
+def of_template(pick, words, n, changes):
+    """``n`` texts, each with words of its own in ``changes`` places."""
+    out = []
+    for k in range(n):
+        places = set(pick.sample(range(len(words)), changes))
+        out.append(" ".join(f"c{k}x{p}" if p in places else w for p, w in enumerate(words)))
+    return out
+
+
+def test_texts_of_a_template_that_are_not_alike_stay(documents):
+    pick = random.Random(3)
+    texts = of_template(pick, prose(pick, 400).split(), 40, 7)
+    assert all(0.66 < similarity(a, b) < 0.8 for a, b in combinations(texts, 2))
+    assert near_copies.drop_near_copies(documents(document_rows(texts))).count() == 40
