@@ -224,3 +224,21 @@ def test_texts_of_a_template_that_are_not_alike_stay(documents):
     texts = of_template(pick, prose(pick, 400).split(), 40, 7)
     assert all(0.66 < similarity(a, b) < 0.8 for a, b in combinations(texts, 2))
     assert near_copies.drop_near_copies(documents(document_rows(texts))).count() == 40
+
+
+def kept_by_similarity(texts):
+    near = [p for p in combinations(range(len(texts)), 2) if similarity(texts[p[0]], texts[p[1]]) >= 0.8]
+    return sorted(set(plain.smallest_reachable(near, list(range(len(texts)))).values()))
+
+
+def test_near_copies_of_0_8_to_0_9_meet(documents):
+    pick = random.Random(12)
+    texts = []
+    while len(texts) < 120:
+        pair = of_template(pick, prose(pick, pick.randint(60, 400)).split(), 2, pick.randint(1, 6))
+        if 0.78 <= similarity(*pair) <= 0.9:
+            texts += pair
+    want = kept_by_similarity(texts)
+    assert 60 < len(want) < 100
+    kept = near_copies.drop_near_copies(documents(document_rows(texts))).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == want
