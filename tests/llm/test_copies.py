@@ -242,3 +242,20 @@ def test_near_copies_of_0_8_to_0_9_meet(documents):
     assert 60 < len(want) < 100
     kept = near_copies.drop_near_copies(documents(document_rows(texts))).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == want
+
+
+def test_near_copies_in_dense_buckets_of_others_meet(documents, monkeypatch):
+    """Each place has one of two words, so that about half of all texts share any shingle."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16, raising=False)
+    pick = random.Random(21)
+    words = prose(pick, 400).split()
+    codes = [[pick.randint(0, 1) for _ in range(40)] for _ in range(50)]
+    for code in codes[10:25]:
+        flipped = set(pick.sample(range(40), 7))
+        codes.append([1 - bit if p in flipped else bit for p, bit in enumerate(code)])
+    texts = [" ".join(f"v{c[p // 10]}" if p % 10 == 5 else w for p, w in enumerate(words)) for c in codes]
+    want = kept_by_similarity(texts)
+    assert want == list(range(50))
+    df = documents(document_rows(texts))
+    kept = near_copies.drop_near_copies(df, dense_bucket=4).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == want
