@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gritline.llm import (
     bpe,
+    conversations,
     exact,
+    huffman,
+    importance,
     packing,
     passages,
     pii,
@@ -21,6 +24,8 @@ from gritline.llm import (
     topk,
     toxicity,
 )
+from gritline.llm.oracles import ORACLES as ORACLES
+from gritline.operators.skew import shared_dir
 
 WORDS = "word_bpe_49k.json"
 BYTES = "byte_bpe_50k.json"
@@ -94,6 +99,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    huffman.write_ids(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), folder)
+    return huffman.read_ids(spark, folder).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(_read(spark, sf_dir, "conversations"))
+    return conversations.digests(damaged, conversations.audits(damaged))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -105,29 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_passages": op9_passages,
     "op10_quality": op10_quality,
+    "op11_resample": op11_resample,
+    "op12_id_files": op12_id_files,
+    "op13_conversations": op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_exact_dedup": """
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
-               sha256(t) AS text_sha256
-        FROM d JOIN g USING (t)
-    """,
-    "op5_topk": """
-        WITH whole AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
-            FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-        ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
-        )
-        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-    """,
-}
