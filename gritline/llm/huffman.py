@@ -13,6 +13,7 @@ A folder holds two tables, written by Spark so that a lost task leaves nothing b
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritline.llm.batches import offsets_of, sliced
-from gritline.llm.packing import token_pieces
+from gritline.llm.batches import map_text, offsets_of, sliced
+from gritline.llm.packing import byte_encoder
+from gritline.llm.vocabulary import load, read
 from gritline.operators.skew import stage
 
 LONGEST_CODE = 18
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 256
-WHOLE = 1 << 31  # longer than any document
 _BLOCK = pa.schema([
     ("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("sizes", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("bits", pa.binary()),
@@ -125,13 +126,44 @@ class Book:
         return out[np.arange(out.shape[1]) < counts[:, None]]
 
 
-def global_counts(ids: DataFrame) -> DataFrame:
+def text_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``length``, ``crc`` and ``ids`` of every row, with ``end_id`` after each text's ids.
+
+    ``ids`` are little-endian unsigned numbers as wide as the vocabulary needs (see ``_width``), ``crc``
+    their checksum as 32-bit numbers.
+    """
+    packed, width = read(vocabulary), _width(vocabulary)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, ends = byte_encoder(packed).encode(batch.column(1).to_pylist())
+        ids = np.insert(ids, ends[1:], end_id).astype("<u4")
+        ends = ends + np.arange(len(ends))
+        sums = np.array([zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])], np.int64)
+        return pa.record_batch(
+            [batch.column(0), pa.array(np.diff(ends)), pa.array(sums), _blobs(ids.astype(width), ends)],
+            names=["doc_id", "length", "crc", "ids"],
+        )
+
+    return map_text(df, work, "doc_id bigint, length bigint, crc bigint, ids binary", id_col, text_col)
+
+
+def _width(vocabulary: str) -> str:
+    """Two bytes hold the ids of most vocabularies."""
+    return "<u2" if len(load(read(vocabulary)).strings) <= 1 << 16 else "<u4"
+
+
+def _blobs(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    edges = pa.py_buffer((ends * ids.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, edges, pa.py_buffer(ids)])
+
+
+def global_counts(ids: DataFrame, width: str) -> DataFrame:
     """``id`` and ``n`` over all rows; a task sends at most one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for part in sliced(batches, text=0):
-            some = np.bincount(_ids_of(part.column(0))[0], minlength=len(total))
+            some = np.bincount(_ids_of(part.column(0), width)[0], minlength=len(total))
             some[: len(total)] += total
             total = some
         seen = np.flatnonzero(total)
@@ -140,11 +172,11 @@ def global_counts(ids: DataFrame) -> DataFrame:
     return ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ids_of(column: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of them in a row, and where each row's begin."""
     ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    raw = column.buffers()[2]
-    return np.frombuffer(raw or b"", "<u4")[ends[0] // 4 : ends[-1] // 4], (ends - ends[0]) // 4
+    all_ids, size = np.frombuffer(column.buffers()[2] or b"", width), np.dtype(width).itemsize
+    return all_ids[ends[0] // size : ends[-1] // size], (ends - ends[0]) // size
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,14 +212,14 @@ def write_ids(
     folder of two empty tables. A document lies in one block, so a very long one makes a block of
     its size; all others end once they hold ``block_ids`` ids.
 
-    The ids go to the shared folder once, four bytes each and compressed, and are sorted by range,
-    so equal or dense ids spread over tasks. Of the counts, one number for each id of the vocabulary
+    The ids go to the shared folder once, two bytes each (four for large vocabularies), and are sorted
+    by range, so equal or dense ids spread over tasks. Of the counts, one number for each id of the vocabulary
     reaches the driver.
     """
     spark = df.sparkSession
-    pieces = token_pieces(df.select(id_col, text_col), vocabulary, WHOLE, end_id, id_col, text_col)
-    ids = stage(pieces.select(F.col(id_col).alias("doc_id"), "length", "ids", F.monotonically_increasing_id().alias("row")))
-    counts = global_counts(ids).orderBy("id").toArrow()
+    width = _width(vocabulary)
+    ids = stage(text_ids(df, vocabulary, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    counts = global_counts(ids, width).orderBy("id").toArrow()
     symbols = counts["id"].to_numpy()
     lengths = code_lengths(counts["n"].to_numpy(), longest)
     listed = pa.table({"id": symbols.astype(np.int64), "bits": lengths.astype(np.int64)})
@@ -199,7 +231,7 @@ def write_ids(
         docs: list[tuple[int | None, np.ndarray]] = []
         held = 0
         for piece in sliced(batches):
-            flat, ends = _ids_of(piece.column(1))
+            flat, ends = _ids_of(piece.column(1), width)
             for k, doc in enumerate(piece.column(0).to_pylist()):
                 docs.append((doc, flat[ends[k] : ends[k + 1]].copy()))
                 held += len(docs[-1][1])
@@ -209,7 +241,7 @@ def write_ids(
         if docs:
             yield _block(book, part, first, docs)
 
-    by = [F.col("doc_id").asc_nulls_first(), F.col("length"), F.crc32("ids"), F.col("row")]
+    by = [F.col("doc_id").asc_nulls_first(), F.col("length"), F.col("crc"), F.col("row")]
     ordered = ids.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "ids")
     schema = (
         "part int, first bigint, n_ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
@@ -249,8 +281,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
             ends = offsets_of(sizes)
             opens = offsets_of(batch.column("n_ids").to_numpy())[:-1]
             start = ends[:-1] - opens[blocks_of] + batch.column("first").to_numpy()[blocks_of]
-            edges = pa.py_buffer((ends * 4).astype(np.int32))
-            blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(ids.astype("<u4"))])
+            blobs = _blobs(ids.astype("<u4"), ends)
             part = pa.array(batch.column("part").to_numpy()[blocks_of])
             yield pa.record_batch(
                 [batch.column("doc_ids").flatten(), part, pa.array(start), blobs], names=["doc_id", "part", "start", "ids"]

@@ -45,7 +45,7 @@ class ByteEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(packed: bytes) -> ByteEncoder:
+def byte_encoder(packed: bytes) -> ByteEncoder:
     return ByteEncoder(packed)
 
 
@@ -61,7 +61,7 @@ def token_pieces(
     packed = read(vocabulary)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, ends = _encoder(packed).encode(batch.column(1).to_pylist())
+        ids, ends = byte_encoder(packed).encode(batch.column(1).to_pylist())
         ids = np.insert(ids, ends[1:], end_id).astype("<u4")
         length = np.diff(ends) + 1
         pieces = -(-length // tokens)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import zlib
 from dataclasses import dataclass
 
 NO_PARENT = 1 << 60
+GONE = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,19 +49,29 @@ class Vocabulary:
         return ids
 
     def merge(self, word: bytes, ends: bool = True) -> tuple[int, ...]:
-        """Plain byte-pair merging: always the earliest merge, the leftmost one on ties."""
+        """Plain byte-pair merging: always the earliest merge, the leftmost one on ties.
+
+        Tokens are a linked list and possible merges a heap, so a word of n bytes takes n log n steps.
+        """
         ids = self.symbols(word, ends)
-        merged = self.merged
-        while len(ids) > 1:
-            best, where = NO_PARENT, -1
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                rank = merged.get(pair)
-                if rank is not None and rank[0] < best:
-                    best, where = rank[0], k
-            if where < 0:
-                break
-            ids[where : where + 2] = [merged[ids[where], ids[where + 1]][1]]
-        return tuple(ids)
+        n, merged = len(ids), self.merged
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k) for k, pair in enumerate(zip(ids, ids[1:])) if (found := merged.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            rank, left = heapq.heappop(heap)
+            right = after[left] if ids[left] >= 0 else n
+            found = merged.get((ids[left], ids[right])) if right < n else None
+            if not found or found[0] != rank:
+                continue  # one of the two went into another token since
+            ids[left], ids[right] = found[1], GONE
+            follower = after[left] = after[right]
+            if follower < n:
+                before[follower] = left
+            for k in (before[left], left):
+                if k >= 0 and after[k] < n and (found := merged.get((ids[k], ids[after[k]]))):
+                    heapq.heappush(heap, (found[0], k))
+        return tuple(i for i in ids if i >= 0)
 
 
 def read(path: str) -> bytes:
