@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -13,15 +15,56 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``, or below the warehouse if there is none.
 
-    All executors share either of them.
+    All executors share either of them. A warehouse on a local disk is only shared in local mode, so
+    elsewhere it is refused. Inside ``scratch`` the folder is below that one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    root = _scratch.get() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.sparkContext.master.startswith("local")
+        if not local and (warehouse.startswith("file:") or "://" not in warehouse and not _has_file_system(spark)):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse}/_staged"
     return f"{root.rstrip('/')}/gritline-{uuid.uuid4().hex}"
 
 
+def _has_file_system(spark: SparkSession) -> bool:
+    """Whether paths without a scheme are on a shared store."""
+    return not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete what is staged inside, at the end; gives a ``stage`` for the result, which stays."""
+    before, folder = _scratch.get(), shared_dir(spark)
+
+    def result(df: DataFrame) -> DataFrame:
+        inside = _scratch.set(before)
+        try:
+            return stage(df)
+        finally:
+            _scratch.reset(inside)
+
+    token = _scratch.set(folder)
+    try:
+        yield result
+    finally:
+        _scratch.reset(token)
+        delete(spark, folder)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal narrow rows that are about to grow, or to cost much time each, over all tasks."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
