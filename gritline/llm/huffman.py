@@ -288,8 +288,9 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
             )
 
     docs = blocks.mapInArrow(run, "doc_id bigint, part int, start bigint, ids binary")
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each part
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    joined = docs.join(before, docs["part"] == before["of_part"])
+    # One row for each task that wrote, so it is small whatever the number of ids.
+    joined = docs.join(F.broadcast(before), docs["part"] == before["of_part"])
     return joined.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
