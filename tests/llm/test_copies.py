@@ -244,6 +244,27 @@ def test_near_copies_of_0_8_to_0_9_meet(documents):
     assert sorted(r["doc_id"] for r in kept) == want
 
 
+@pytest.mark.parametrize("sample", [1, 64])
+def test_groups_of_a_template_go_by_its_pivot(documents, monkeypatch, sample):
+    """Texts with no to six changes: some are alike to the pivot, some to others only, some to none."""
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    pick = random.Random(31)
+    texts = []
+    for _ in range(2):
+        words = prose(pick, 150).split()
+        for k in range(90):
+            places = set(pick.sample(range(0, 150, 3), k % 7))
+            texts.append(" ".join(f"c{pick.randint(0, 1)}" if p in places else w for p, w in enumerate(words)))
+    want = kept_by_similarity(texts)
+    assert 20 < len(want) < 150
+    rows = document_rows(texts) + [(0, "a text of its own that shares its id", "en", "s", 1), (1, texts[1], "en", "s", 1)]
+    kept = near_copies.drop_near_copies(documents(rows, extra=True), dense_bucket=4).collect()
+    again = [1] if 1 in want else []
+    assert sorted(r["doc_id"] for r in kept) == sorted([*want, 0, *again])
+    assert [r["doc_id"] for r in kept if r["text"].startswith("a text of its own")] == [0]
+
+
 def test_near_copies_in_dense_buckets_of_others_meet(documents, monkeypatch):
     """Each place has one of two words, so that about half of all texts share any shingle."""
     monkeypatch.setattr(near_copies, "BLOCK", 16, raising=False)

@@ -33,7 +33,7 @@ def rows(df):
 def test_registered(spark):
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(queries.QUERIES)
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_columns_stay(stages):
