@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritline.functions import text as tx
+from gritline.operators.rule_index import indexed_hits
 from gritline.schemas import FINDING_COLUMNS
 from gritline.vocab import PRODUCT
 
@@ -265,14 +266,37 @@ def user_rules(rules: DataFrame) -> list[tuple[int, LineRule]]:
 def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Hits of user rules kept in a table.
 
-    Patterns become literals, a fixed number of rules to a pass over the lines, so that a task
-    compiles each once and no line is paired with rules. A null ``value_group`` is none.
+    Up to ``RULES_PER_PASS`` rules become literal patterns, as in :func:`line_hits`. Of more rules, a line
+    meets those of which it holds a text that their matches contain (:mod:`gritline.operators.rule_index`), and all
+    that have none. Either way the lines are read once, and no line is paired with all rules. A null
+    ``value_group`` is none.
     """
     known = user_rules(rules)
-    passes = []
-    for start in range(0, max(1, len(known)), RULES_PER_PASS):
-        part = known[start : start + RULES_PER_PASS]
-        index = F.array(*[F.lit(number) for number, _ in part]).cast("array<int>")
-        hits = line_hits(lines, [rule for _, rule in part])
-        passes.append(hits.withColumn("rule_idx", F.get(index, F.col("rule_idx"))))
-    return reduce(DataFrame.unionByName, passes)
+    if len(known) <= RULES_PER_PASS:
+        index = F.array(*[F.lit(number) for number, _ in known]).cast("array<int>")
+        hits = line_hits(lines, [rule for _, rule in known])
+        return hits.withColumn("rule_idx", F.get(index, F.col("rule_idx")))
+    checks = lines.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "place": pa.array(range(len(known)), pa.int32()),
+                "_pattern": [_java(rule.pattern) for _, rule in known],
+                "_languages": pa.array([rule.languages for _, rule in known], pa.list_(pa.string())),
+                "_group": pa.array([rule.value_group for _, rule in known], pa.int32()),
+                "_idx": pa.array([number for number, _ in known], pa.int32()),
+            }
+        )
+    )
+    value = F.expr("regexp_extract(text, _pattern, _group)")
+    matches = (
+        (F.col("_languages").isNull() | F.array_contains("_languages", F.col("language")))
+        & F.rlike(F.col("text"), F.col("_pattern"))
+        & ((F.col("_group") == 0) | ~looks_like_placeholder(value))
+    )
+    columns = [F.col(c) for c in ("text", "language", "_folded", "_wide")]
+
+    def mark(place: int) -> Column:
+        return F.when(rule_matches(known[place][1], *columns), F.lit(place)).otherwise(F.lit(-1))
+
+    hits = indexed_hits(with_folded(lines), checks, [rule.pattern for _, rule in known], mark, matches)
+    return hits.select(*lines.columns, F.col("_idx").alias("rule_idx"))

@@ -222,6 +222,31 @@ USER_RULES = [
 ]
 
 
+# Four shapes of rules on a word, by the word's place; the last two rules have no text that all matches hold.
+WORD_RULES = (
+    r"(?:^|[^A-Za-z]){}(?:[^A-Za-z]|$)",
+    r"(?i)(?:^|[^A-Za-z]){}[.,]",
+    r"(?:^|[^A-Za-z])(?:{0}|zz{0}), ",
+    r"(?:^|[^A-Za-z]){}\.$",
+)
+BARE_RULES = [
+    (5000, "own/5000", r"[0-9]{6}", "low", "style", "Digits", "", "", 0.5, None, None),
+    (5001, "own/5001", r"<[a-z][a-z0-9]?>", "low", "style", "Tag", "", "", 0.5, ["html"], None),
+]
+
+
+def word_rules(spark: SparkSession, sf_dir: str, count: int = 2000) -> DataFrame:
+    """Rules on the commonest words of all documents, as a rule table."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), 0)).alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(count)
+    rows = [
+        (k, f"own/{k}", WORD_RULES[k % 4].format(r["word"]), "low", "style", f"Word {k}", "", "", 0.5, ["text"] if k % 3 == 0 else None, None)
+        for k, r in enumerate(common.collect())
+    ]
+    return spark.createDataFrame(rows + BARE_RULES, "rule_idx int, rule_id string, pattern string, severity string, category string, "
+        "title string, description string, suggestion string, confidence double, languages array<string>, value_group int")
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (1), conversations (2) and pages (3) as files: repo_id, path, language, content."""
     turn = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))

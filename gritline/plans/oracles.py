@@ -507,6 +507,22 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN repo_id = 3 AND regexp_matches(lower(line), '<h[1-6]( |>)') THEN 2049 END]) AS rule_idx FROM l)
           SELECT CAST(repo_id AS BIGINT) AS repo_id, CAST(rule_idx AS INTEGER) AS rule_idx, count(*) AS n_hits, count(DISTINCT path) AS n_files
           FROM h WHERE rule_idx IS NOT NULL GROUP BY 1, 2""",
+        "user_rule_index": """WITH f AS (SELECT 1 AS repo_id, cast(doc_id as string) AS path, text AS content FROM documents
+            UNION ALL SELECT 2, cast(conv_id as string) || '-' || cast(turn as string), text FROM conversations
+            UNION ALL SELECT 3, cast(page_id as string), html FROM pages),
+          l AS (SELECT row_number() OVER () AS id, * FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line FROM f)),
+          n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS word FROM documents) GROUP BY 1),
+          r AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS rule_idx FROM n ORDER BY n DESC, word LIMIT 2000),
+          t AS (SELECT id, repo_id, path, 0 AS kind, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS word FROM l
+            UNION ALL SELECT id, repo_id, path, 1, lower(rtrim(unnest(regexp_extract_all(line, '[A-Za-z]+[.,]')), '.,')) FROM l
+            UNION ALL SELECT id, repo_id, path, 2, rtrim(unnest(regexp_extract_all(line, '[A-Za-z]+, ')), ', ') FROM l
+            UNION ALL SELECT id, repo_id, path, 3, regexp_extract(line, '([A-Za-z]+)[.]$', 1) FROM l),
+          h AS (SELECT DISTINCT id, repo_id, path, rule_idx FROM t JOIN r ON kind = rule_idx % 4 AND (repo_id < 3 OR rule_idx % 3 <> 0)
+              AND (t.word = CASE kind WHEN 1 THEN lower(r.word) ELSE r.word END OR kind = 2 AND t.word = 'zz' || r.word)
+            UNION ALL SELECT id, repo_id, path, 5000 FROM l WHERE regexp_matches(line, '[0-9]{6}')
+            UNION ALL SELECT id, repo_id, path, 5001 FROM l WHERE repo_id = 3 AND regexp_matches(line, '<[a-z][a-z0-9]?>'))
+          SELECT CAST(repo_id AS BIGINT) AS repo_id, CAST(rule_idx AS INTEGER) AS rule_idx, count(*) AS n_hits, count(DISTINCT path) AS n_files
+          FROM h GROUP BY 1, 2""",
         "diff_report": _with(
             "files contents found_diff raw", "SELECT r AS repo_id, 'origin/main...' || CASE WHEN r % 2 = 1 THEN 'h' || cast(r as string) ELSE 'WORKTREE' END AS target, "
             "'heuristic' AS mode, '' AS model, coalesce(files_scanned, 0) AS files_scanned, coalesce(n_errors, 0) AS n_errors, "

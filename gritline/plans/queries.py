@@ -372,6 +372,13 @@ def user_rule_scan(spark, sf):
     return hits.groupBy("repo_id", "rule_idx").agg(F.count("*").alias("n_hits"), F.countDistinct("path").alias("n_files"))
 
 
+@query
+def user_rule_index(spark, sf):
+    """2,002 rules over the lines of all documents, conversations and pages, which are read once."""
+    hits = rl.table_rule_hits(explode_lines(fx.text_files(spark, sf)), fx.word_rules(spark, sf))
+    return hits.groupBy("repo_id", "rule_idx").agg(F.count("*").alias("n_hits"), F.countDistinct("path").alias("n_files"))
+
+
 @query
 def scan_errors(spark, sf):
     files = fx.file_list(spark, sf).withColumn("content", F.when(F.col("file_id") % 13 != 0, "x = 1"))
