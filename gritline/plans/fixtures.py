@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.operators.lines import fold_lines
-from gritline.operators.skew import spread
+from gritline.operators.skew import shared_dir, spread
+from gritline.sinks.folders import write_files
 
 N_REPOS = 40
 
@@ -134,6 +135,20 @@ def code_files(spark: SparkSession, sf_dir: str, *, known: bool = True) -> DataF
     return fold_lines(code_lines(spark, sf_dir, known=known), ["file_id", "repo_id", "path", "language"])
 
 
+UNREADABLE = 17  # of so many files, the checksum of one is wrong
+
+
+def code_folder(spark: SparkSession, sf_dir: str) -> str:
+    """F4 as files of a shared folder, below the number of their repository; some of them can't be read."""
+    folder = shared_dir(spark)
+    files = code_files(spark, sf_dir).select(
+        F.concat_ws("/", F.col("repo_id").cast("string"), "path").alias("path"), "content",
+        F.when(F.col("file_id") % UNREADABLE == 3, F.unhex(F.lit("63726300000002000000000000"))).alias("wrong"),
+    )
+    write_files(files, folder, "wrong")
+    return folder
+
+
 # A diff covers the files of a repository among 400 consecutive orders, ten at most, and
 # 1000 lines of each; longer files continue in the next part. No diff grows beyond that.
 DIFF_SPAN = 400
@@ -166,6 +181,29 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def diff_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of F2's diffs as rows: repo_id, diff_id, part, file_id, at (place in the file's part), text."""
+    lines = raw_lines(spark, sf_dir).withColumns(
+        {
+            "part": F.floor((F.col("line_no") - 1) / DIFF_LINES).cast("int"),
+            "diff_id": F.floor(F.col("file_id") / DIFF_SPAN).cast("bigint"),
+        }
+    )
+    keys = ["repo_id", "diff_id", "part", "file_id"]
+    deleted = F.col("file_id") % 5 == 0
+    sign = F.when(deleted, "-").otherwise("+")
+    body = lines.select(*keys, (F.col("line_no") + 2).cast("bigint").alias("at"), F.concat(sign, "text").alias("text"))
+    heads = lines.groupBy(*keys, "path").agg(F.count("*").cast("string").alias("n"))
+    start = (F.col("file_id") % 50 + 1 + F.col("part") * DIFF_LINES).cast("string")
+    target = F.when(deleted, "/dev/null").otherwise(F.concat(F.lit("b/"), F.col("path")))
+    hunk = F.when(deleted, F.concat(F.lit("@@ -1,"), F.col("n"), F.lit(" +0,0 @@"))).otherwise(
+        F.concat(F.lit("@@ -0,0 +"), start, F.lit(","), F.col("n"), F.lit(" @@"))
+    )
+    texts = F.array(F.concat(F.lit("--- a/"), F.col("path")), F.concat(F.lit("+++ "), target), hunk)
+    headers = heads.select(*keys, F.posexplode(texts).alias("at", "text"))
+    return body.unionByName(headers.withColumn("at", F.col("at").cast("bigint")))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, ok, payload; one message per file, every eleventh call failed."""
     lines = raw_lines(spark, sf_dir).withColumn("text", F.expr(ITEM_SQL))

@@ -455,6 +455,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT repo_id, path, count(*) AS n_focus, string_agg(cast(line_no as string), ', ' ORDER BY line_no) FILTER (line_no <= 12) AS summary FROM big GROUP BY 1, 2)",
         ),
         "diff_lines": _with("changed", "SELECT repo_id, diff_id, part, path, line_no FROM changed"),
+        "diff_lines_ranged": _with("changed", "SELECT repo_id, diff_id, part, path, line_no FROM changed"),
+        "diff_one_ranged": _with("changed", "SELECT DISTINCT path, line_no FROM changed"),
         "diff_scan": _with(
             "found_diff", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_diff "
             f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
@@ -464,6 +466,13 @@ def oracle_sql() -> dict[str, str]:
             "found_small", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_small "
             f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}]) {_CAP}",
         ),
+        "folder_scan": _with(
+            "found_small contents", "SELECT kind, cast(repo_id as string) || '/' || path AS path, CAST(line AS INTEGER) AS line, "
+            "CASE kind WHEN 'error' THEN cast(repo_id as string) || '/' || path || ': unreadable' ELSE rule_id END AS detail FROM ("
+            f"SELECT 'finding' AS kind, * FROM (SELECT f.*, file AS path FROM found_small f WHERE true {_CAP}) WHERE file_id % 17 <> 3 AND file_id IN (SELECT file_id FROM contents WHERE strlen(content) <= 300) "
+            "UNION ALL BY NAME SELECT 'error' AS kind, repo_id, path, 0 AS line FROM contents WHERE language IS NOT NULL AND strlen(content) <= 300 AND file_id % 17 = 3) "
+            f"WHERE NOT list_has_any(string_split(path, '/')[:-2], [{skip}])",
+        ),
         "content_scan": _with(
             "files raw template rules", "SELECT raw.repo_id, raw.path AS file, line_no AS line, rule_id, 'heuristic' AS source FROM raw JOIN files USING (file_id) "
             "JOIN template ON l_partkey % 18 = template JOIN rules USING (rule_idx) "

@@ -14,6 +14,7 @@ from gritline.operators import findings as fd
 from gritline.operators import focus as fc
 from gritline.operators import policy as pol
 from gritline.operators import rules as rl
+from gritline.operators.diff_ranges import parse_diff_lines
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats, line_classes
 from gritline.operators.skew import position_in_group, shared_dir, stage
@@ -314,6 +315,18 @@ def diff_lines(spark, sf):
     return parse_diffs(fx.diffs(spark, sf))
 
 
+@query
+def diff_lines_ranged(spark, sf):
+    """The same diffs, with their lines as rows."""
+    return parse_diff_lines(fx.diff_line_rows(spark, sf), ["repo_id", "diff_id", "part"], ["file_id", "at"])
+
+
+@query
+def diff_one_ranged(spark, sf):
+    """One diff of all lines there are."""
+    return parse_diff_lines(fx.diff_line_rows(spark, sf), [], ["repo_id", "diff_id", "part", "file_id", "at"])
+
+
 @query
 def diff_scan(spark, sf):
     """Current files start with the lines before the hunk; the lib folder is gone."""
@@ -357,6 +370,15 @@ def content_scan(spark, sf):
     return found.select("repo_id", "file", "line", "rule_id", "source")
 
 
+@query
+def folder_scan(spark, sf):
+    """Findings in the files of a folder, none of them over 300 bytes, and an error for each that can't be read."""
+    files = fs.read_repository(spark, fx.code_folder(spark, sf), max_bytes=300)
+    found = sc.scan_files(files).select(F.lit("finding").alias("kind"), F.col("file").alias("path"), "line", F.col("rule_id").alias("detail"))
+    errors = fs.read_errors(files).select(F.lit("error").alias("kind"), "path", F.lit(0).alias("line"), F.col("error").alias("detail"))
+    return found.unionByName(errors)
+
+
 @query
 def mixed_scan(spark, sf):
     """Python files in which both line and syntax rules find something, one with more than the cap."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import text as tx
-from gritline.operators.skew import salted_join
+from gritline.operators.skew import salted_join, stage
 from gritline.vocab import EXTENSION_LANGUAGE, MAX_BYTES
 
 
@@ -22,29 +22,51 @@ def read_repository(
     exclude: Sequence[str] | None = None,
     max_bytes: int = MAX_BYTES,
     manifest: DataFrame | None = None,
+    on_error: str = "row",
 ) -> DataFrame:
     """Source files below a root folder as (repo_id, path, language, content).
 
-    Size and path filters come before the bytes are decoded; ``length`` is pushed into the
-    file source, so larger files are never opened.
+    All filters, on size, name, globs and folders, are settled from the listing, so other files are never opened.
+    A file that is listed but can't be read has a null content, from which :func:`read_errors` makes
+    its error row. For that, the contents are read once, written to the shared folder, and compared with the
+    listing by path. With ``on_error="fail"`` nothing is written, and such a file ends the read.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", extension_glob())
-        .load(root)
-        .where(F.col("length") <= max_bytes)
-    )
-    plain = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), "/+", "/")
-    listed = raw.select(
-        F.lit(repo_id).cast("bigint").alias("repo_id"),
-        px.relative_to(plain, root.split(":", 1)[-1] if "://" not in root else "/" + root.split("://", 1)[1].split("/", 1)[-1]).alias("path"),
-        "content",
-    )
-    chosen = select_files(listed, include=include, exclude=exclude, manifest=manifest)
-    return chosen.withColumn("content", tx.decode_source(F.col("content"))).select(
-        "repo_id", "path", "language", "content"
-    )
+    if on_error not in ("row", "fail"):
+        raise ValueError(f"on_error is row or fail, not {on_error}")
+
+    def chosen(tolerant: str) -> DataFrame:
+        raw = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", extension_glob())
+            .option("ignoreCorruptFiles", tolerant)
+            .option("ignoreMissingFiles", tolerant)
+            .load(root)
+            .where(F.col("length") <= max_bytes)
+        )
+        # The path as the listing knows it, so that a filter on it drops files before they are opened.
+        listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        named = raw.select(
+            F.lit(repo_id).cast("bigint").alias("repo_id"), px.relative_to(_plain(listed), _plain_root(root)).alias("path"), "content"
+        )
+        return select_files(named, include=include, exclude=exclude, manifest=manifest).select(
+            "repo_id", "path", "language", tx.decode_source(F.col("content")).alias("content")
+        )
+
+    if on_error == "fail":
+        return chosen("false")
+    read = stage(chosen("true"))
+    missing = chosen("true").drop("content").join(read.select("path"), "path", "left_anti")
+    return read.unionByName(missing.withColumn("content", F.lit(None).cast("string")))
+
+
+def _plain(path: Column) -> Column:
+    """A path without its scheme and store."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?", ""), "/+", "/")
+
+
+def _plain_root(root: str) -> str:
+    return root.split(":", 1)[-1] if "://" not in root else "/" + root.split("://", 1)[1].split("/", 1)[-1]
 
 
 def extension_glob() -> str:
