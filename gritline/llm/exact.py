@@ -137,18 +137,20 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat an id and a text, one stays.
 
-    Decisions are matched to rows by id and text hash.
+    Decisions are matched to rows by id and text hash. Null text is empty, a null id is an id like another, and an
+    empty table gives an empty one. Rows travel as one struct, so no name of a column is in the way.
     """
     groups = exact_groups(df, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keyed = df.withColumn("_own", sha)
-    same = keyed[id_col].cast("bigint").eqNullSafe(gone["_id"]) & (keyed["_own"] == gone["_sha"])
-    kept = keyed.join(gone, same, "left_anti")
+    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    keyed = df.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"),
+        F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text"),
+    )
+    kept = keyed.join(gone, F.col("own").eqNullSafe(F.col("id")) & (F.col("text") == F.col("sha")), "left_anti")
     doubled = groups.where("kept AND group_size > 1").groupBy(id_col, "text_sha256").count().where("count > 1")
     if doubled.isEmpty():
-        return kept.drop("_own")
-    twice = doubled.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = kept[id_col].cast("bigint").eqNullSafe(twice["_id"]) & (kept["_own"] == twice["_sha"])
-    once = kept.join(twice, same, "left_semi").dropDuplicates([id_col, "_own"])
-    return kept.join(twice, same, "left_anti").unionByName(once).drop("_own")
+        return kept.select("row.*")
+    twice = doubled.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("text") == F.col("sha"))
+    once = kept.join(twice, same, "left_semi").dropDuplicates(["own", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(once).select("row.*")

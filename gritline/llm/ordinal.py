@@ -17,6 +17,7 @@ from gritline.llm.pretokens import Known, pretokens, segments
 
 BUCKETS = 1 << 20
 SAMPLE = 3000
+MARKS = 4
 REPEATED = BUCKETS - 1  # stands for a pair of tokens that its text had before
 
 
@@ -227,7 +228,7 @@ def sample(df: DataFrame, graded: DataFrame, per_grade: int, id_col: str = "doc_
     )
 
 
-def _telling(data: Sample, n_grades: int, errors: float) -> np.ndarray:
+def telling_buckets(data: Sample, n_grades: int, errors: float) -> np.ndarray:
     """Buckets whose share of rows differs between the grades above and below some threshold."""
     found = np.bincount(data.columns, minlength=BUCKETS)
     chosen = np.zeros(BUCKETS, bool)
@@ -260,7 +261,7 @@ def train(
         only = int(data.grades[0]) if len(data.grades) else n_grades - 1
         sure = np.array([-40.0 if k < only else 40.0 for k in range(n_grades - 1)])
         return Model(empty, empty.astype(np.float32), sure, power)
-    chosen = _telling(data, n_grades, telling)
+    chosen = telling_buckets(data, n_grades, telling)
     if among is not None:
         chosen[:] = False
         chosen[among] = True
@@ -273,11 +274,14 @@ def train(
     return Model(used, (weights / scale).astype(np.float32), thresholds, power)
 
 
-def sample_scores(model: Model, data: Sample) -> np.ndarray:
-    dense = _dense(model)
-    return np.bincount(data.rows, data.counts * dense[data.columns], len(data.grades)) / (
-        np.maximum(data.tokens, 1) ** model.power
-    )
+def marked_tokens(data: Sample, chosen: np.ndarray) -> np.ndarray:
+    """How many of each row's features are in ``chosen`` buckets that ``MARKS`` times the share of rows above grade 0 have."""
+    above = data.grades > 0
+    n, m = len(above), max(1, int(above.sum()))
+    found = np.bincount(data.columns, minlength=BUCKETS)
+    with_it = np.bincount(data.columns[above[data.rows]], minlength=BUCKETS)
+    marking = chosen & (with_it / m > MARKS * (found - with_it) / max(1, n - m))
+    return np.bincount(data.rows, data.counts * marking[data.columns], n)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from gritline.llm.vocabulary import load, read
 from gritline.operators.skew import stage
 
 BLOCK_ROWS = 4096
+WEIGHTS = (1.0, 0.2, 0.2)  # of tokens, documents and attention
 
 
 class ByteEncoder:
@@ -133,12 +134,18 @@ def pack(
     the sum of squared lengths; without a number, a resource can't run out before tokens do.
     ``weights`` are those of the three resources in ``rule`` (see ``best_fit``).
 
-    Rows are dealt into blocks of about ``block_rows`` by a hash of all columns, and each block is
-    packed alone. A block wastes about one sequence, so the total is within a fraction of a
-    percent of one large packing, and no task grows with the table. Equal rows stay apart rows,
-    an empty table gives an empty one.
+    Rows are dealt into blocks of about ``block_rows`` by a hash of their place in the table, so equal rows
+    spread, too, and each block is packed alone. A block wastes about one sequence, so the total is within a
+    fraction of a percent of one large packing, and no task grows with the table. Equal rows stay apart rows,
+    an empty table gives an empty one. All other columns are kept; a table that has one of the two new ones, or a
+    null length, is refused.
     """
-    pieces = pieces.drop("sequence_id", "offset", "_block")
+    taken = {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}
+    if taken:
+        raise ValueError(f"the table already has {', '.join(sorted(taken))}")
+    own = "block"
+    while own in {c.lower() for c in pieces.columns}:
+        own += "_"
     blocks = max(1, -(-pieces.count() // block_rows))
     capacity = np.array([tokens, documents or tokens, attention or tokens * tokens], float)
     weigh = np.array(weights, float)
@@ -147,16 +154,21 @@ def pack(
         length = table["length"].to_numpy().astype(float)
         demand = np.stack([length, np.ones_like(length), length**2], axis=1)
         bins, place = best_fit(demand, capacity, weigh, rule)
-        block = table["_block"][0].as_py()
-        out = table.drop_columns("_block")
+        block = table[own][0].as_py()
+        out = table.drop_columns(own)
         return out.append_column("sequence_id", pa.array((block << 32) + bins)).append_column("offset", pa.array(place))
 
-    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64(*pieces.columns), F.lit(blocks)))
+    keyed = pieces.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return keyed.groupBy("_block").applyInArrow(work, f"{schema}, sequence_id bigint, offset bigint")
+    return keyed.groupBy(own).applyInArrow(work, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(df: DataFrame, vocabulary: str, tokens: int) -> DataFrame:
-    """Pieces of all documents with their checksum, place and sequence (without the ids)."""
+def pack_documents(df: DataFrame, vocabulary: str, tokens: int, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Pieces of all documents with their checksum, place and sequence (without the ids).
+
+    Documents and attention weigh in the choice of a sequence, but have as much room as ``tokens`` leaves them: a tighter
+    limit would take more sequences. Other columns of ``df`` are not read, whatever their names; null text is empty.
+    """
     pieces = token_pieces(df, vocabulary, tokens)
-    return pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), tokens)
+    listed = stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack(listed, tokens, documents=tokens, attention=tokens * tokens, weights=weights)

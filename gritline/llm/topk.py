@@ -151,7 +151,7 @@ def search_tile(table: pa.Table, k: int) -> pa.Table:
     vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
     is_query = table["is_query"].to_numpy()
     qi, q = _distinct(ids[is_query], vectors[is_query])
-    ri, r = _distinct(ids[~is_query], vectors[~is_query])
+    ri, r = ids[~is_query], vectors[~is_query]
     out_q, out_i, out_s = [], [], []
     if len(qi) and len(ri):
         largest = [max(map(abs, (int(x.max(initial=0)), int(x.min(initial=0))))) for x in (q, r)]
@@ -174,8 +174,8 @@ def top_k(
 
     Queries are the rows whose id is divisible by ``every``. Components become floor(scale * x), the
     score is the inner product, and ties go to the smaller id. Vectors that are null or hold null
-    or non-finite components, and rows with a null id, take no part. Rows that repeat an id count
-    once, the one with the smaller vector. Only vectors of equal length are compared. Scores
+    or non-finite components, and rows with a null id, take no part. Of rows that repeat the id of a
+    query, the one with the smallest vector asks; all rows of other ids are candidates, repeated ones too. Only vectors of equal length are compared. Scores
     beyond 64 bits are cut to the limits of a long before they are ranked; components are, too.
 
     Queries and rows are dealt into tiles of bounded size by a hash of the id, so equal vectors

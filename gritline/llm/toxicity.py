@@ -16,19 +16,20 @@ FITTED = {"power": 0.25, "telling": 6.0}
 def train(df: DataFrame, labels: DataFrame, per_grade: int = ordinal.SAMPLE) -> ordinal.Model:
     """Fit severity on at most ``per_grade`` labelled documents that are toxic, and as many that aren't.
 
-    Labels say only whether a document is toxic. A first fit with one threshold scores the sample;
-    the toxic half with the higher scores, where more of the text is marked, is the severe grade.
-    The second fit has both thresholds, and the buckets that tell toxic text from other text.
+    Labels say only whether a document is toxic. How severe it is comes from its text: a token that toxic
+    documents of the sample have far more often than others marks it, and toxic documents with more such tokens than
+    the middle one are the severe grade. So the second threshold learns a count on labelled rows, no model's score. All
+    thresholds share the weights of the buckets that tell toxic text from other text.
     """
     graded = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("grade"))
     data = ordinal.sample(df, graded.where("grade IN (0, 1)"), per_grade)
-    first = ordinal.train(data, 2, **FITTED)
-    score = ordinal.sample_scores(first, data)
+    chosen = ordinal.telling_buckets(data, 2, FITTED["telling"])
+    marks = ordinal.marked_tokens(data, chosen)
     toxic = data.grades == 1
     if toxic.any() and not toxic.all():
-        data.grades = data.grades + (toxic & (score > np.median(score[toxic])))
+        data.grades = data.grades + (toxic & (marks > np.median(marks[toxic])))
         data.share = 1 / np.maximum(np.bincount(data.grades), 1)[data.grades]
-    return ordinal.train(data, GRADES, **FITTED, among=first.buckets)
+    return ordinal.train(data, GRADES, **FITTED, among=np.flatnonzero(chosen))
 
 
 def severity(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,6 +70,13 @@ def test_drop_copies(documents, copies):
     assert {r["doc_id"]: r["text"] for r in kept} == {k: copies[k] for k in last.values()}
 
 
+def test_drop_copies_keeps_any_column(documents):
+    df = documents(document_rows(["a", "a", None, "", "b"])).selectExpr("*", "1 AS _own", "2 AS own", "3 AS row", "4 AS sha")
+    kept = exact.drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["_own"], r["own"], r["row"], r["sha"]) for r in kept.collect()) == [(k, 1, 2, 3, 4) for k in (1, 3, 4)]
+
+
 def test_exact_empty_table(documents):
     assert exact.exact_groups(documents([])).count() == 0
     assert exact.drop_copies(documents([])).count() == 0

@@ -1,6 +1,8 @@
 """Encoding, decoding, counts and packing against the library."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -97,6 +99,45 @@ def test_packing_with_documents_limit(spark):
     assert [r["count"] for r in packed] == [3] * 6 + [2] or sorted(r["count"] for r in packed) == [2, 3, 3, 3, 3, 3, 3]
 
 
+def test_all_three_resources_weigh(spark):
+    """Leaving out a weight gives another packing, in as many sequences."""
+    lengths = np.random.default_rng(1).integers(1, 2048, 2000).astype(float)
+    demand = np.stack([lengths, np.ones(2000), lengths**2], axis=1)
+    capacity = np.array([2048.0, 2048.0, 2048.0**2])
+    packings = []
+    for weights in (packing.WEIGHTS, (1, 0.2, 0), (1, 0, 0.2), (1, 0, 0)):
+        bins, _ = packing.best_fit(demand, capacity, np.array(weights, float), "norm")
+        packings.append(frozenset(frozenset(np.flatnonzero(bins == b).tolist()) for b in range(bins.max() + 1)))
+    assert len(set(packings)) == 4 and all(w > 0 for w in packing.WEIGHTS)
+    assert {len(p) for p in packings} == {len(packings[0])}
+
+
+def test_packing_keeps_columns_and_spreads_equal_rows(spark):
+    rows = spark.createDataFrame([(5, "x", 1)] * 1000, "length long, block string, _block int")
+    got = packing.pack(rows, 50, block_rows=100).collect()
+    assert {(r["block"], r["_block"]) for r in got} == {("x", 1)} and len(got) == 1000
+    blocks = {r["sequence_id"] >> 32 for r in got}
+    assert len(blocks) == 10
+    for taken in ("offset", "SEQUENCE_ID"):
+        with pytest.raises(ValueError):
+            packing.pack(rows.withColumnRenamed("block", taken), 50)
+
+
+@pytest.mark.parametrize("letters", ["ab", "theing", "x", "abcdefghijklmnopqrstuvwxyz"])
+def test_very_long_words(documents, letters):
+    """Words of 200,000 letters end within seconds, in each of the three."""
+    pick = random.Random(8)
+    text = "".join(pick.choice(letters) for _ in range(200_000))
+    df = documents(document_rows([text]))
+    words, pieces = (library(path, [text])[0] for path in (WORDS, BYTES))
+    started = time.perf_counter()
+    assert token_counts.count_tokens(df, WORDS).first()["n_tokens"] == len(words)
+    assert list(bpe.encode(df, WORDS).first()["ids"]) == words
+    got = packing.pack_documents(df, BYTES, 2048).orderBy("piece").collect()
+    assert [r["length"] for r in got] == [len(p) for p in pieces_of([*pieces, 0], 2048)]
+    assert time.perf_counter() - started < 60
+
+
 def test_empty_tables(documents):
     none = documents([])
     assert bpe.decode(bpe.encode(none, WORDS), WORDS).count() == 0
