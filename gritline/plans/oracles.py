@@ -344,6 +344,13 @@ _FACTS = [
     (5, 1, "FunctionDef", "long_", 1, 81, 0),
 ]
 
+# Order kind, node kind, how often, how deep at most.
+_SHAPES = [
+    (0, "FunctionDef", 1, 1), (0, "List", 1, 3), (0, "Dict", 1, 3), (1, "Pass", 2, 3), (1, "ExceptHandler", 1, 2), (2, "Pass", 2, 3), (2, "ExceptHandler", 1, 2),
+    (3, "FunctionDef", 1, 1), (3, "Compare", 1, 3), (3, "Eq", 1, 4), (3, "None", 1, 4), (4, "FunctionDef", 1, 1), (4, "Compare", 1, 3), (4, "Eq", 1, 4),
+    (4, "None", 1, 4), (5, "FunctionDef", 1, 1),
+]
+
 _NUMBERED = """string_agg(lpad(cast(line_no as string), cast(length(cast(n as string)) as integer), ' ') || '| ' || text, chr(10) ORDER BY line_no)"""
 
 _SCRIPT_SQL = r"""SELECT page_id, i - 1 AS n, scripts[i] AS content FROM (
@@ -415,6 +422,9 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN name = 'long_' THEN name || cast(o_orderkey as string) ELSE name END AS name, line, end_line, n_children
             FROM orders JOIN {_values(_FACTS)} AS t(arm, walk_seq, kind, name, line, end_line, n_children) ON o_orderkey % 6 = arm""",
         "syntax_findings": _syntax_rows(),
+        "syntax_patterns": _syntax_rows(),
+        "tree_shapes": f"""SELECT o_orderkey % 40 AS repo_id, kind, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(max(depth) AS INTEGER) AS max_depth
+            FROM orders JOIN {_values(_SHAPES)} AS t(arm, kind, n, depth) ON o_orderkey % 6 = arm GROUP BY 1, 2""",
         # findings
         "normalize_findings": _with("raw", _loose()),
         "rule_id": _with("found", f"SELECT category, title, rule_id, {_DERIVED} AS derived, count(*) AS n_findings FROM found GROUP BY ALL"),

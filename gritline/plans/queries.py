@@ -14,6 +14,7 @@ from gritline.operators import findings as fd
 from gritline.operators import focus as fc
 from gritline.operators import policy as pol
 from gritline.operators import rules as rl
+from gritline.operators import syntax_trees as trees
 from gritline.operators.diff_ranges import parse_diff_lines
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats, line_classes
@@ -189,6 +190,22 @@ def syntax_findings_query(spark, sf):
 QUERIES["syntax_findings"] = QUERIES.pop("syntax_findings_query")
 
 
+@query
+def syntax_patterns(spark, sf):
+    """The syntax rules as rows of tree patterns."""
+    found = trees.pattern_findings(fx.py_files(spark, sf), trees.tree_steps(spark), trees.tree_texts(spark))
+    return found.select(
+        "repo_id", "file", "line", "end_line", "severity", "category", "title", "confidence", "rule_id", "code"
+    )
+
+
+@query
+def tree_shapes(spark, sf):
+    """Nodes by kind, of those kinds that the syntax rules look at."""
+    kinds = ["ExceptHandler", "Pass", "FunctionDef", "AsyncFunctionDef", "Compare", "Eq", "NotEq", "None", "List", "Dict", "Set"]
+    return trees.tree_shapes(fx.py_files(spark, sf)).where(F.col("kind").isin(kinds))
+
+
 # --- findings --------------------------------------------------------------------------------
 
 
