@@ -292,6 +292,25 @@ def _report_sarif() -> str:
     )
 
 
+def _rerendered(parts: str) -> str:
+    """A report's parts for each file on its own; every nineteenth report is broken."""
+    whole = "file_id % 19 <> 0"
+    views = {
+        "file_found": f"SELECT * REPLACE (file_id AS repo_id) FROM found WHERE {whole}",
+        "file_headers": "SELECT files.file_id AS repo_id, any_value(files.path) AS target, 'heuristic' AS mode, '' AS model, 1 AS files_scanned, "
+        + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
+        + f", count(found.file_id) AS total FROM files LEFT JOIN found USING (file_id) WHERE language IS NOT NULL AND files.{whole} GROUP BY 1",
+        "file_sarif_first": _CTES["sarif_first"].replace("FROM found", "FROM file_found"),
+        "file_result_rows": _CTES["result_rows"].replace("FROM found", "FROM file_found"),
+    }
+    for name in ("found", "headers", "sarif_first", "result_rows"):
+        parts = parts.replace(f"FROM {name}", f"FROM file_{name}")
+    parts = parts.replace("FROM files WHERE language IS NOT NULL", f"FROM (SELECT file_id AS repo_id, path FROM files WHERE language IS NOT NULL AND {whole})")
+    parts = parts.replace("FROM files WHERE language IS NULL", "FROM files WHERE false")
+    named = ", ".join(f"{name} AS ({select})" for name, select in views.items())
+    return _with("files found", f"SELECT repo_id, section, body FROM (WITH {named} {parts})")
+
+
 def _syntax_rows() -> str:
     """Expected syntax findings of F6, by the arm that wrote the module."""
 
@@ -553,19 +572,21 @@ def oracle_sql() -> dict[str, str]:
             + ", count(*) AS total FROM (SELECT * FROM found_diff WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' AND repo_id <> 3 "
             f"{_CAP}) GROUP BY 1) USING (r)",
         ),
+        "diff_report_rows": _with(
+            "files contents found_diff raw", "SELECT 'finding' AS kind, repo_id, file AS path, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id AS detail FROM ("
+            f"SELECT * FROM found_diff WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' AND repo_id <> 3 {_CAP}) "
+            "UNION ALL SELECT 'path', repo_id, path, CAST(0 AS INTEGER), '' FROM contents WHERE language IS NOT NULL "
+            "AND file_id % 5 <> 0 AND path NOT LIKE '%.min.js' AND path NOT LIKE 'lib/%' AND strlen(content) + file_id % 50 <= 200000 AND repo_id <> 3 "
+            "UNION ALL SELECT 'error', repo_id, '', CAST(0 AS INTEGER), 'diff failed: no text' FROM ("
+            "SELECT DISTINCT repo_id, file_id // 400, (line_no - 1) // 1000 FROM raw WHERE repo_id = 3)",
+        ),
         "policy_size": _with(
             "contents policies", "SELECT contents.repo_id, path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM contents LEFT JOIN policies USING (repo_id) "
             "WHERE language IS NOT NULL AND strlen(content) <= coalesce(max_bytes, 200000)",
         ),
-        "report_rerender": _with(
-            "files found", f"""SELECT file_id AS repo_id, section, body FROM (SELECT file_id, unnest([
-              {{'section': 0, 'body': '## 🤖 {PRODUCT} report' || chr(10) || chr(10) || '**Mode:** heuristic · **Model:** `heuristics` · **Files scanned:** 1 · **Findings:** ' || total || chr(10)}},
-              {{'section': 1, 'body': CASE WHEN total = 0 THEN '✅ No issues found in the analyzed code.' ELSE '| Severity | Count |' || chr(10) || '| --- | --- |' || chr(10) || """
-            + " || ".join(f"CASE WHEN {s} > 0 THEN '| {SEVERITY_EMOJI[s]} {s} | ' || {s} || ' |' || chr(10) ELSE '' END" for s in SEVERITIES)
-            + " END}], recursive := true) FROM (SELECT files.file_id, count(found.file_id) AS total, "
-            + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)
-            + " FROM files LEFT JOIN found USING (file_id) WHERE language IS NOT NULL AND files.file_id % 19 <> 0 GROUP BY 1))",
-        ),
+        "report_rerender": _rerendered(_report_markdown()),
+        "report_rerender_json": _rerendered(_report_json()),
+        "report_rerender_sarif": _rerendered(_report_sarif()),
         "report_gate": _with(
             "files found", "SELECT files.file_id AS repo_id, 'high' AS fail_on, count(*) FILTER (severity IN ('critical', 'high')) AS n_at_or_above, "
             "CASE WHEN count(*) FILTER (severity IN ('critical', 'high')) > 0 THEN 'fail' ELSE 'pass' END AS gate "

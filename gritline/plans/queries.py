@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -354,9 +356,7 @@ def diff_scan(spark, sf):
     return found.select("repo_id", "file", "line", "rule_id", "code")
 
 
-@query
-def diff_report(spark, sf):
-    """Headers of one diff scan per repository; the diffs of repository 3 failed."""
+def _diff_report(spark, sf):
     lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
     files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
     current = files.withColumn("content", F.concat(lead, F.col("content")))
@@ -366,7 +366,25 @@ def diff_report(spark, sf):
         ds.target_label(F.lit("origin/main"), head).alias("target"),
         F.when(F.col("repo_id") != 3, F.col("diff_text")).alias("diff_text"),
     )
-    return sc.diff_report(diffs, current, exclude=["*.min.js"])[0]
+    return sc.diff_report(diffs, current, exclude=["*.min.js"])
+
+
+@query
+def diff_report(spark, sf):
+    """Headers of one diff scan per repository; the diffs of repository 3 failed."""
+    return _diff_report(spark, sf)[0]
+
+
+@query
+def diff_report_rows(spark, sf):
+    """Findings, paths and errors of the same scans."""
+    _, found, paths, errors = _diff_report(spark, sf)
+    parts = [
+        found.select(F.lit("finding").alias("kind"), "repo_id", F.col("file").alias("path"), "line", F.col("rule_id").alias("detail")),
+        paths.select(F.lit("path").alias("kind"), "repo_id", "path", F.lit(0).alias("line"), F.lit("").alias("detail")),
+        errors.select(F.lit("error").alias("kind"), "repo_id", "path", F.lit(0).alias("line"), F.col("error").alias("detail")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- whole scans ---------------------------------------------------------------------------------
@@ -605,9 +623,23 @@ def report_errors(spark, sf):
 
 @query
 def report_rerender(spark, sf):
-    """Titles and tables of saved reports, rendered again as Markdown."""
-    headers, found, _, _ = sc.reloaded(_reparsed(spark, sf))
-    return doc.markdown_parts(headers, found).where("section < 2").select("repo_id", "section", "body")
+    """Saved reports, rendered again as Markdown."""
+    return _rerendered(spark, sf, "markdown")
+
+
+@query
+def report_rerender_json(spark, sf):
+    return _rerendered(spark, sf, "json")
+
+
+@query
+def report_rerender_sarif(spark, sf):
+    return _rerendered(spark, sf, "sarif")
+
+
+def _rerendered(spark, sf, kind):
+    headers, found, paths, errors = sc.reloaded(stage(_reparsed(spark, sf)))
+    return doc.report_parts(kind, headers, stage(found), paths, errors).select("repo_id", "section", "body")
 
 
 @query

@@ -67,14 +67,15 @@ def changed_files(diffs: DataFrame, files: DataFrame, *, include=None, exclude=N
 
     Files that are gone, too large, not supported or filtered out take their lines with them.
     The changed lines are written down once: they are used twice, and their known size
-    lets the planner broadcast a short list of files instead of moving all contents.
+    lets the planner broadcast a short list of files instead of moving all contents. So are the files that
+    a diff touched, as line rules, syntax rules and counts all read them; other contents are not copied.
     """
     focus = stage(parse_diffs(diffs.select("repo_id", "diff_text")))
     touched = focus.select("repo_id", "path").distinct()
     known = fs.with_language(touched).where(F.col("language").isNotNull())
     known = known.where(fs.passes_globs(F.col("path"), include, exclude))
     current = fs.within_size(files.select("repo_id", "path", "content"), max_bytes)
-    return known.join(current, ["repo_id", "path"]), focus
+    return stage(known.join(current, ["repo_id", "path"])), focus
 
 
 def scan_diffs(diffs: DataFrame, files: DataFrame, *, include=None, exclude=None, max_bytes: int = MAX_BYTES, **options) -> DataFrame:
@@ -94,7 +95,7 @@ def scan_responses(
     """Model findings, and rule findings for files without a good response.
 
     Model findings are not capped. The parsed answers are written down once, because both the
-    findings and the list of files without an answer come from them.
+    findings and the list of files without an answer come from them. So are the files without an answer.
     """
     parsed = stage(rs.parse_responses(responses))
     modelled = rs.response_findings(parsed, file_stats(files))
@@ -102,9 +103,8 @@ def scan_responses(
         units = files.select("repo_id", "path", "has_focus") if "has_focus" in files.columns else None
         modelled = fc.restrict_findings(modelled, focus, units)
     modelled = fd.min_confidence(modelled, min_confidence)
-    fallback = scan_files(
-        rs.without_response(files, parsed), focus=focus, min_confidence=min_confidence, rules=rules
-    )
+    unanswered = stage(rs.without_response(files, parsed))  # line and syntax rules read them
+    fallback = scan_files(unanswered, focus=focus, min_confidence=min_confidence, rules=rules)
     return modelled.unionByName(fallback)
 
 
