@@ -292,6 +292,19 @@ def _report_sarif() -> str:
     )
 
 
+def _document_lines() -> str:
+    """The lines of whole documents: their parts in order, with a line feed between them."""
+    order = "section, neg_rank, file, line, neg_confidence, emit_seq, sub"
+    kinds = {"json": _report_json(), "markdown": _report_markdown(), "sarif": _report_sarif()}
+    texts = "\nUNION ALL ".join(
+        f"SELECT '{kind}' AS kind, repo_id, string_agg(body, chr(10) ORDER BY {order}) AS text FROM ({parts}) GROUP BY repo_id"
+        for kind, parts in kinds.items()
+    )
+    return f"""SELECT kind, CAST(repo_id AS BIGINT) AS repo_id, CAST(line_no AS BIGINT) AS line_no, lines[line_no] AS text FROM (
+        SELECT kind, repo_id, lines, unnest(range(1, len(lines) + 1)) AS line_no FROM (
+            SELECT kind, repo_id, string_split(text, chr(10)) AS lines FROM ({texts})))"""
+
+
 def _rerendered(parts: str) -> str:
     """A report's parts for each file on its own; every nineteenth report is broken."""
     whole = "file_id % 19 <> 0"
@@ -490,6 +503,10 @@ def oracle_sql() -> dict[str, str]:
             "found_diff", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_diff "
             f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
         ),
+        "diff_scan_bucketed": _with(
+            "found_diff", "SELECT repo_id, file, CAST(line + file_id % 50 AS INTEGER) AS line, rule_id, code FROM found_diff "
+            f"WHERE file_id % 5 <> 0 AND file NOT LIKE '%.min.js' AND file NOT LIKE 'lib/%' {_CAP}",
+        ),
         # whole scans
         "repo_scan": _with(
             "found_small", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_small "
@@ -584,6 +601,7 @@ def oracle_sql() -> dict[str, str]:
             "contents policies", "SELECT contents.repo_id, path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM contents LEFT JOIN policies USING (repo_id) "
             "WHERE language IS NOT NULL AND strlen(content) <= coalesce(max_bytes, 200000)",
         ),
+        "report_files": _with("headers found sarif_first result_rows", _document_lines()),
         "report_rerender": _rerendered(_report_markdown()),
         "report_rerender_json": _rerendered(_report_json()),
         "report_rerender_sarif": _rerendered(_report_sarif()),

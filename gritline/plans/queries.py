@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -356,6 +356,17 @@ def diff_scan(spark, sf):
     return found.select("repo_id", "file", "line", "rule_id", "code")
 
 
+@query
+def diff_scan_bucketed(spark, sf):
+    """The same scan over contents that lie in buckets of their files."""
+    lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
+    files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
+    current = files.select("repo_id", "path", F.concat(lead, F.col("content")).alias("content"))
+    table = fs.save_contents(current, f"contents_{uuid.uuid4().hex}", buckets=8)
+    found = sc.scan_diffs(fx.diffs(spark, sf), table, exclude=["*.min.js"])
+    return found.select("repo_id", "file", "line", "rule_id", "code")
+
+
 def _diff_report(spark, sf):
     lead = F.expr("repeat(chr(10), cast(file_id % 50 as int))")
     files = fx.code_files(spark, sf, known=False).where(~F.col("path").startswith("lib/"))
@@ -621,6 +632,18 @@ def report_errors(spark, sf):
     return rp.report_errors(_reparsed(spark, sf))
 
 
+@query
+def report_files(spark, sf):
+    """Reports of all kinds, written to files and read back line by line."""
+    inputs = _report_inputs(spark, sf)
+    parts = []
+    for kind in ("json", "markdown", "sarif"):
+        folder = shared_dir(spark)
+        doc.write_documents(doc.report_parts(kind, *inputs), folder)
+        parts.append(doc.read_documents(spark, folder).select(F.lit(kind).alias("kind"), "repo_id", "line_no", "text"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def report_rerender(spark, sf):
     """Saved reports, rendered again as Markdown."""

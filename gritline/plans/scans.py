@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gritline.operators import findings as fd
@@ -19,7 +20,7 @@ from gritline.sources import diffs as ds
 from gritline.sources import files as fs
 from gritline.sources import reports as rp
 from gritline.sources import responses as rs
-from gritline.vocab import DEFAULT_MODEL, MAX_BYTES, MAX_FINDINGS_PER_FILE
+from gritline.vocab import DEFAULT_MODEL, MAX_BYTES, MAX_FINDINGS_PER_FILE, SEVERITIES
 
 
 def scan_lines(
@@ -57,6 +58,25 @@ def scan_files(
     return fd.cap_per_file(found, cap)
 
 
+def run_scan(
+    files: DataFrame, errors: DataFrame, *, scans: DataFrame | None = None, target: str = "repo/", **options
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Scan files and write the findings once: headers, findings, and totals that were observed while writing.
+
+    Headers are those of :func:`scan_headers`, with the seconds that the scan took as ``duration_s``; they read the written
+    findings, so the contents are scanned only once. The totals, ``total`` and one for each severity, come from that one
+    pass and are complete when this returns. ``options`` are those of :func:`scan_files`.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    found = scan_files(files, **options).observe(seen, F.count(F.lit(1)).alias("total"), *counts)
+    started = time.monotonic()
+    written = stage(found)
+    seconds = round(time.monotonic() - started, 3)
+    headers = scan_headers(files, written, errors, target=target, scans=scans)
+    return headers.withColumn("duration_s", F.lit(seconds)), written, dict(seen.get)
+
+
 def scan_buffers(files: DataFrame, **options) -> DataFrame:
     """Scan buffers: any path is accepted, unknown languages count as text."""
     return scan_files(fs.buffers(files), **options)

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritline.functions import severity as sv
 from gritline.functions import text as tx
-from gritline.operators.skew import stage
+from gritline.operators.skew import position_in_group, stage
 from gritline.sinks.rows import KEY_COLUMNS, given, report_key, sarif_results, sarif_rules
 from gritline.vocab import INFORMATION_URI, PRODUCT, PRODUCT_VERSION, SEVERITIES
 
@@ -91,11 +91,13 @@ def json_parts(headers: DataFrame, findings: DataFrame, paths: DataFrame, errors
     """JSON report parts: header and counts, then paths, errors and findings.
 
     ``headers`` comes from :func:`gritline.plans.scans.scan_headers`. It has one row per scan and
-    is written down once, so that its counts are not computed again for every section.
+    is written down once, so that its counts are not computed again for every section. Its ``duration_s``, if it has
+    one (:func:`gritline.plans.scans.run_scan`), is the scan's; without, it is 0.
     """
     headers = stage(headers)
+    seconds = F.col("duration_s") if "duration_s" in headers.columns else F.lit(0.0).alias("duration_s")
     head = F.struct(
-        "target", "model", "mode", "files_scanned", F.lit(0.0).alias("duration_s"),
+        "target", "model", "mode", "files_scanned", seconds,
         F.col("total").alias("total_findings"), F.struct(*SEVERITIES).alias("counts"),
     )
     return _union(
@@ -249,6 +251,20 @@ def write_documents(parts: DataFrame, path: str) -> None:
     ordered.write.partitionBy("repo_id").mode("overwrite").text(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the documents that :func:`write_documents` wrote: (repo_id, line_no, text).
+
+    A document's files are in name order. Lines are numbered across them by ranges, so a document of any length will do.
+    Only what a finished job published is read.
+    """
+    lines = spark.read.schema("value string, repo_id bigint").text(path).select(
+        "repo_id", F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"),
+    )
+    order = [F.col(c) for c in ("file", "block", "nth")]
+    return position_in_group(lines, ["repo_id"], order, "line_no").select("repo_id", "line_no", "text")
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """The findings table, one partition per scan.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import text as tx
-from gritline.operators.skew import salted_join, stage
+from gritline.operators.skew import salted_join, shared_dir, stage
 from gritline.vocab import EXTENSION_LANGUAGE, MAX_BYTES
 
 
@@ -69,6 +69,24 @@ def _plain_root(root: str) -> str:
     return root.split(":", 1)[-1] if "://" not in root else "/" + root.split("://", 1)[1].split("/", 1)[-1]
 
 
+BUCKETS = 32
+
+
+def save_contents(files: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """Write files as a table in buckets of (repo_id, path), and read it.
+
+    Diffs, answers and focus lists that name files by these two meet the contents bucket by bucket, so no join moves a
+    content again. Choose ``buckets`` so that one holds some hundred megabytes. The table lies in the shared folder, under
+    ``name`` in the session's catalogue; one of that name is replaced. Null keys and repeated files stay as they are.
+    """
+    spark = files.sparkSession
+    by = ["repo_id", "path"]
+    dealt = files.repartition(buckets, *by)
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).option("path", shared_dir(spark))
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def extension_glob() -> str:
     """Glob of the file names with a known extension, in any case; others are never opened."""
     ends = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in EXTENSION_LANGUAGE]

@@ -1,12 +1,17 @@
 """Physical plans: what must and must not be in them."""
 
+from pyspark.sql import functions as F
+
 from gritline.operators import findings as fd
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines
 from gritline.operators.rules import line_findings
 from gritline.plans import fixtures as fx
+from gritline.plans import scans as sc
 from gritline.plans.queries import QUERIES
 from gritline.plans.scans import scan_lines
+from gritline.sinks import documents as doc
+from gritline.sources import files as fs
 from gritline.sources.files import first_files, with_language
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +71,46 @@ def test_focus_is_applied_before_the_rules(spark, files):
     focus = spark.createDataFrame([(1, "a.js", 1)], "repo_id long, path string, line_no int")
     text = plan(scan_lines(lines_of(files), focus=focus))
     assert text.index("rule_idx") < text.index("LeftSemi")  # plans print the last step first
+
+
+def test_bucketed_contents_are_not_moved(spark, files):
+    """A diff meets contents bucket by bucket: only the short list of changed files is dealt."""
+    rows = files({f"src/m{k}.py": f"x = {k}  # TODO\n" for k in range(50)} | {"a.md": "x", None: "null path"}).withColumn("extra", F.lit(1))
+    table = fs.save_contents(rows, "contents_of_test", buckets=4)
+    assert sorted(map(str, table.collect())) == sorted(map(str, rows.collect()))
+    changed = spark.createDataFrame([(1, f"src/m{k}.py") for k in range(0, 50, 7)], "repo_id long, path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = changed.join(fs.within_size(table.select("repo_id", "path", "content")), ["repo_id", "path"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert plan[plan.index("Exchange") :].split("Scan")[1].startswith(" ExistingRDD")  # the changed files
+        assert joined.count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_run_observes_its_scan(spark, files):
+    """Totals and time come from the pass that writes the findings."""
+    from gritline.plans import scans as sc
+    from gritline.sinks import documents as doc
+    units = files({"a.py": "x = 1  # TODO\ntry:\n    pass\nexcept:\n    pass\n", "b.py": "y = eval(z)\n", "c.py": None}).withColumn("language", F.lit("python"))
+    errors = fs.read_errors(units)
+    headers, found, totals = sc.run_scan(units.where("content IS NOT NULL"), errors)
+    header = headers.first()
+    plain = sc.scan_headers(units.where("content IS NOT NULL"), sc.scan_files(units), errors).first()
+    assert header["duration_s"] > 0 and {c: header[c] for c in plain.asDict()} == plain.asDict()
+    assert totals["total"] == header["total"] == found.count() == 4
+    assert {s: totals[s] for s in ("high", "medium", "info")} == {s: header[s] for s in ("high", "medium", "info")}
+    parts = doc.json_parts(headers, found, units.select("repo_id", "path"), errors)
+    assert f'"duration_s":{header["duration_s"]}' in parts.where("section = 0").first()["body"]
+
+
+def test_documents_are_read_back(spark, files, tmp_path):
+    rows = [(r, s, 0, "", n, 0.0, 0, 0, f"r{r} s{s} n{n}\nnext") for r in (1, 2) for s in range(3) for n in range(400)]
+    parts = spark.createDataFrame(rows, "repo_id long, section int, neg_rank int, file string, line int, neg_confidence double, emit_seq long, sub int, body string")
+    doc.write_documents(parts.repartition(5), f"{tmp_path}/d")
+    got = doc.read_documents(spark, f"{tmp_path}/d").orderBy("repo_id", "line_no").collect()
+    want = [(r, t) for r in (1, 2) for s in range(3) for n in range(400) for t in (f"r{r} s{s} n{n}", "next")]
+    assert [(r["repo_id"], r["text"]) for r in got] == want
+    assert [r["line_no"] for r in got] == [*range(1, 2401)] * 2
