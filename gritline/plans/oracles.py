@@ -6,6 +6,8 @@ Where the fixtures allow it, the expected rows come from the template that wrote
 
 from __future__ import annotations
 
+import json
+
 from gritline.operators.rules import LINE_RULES, MASKED, PLACEHOLDER
 from gritline.operators import syntax as sx
 from gritline.plans import fixtures as fx
@@ -632,6 +634,14 @@ def oracle_sql() -> dict[str, str]:
             "policies found", "SELECT repo_id, file, line, rule_id, confidence FROM found LEFT JOIN policies USING (repo_id) WHERE confidence >= coalesce(min_confidence, 0)",
         ),
         # reviewer model
+        "request_bodies": _with(
+            "lines", f"""SELECT repo_id, path, {_q('{"model":"reviewer-model","max_tokens":4096,"temperature":0.0,"system":"Review ' + chr(92) + '"this' + chr(92) + '".","tools":[')}
+            || {_q(json.dumps(rs.response_tool(), separators=(",", ":")))} || '],"tool_choice":{{"type":"tool","name":"report_findings"}},"messages":[{{"role":"user","content":' || {_json_text("prompt")} || '}}]}}' AS body
+            FROM (SELECT lines.repo_id, lines.path, 'File: ' || lines.path || chr(10) || 'Language: ' || language || chr(10)
+            || chr(10) || {_q(rs.CODE_LABEL)} || chr(10) || '```' || chr(10) || {_NUMBERED} || chr(10) || '```' AS prompt
+            FROM (SELECT *, CAST(max(line_no) OVER (PARTITION BY file_id) AS INTEGER) AS n FROM (SELECT * FROM lines QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY file_id) AND line_no > 1))) lines
+            GROUP BY file_id, lines.repo_id, lines.path, language)""",
+        ),
         "review_requests": _with(
             "lines changed", f"""SELECT lines.repo_id, lines.path, 'reviewer-model' AS model, CAST(4096 AS INTEGER) AS max_tokens, CAST(0 AS DOUBLE) AS temperature,
             'report_findings' AS tool, 'File: ' || lines.path || chr(10) || 'Language: ' || language || chr(10)

@@ -524,6 +524,13 @@ def review_requests(spark, sf):
     return rs.build_requests(fx.code_files(spark, sf), focus)
 
 
+@query
+def request_bodies(spark, sf):
+    """Whole requests as JSON, with a system text."""
+    requests = rs.build_requests(fx.code_files(spark, sf))
+    return rs.request_bodies(requests, 'Review "this".').select("repo_id", "path", "body")
+
+
 def model_findings(spark, sf) -> DataFrame:
     parsed = rs.parse_responses(fx.responses(spark, sf))
     return rs.response_findings(parsed, file_stats(fx.code_files(spark, sf)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,18 @@ def response_tool() -> dict:
     }
 
 
+def request_bodies(requests: DataFrame, system: str = "") -> DataFrame:
+    """The rows of :func:`build_requests` with ``body``, the whole request as JSON: settings, the system text that the caller
+    gives, the answer's schema and the message. A null prompt gives a null body; other columns stay."""
+    settings = F.to_json(F.struct("model", "max_tokens", "temperature", F.lit(system).alias("system")))
+    message = F.to_json(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    tool = json.dumps(response_tool(), separators=(",", ":"))
+    choice = json.dumps({"type": "tool", "name": REVIEW_TOOL}, separators=(",", ":"))
+    fixed = f',"tools":[{tool}],"tool_choice":{choice},"messages":['
+    whole = F.concat(F.substring(settings, F.lit(1), F.length(settings) - 1), F.lit(fixed), message, F.lit("]}"))
+    return requests.withColumn("body", F.when(F.col("prompt").isNotNull(), whole))
+
+
 def _report_input(message: Column) -> Column:
     """Input of the first report block of a message; a bare input is taken as it is."""
     blocks = F.try_variant_get(message, "$.content", "array<variant>")
