@@ -514,11 +514,12 @@ def oracle_sql() -> dict[str, str]:
             "found_small", f"SELECT repo_id, file, line, end_line, severity, category, title, confidence, rule_id, source, code, emit_seq FROM found_small "
             f"WHERE confidence >= 0.5 AND file NOT LIKE 'tests/%' AND NOT list_has_any(string_split(file, '/')[:-2], [{skip}]) {_CAP}",
         ),
+        # An empty file has nothing whose checksum could be wrong.
         "folder_scan": _with(
             "found_small contents", "SELECT kind, cast(repo_id as string) || '/' || path AS path, CAST(line AS INTEGER) AS line, "
             "CASE kind WHEN 'error' THEN cast(repo_id as string) || '/' || path || ': unreadable' ELSE rule_id END AS detail FROM ("
             f"SELECT 'finding' AS kind, * FROM (SELECT f.*, file AS path FROM found_small f WHERE true {_CAP}) WHERE file_id % 17 <> 3 AND file_id IN (SELECT file_id FROM contents WHERE strlen(content) <= 300) "
-            "UNION ALL BY NAME SELECT 'error' AS kind, repo_id, path, 0 AS line FROM contents WHERE language IS NOT NULL AND strlen(content) <= 300 AND file_id % 17 = 3) "
+            "UNION ALL BY NAME SELECT 'error' AS kind, repo_id, path, 0 AS line FROM contents WHERE language IS NOT NULL AND strlen(content) BETWEEN 1 AND 300 AND file_id % 17 = 3) "
             f"WHERE NOT list_has_any(string_split(path, '/')[:-2], [{skip}])",
         ),
         "content_scan": _with(
