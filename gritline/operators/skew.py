@@ -70,10 +70,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder once and read it from there."""
+def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write a table to the shared folder once and read it from there; ``compression`` is the session's unless given."""
     folder = shared_dir(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

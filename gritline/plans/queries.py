@@ -586,8 +586,9 @@ def sarif_integrity(spark, sf):
 
 
 def _report_inputs(spark, sf):
-    files = fx.file_list(spark, sf).where(F.col("language").isNotNull())
-    unread = fx.file_list(spark, sf).where(F.col("language").isNull()).withColumn("content", F.lit(None).cast("string"))
+    listed = stage(fx.file_list(spark, sf))  # headers, paths and errors read it
+    files = listed.where(F.col("language").isNotNull())
+    unread = listed.where(F.col("language").isNull()).withColumn("content", F.lit(None).cast("string"))
     errors = fs.read_errors(unread)
     found = stage(findings(spark, sf))
     return sc.scan_headers(files, found, errors), found, files.select("repo_id", "path"), errors
