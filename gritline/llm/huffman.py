@@ -218,7 +218,8 @@ def write_ids(
     """
     spark = df.sparkSession
     width = _width(vocabulary)
-    ids = stage(text_ids(df, vocabulary, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    numbered = text_ids(df, vocabulary, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    ids = stage(numbered, compression="zstd")
     counts = global_counts(ids, width).orderBy("id").toArrow()
     symbols = counts["id"].to_numpy()
     lengths = code_lengths(counts["n"].to_numpy(), longest)
