@@ -297,7 +297,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_rows(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose P(grade > 0) is at least ``least``; null text is empty."""
+    """The rows, with all their columns, whose P(grade > 0) is at least ``least``.
+
+    A null text is scored as an empty one and stays null. Rows are independent: repeated rows and ids stay or go each, an empty
+    table gives an empty one, whole texts are scored, and columns may have any names.
+    """
     column = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

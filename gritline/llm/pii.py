@@ -280,7 +280,8 @@ def masked(text: str, spans: Sequence[Span]) -> str:
 def redact(df: DataFrame, model: Model, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with personal data masked and the length column, if there is one, set anew.
 
-    A null text stays null.
+    A null text stays null, and its length what it was. Rows are independent, so repeated rows are masked alike and stay; an empty
+    table gives an empty one. Whole texts are masked, and further columns may have any names.
     """
     column = df.columns.index(text_col)
     sized = df.columns.index(length_col) if length_col in df.columns else None

@@ -45,5 +45,5 @@ def quality(df: DataFrame, model: ordinal.Model, id_col: str = "doc_id", text_co
 
 
 def drop_poor(df: DataFrame, model: ordinal.Model, text_col: str = "text") -> DataFrame:
-    """The rows that are selected, with all their columns."""
+    """The rows that are selected, with all their columns; see ``ordinal.keep_rows`` for nulls, repeats and empty tables."""
     return ordinal.keep_rows(df, model, SELECT_FROM, text_col)
