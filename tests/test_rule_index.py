@@ -48,22 +48,22 @@ def made_pattern(pick, depth=2):
 
 def test_matches_hold_a_factor():
     pick, some = random.Random(1), 0
-    for _ in range(2000):
-        pattern = made_pattern(pick)
+    for _ in range(1000):
+        pattern = made_pattern(pick, 1)
         _, texts = mandatory_factors(pattern)
         some += bool(texts)
         for _ in range(20):
-            line = "".join(pick.choice("aabbcc.d1") for _ in range(pick.randint(0, 12)))
+            line = "".join(pick.choice("aabbcc.d1") for _ in range(pick.randint(0, 9)))
             found = re.search(pattern, line)
             assert not found or not texts or any(t in found[0] for t in texts), (pattern, line)
-    assert some > 300
+    assert some > 100
 
 
 def test_hits_are_those_of_every_rule(spark, files):
     """Rules with and without factors, languages and placeholder tests, on lines of any letters."""
     pick = random.Random(2)
     rows = []
-    for k in range(120):
+    for k in range(50):
         pattern = ("(?i)" if k % 3 == 0 else "") + made_pattern(pick)
         languages = [None, ["text"], ["other", "text"], ["other"], []][k % 5]
         rows.append((k * 11, f"own/{k}", pattern, "low", "style", f"T{k}", "", "", 0.5, languages, None))
@@ -77,7 +77,7 @@ def test_hits_are_those_of_every_rule(spark, files):
     known = [rule for _, rule in rl.user_rules(rules)]
     want = sorted((r["line_no"], rows[r["rule_idx"]][0]) for r in rl.line_hits(lines, known).collect())
     got = sorted((r["line_no"], r["rule_idx"]) for r in rl.table_rule_hits(lines, rules).collect())
-    assert got == want and len(want) > 500
+    assert got == want and len(want) > 300
 
 
 def test_no_rule_has_a_factor(spark, files):
