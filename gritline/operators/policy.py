@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import severity as sv
-from gritline.operators.skew import salted_join
+from gritline.operators.skew import apart, keyed_join
 from gritline.vocab import (
     DEFAULT_FAIL_ON,
     DEFAULT_MAX_TOKENS,
@@ -50,7 +50,7 @@ def resolve_policies(repos: DataFrame, layers: DataFrame) -> DataFrame:
         own = c(f"file_{kind}")
         return F.coalesce(c(f"flag_{kind}"), F.when(F.size(own) > 0, own))
 
-    joined = repos.select("repo_id").distinct().join(layers, "repo_id", "left")
+    joined = repos.select("repo_id").distinct().join(apart(layers), "repo_id", "left")
     return joined.select(
         "repo_id",
         fail_on.alias("fail_on"),
@@ -83,12 +83,12 @@ def filter_by_policy(files: DataFrame, policies: DataFrame) -> DataFrame:
     """Files that pass the include and exclude globs of their repository.
 
     The globs of a policy become one regex per kind before the join; the join is salted
-    because one repository may hold much of the files.
+    because one repository may hold much of the files, unless there are few policies.
     """
     regexes = policies.select(
         "repo_id", px.globs_regex(F.col("include")).alias("_in"), px.globs_regex(F.col("exclude")).alias("_out")
     )
-    joined = salted_join(files, regexes, ["repo_id"], ["path"], "left")
+    joined = keyed_join(files, regexes, ["repo_id"], ["path"], "left")
     path = F.col("path")
     return joined.where(
         F.coalesce(px.matches_regex(path, F.col("_in")), F.lit(True))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+FEW = 20_000  # rows of a table that every task may hold
 
 
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
@@ -123,3 +124,28 @@ def salted_join(
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """A side that grows with the input: a join with it moves both sides and never sends it to every task.
+
+    Left alone, the planner would go by the size of the compressed files below, or of the rows before they are repeated.
+    """
+    return df.hint("merge")
+
+
+def counted(staged: DataFrame) -> DataFrame:
+    """A staged table for the right of a join: it goes to every task if it has few rows, else both sides are moved."""
+    return F.broadcast(staged) if staged.count() <= FEW else apart(staged)
+
+
+def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join with a table of one row per key that may hold few keys or millions.
+
+    ``small`` is written down and counted. A few rows go to every task, so ``big`` stays where it is; more are
+    met by :func:`salted_join`, without being collected.
+    """
+    known = stage(small)
+    if known.count() <= FEW:
+        return big.join(F.broadcast(known), on, how)
+    return salted_join(big, apart(known), on, salt, how)
