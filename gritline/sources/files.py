@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import paths as px
 from gritline.functions import text as tx
-from gritline.operators.skew import salted_join, shared_dir, stage
+from gritline.operators.skew import keyed_join, shared_dir, stage
 from gritline.vocab import EXTENSION_LANGUAGE, MAX_BYTES
 
 
@@ -145,7 +145,7 @@ def within_size(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 def within_policy_size(files: DataFrame, policies: DataFrame) -> DataFrame:
     """Files within the size limit of their repository's policy; without one, the usual limit."""
     limits = policies.select("repo_id", F.col("max_bytes").alias("_max"))
-    joined = salted_join(files, limits, ["repo_id"], ["path"], "left")
+    joined = keyed_join(files, limits, ["repo_id"], ["path"], "left")
     return joined.where(F.octet_length("content") <= F.coalesce("_max", F.lit(MAX_BYTES))).drop("_max")
 
 
