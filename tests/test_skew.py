@@ -3,7 +3,18 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gritline.operators import skew
+from gritline.operators import findings, policy, skew
+from gritline.sources.files import within_policy_size
+
+LAYERS = {
+    **{f"{layer}_fail_on": "string" for layer in ("file", "env", "flag")},
+    **{f"{layer}_{name}": kind for layer in ("file", "flag") for name, kind in (
+        ("min_confidence", "double"), ("max_bytes", "bigint"), ("include", "array<string>"), ("exclude", "array<string>"),
+        ("model", "string"), ("max_tokens", "int"), ("max_workers", "int"), ("no_ai", "boolean"),
+    )},
+    "env_model": "string",
+    "env_no_ai": "string",
+}
 
 
 def sample(spark):
@@ -53,3 +64,35 @@ def test_shared_dir_comes_from_the_session(spark):
     folder = skew.shared_dir(spark)
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert folder != skew.shared_dir(spark)
+
+
+def joins(df):
+    """The joins that Spark plans for a table, before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {name for name in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin") if name in plan}
+
+
+def test_keyed_join_counts_the_keys(spark):
+    df = sample(spark)
+    for keys, plan in ((3000, "BroadcastHashJoin"), (skew.FEW + 1, "SortMergeJoin")):
+        small = skew.stage(spark.range(keys).select(F.col("id").alias("g"), F.lit(1).alias("w")).where("g % 2 = 1 OR g > 3000"))
+        small = small.union(small.where("g = 7"))
+        for how in ("inner", "left"):
+            got = skew.keyed_join(df, small, ["g"], ["v"], how)
+            assert rows(got.na.fill(-1)) == rows(df.join(small, "g", how).na.fill(-1))
+        many = skew.keyed_join(df, spark.range(keys).withColumnRenamed("id", "g"), ["g"], ["v"])
+        assert joins(many) == {plan}
+
+
+def test_many_policies_are_not_sent_to_all_tasks(spark):
+    ids = spark.range(skew.FEW + 1).withColumnRenamed("id", "repo_id")
+    layers = skew.stage(ids.select("repo_id", *[F.lit(None).cast(kind).alias(name) for name, kind in LAYERS.items()]))
+    policies = policy.resolve_policies(layers, layers)
+    assert joins(policies) == {"SortMergeJoin"}
+    files = ids.select("repo_id", F.lit("src/a.py").alias("path"), F.lit("x").alias("content"))
+    found = ids.select("repo_id", F.lit("a.py").alias("file"), F.lit(1).alias("line"), F.lit(0.5).alias("confidence"))
+    for kept in (
+        policy.filter_by_policy(files, policies), within_policy_size(files, policies), findings.policy_confidence(found, policies)
+    ):
+        assert joins(kept) == {"SortMergeJoin"}
+        assert kept.count() == skew.FEW + 1
