@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gritline.functions import severity as sv
 from gritline.functions import text as tx
-from gritline.operators.skew import position_in_group, stage
+from gritline.operators.skew import apart, counted, position_in_group, stage
 from gritline.sinks.rows import KEY_COLUMNS, given, report_key, sarif_results, sarif_rules
 from gritline.vocab import INFORMATION_URI, PRODUCT, PRODUCT_VERSION, SEVERITIES
 
@@ -49,11 +49,12 @@ def _with_commas(items: DataFrame) -> DataFrame:
     """Put a comma before every part but the first of its scan and section.
 
     The first part is the smallest key, a partial aggregate; it is matched back on the
-    whole key, so no scan meets in one task.
+    whole key, so no scan meets in one task. The first keys are written down and counted: those of a few
+    scans go to every task, those of many are met by moving both.
     """
     first = items.groupBy("repo_id").agg(F.min(F.struct(*KEY_COLUMNS)).alias("_first"))
-    first = first.select("repo_id", "_first.*", F.lit("").alias("_comma"))
-    joined = items.join(first, ["repo_id", *KEY_COLUMNS], "left")
+    first = stage(first.select("repo_id", "_first.*", F.lit("").alias("_comma")))
+    joined = items.join(counted(first), ["repo_id", *KEY_COLUMNS], "left")
     body = F.concat(F.coalesce("_comma", F.lit(",")), F.col("body"))
     return joined.select("repo_id", *ORDER, body.alias("body"))
 
@@ -142,7 +143,7 @@ def markdown_file_headers(findings: DataFrame) -> DataFrame:
     continued = neighbours.where(F.col("now.first") == F.get("r", F.col("i") - 1)["last"]).select(
         "repo_id", F.col("now.neg_rank").alias("neg_rank"), F.col("now.first").alias("file")
     )
-    return runs.join(continued, ["repo_id", "neg_rank", "file"], "left_anti")
+    return runs.join(apart(continued), ["repo_id", "neg_rank", "file"], "left_anti")
 
 
 def markdown_parts(headers: DataFrame, findings: DataFrame) -> DataFrame:
@@ -287,7 +288,7 @@ def _file_items(findings: DataFrame) -> DataFrame:
 
 def file_reports(files: DataFrame, findings: DataFrame, *, mode: str = "heuristic", model: str = "") -> DataFrame:
     """JSON report of every file scanned on its own, clean files included."""
-    joined = files.select("repo_id", "path").join(_file_items(findings), ["repo_id", "path"], "left")
+    joined = files.select("repo_id", "path").join(apart(_file_items(findings)), ["repo_id", "path"], "left")
     filled = joined.na.fill("", ["items"]).na.fill(0, [*SEVERITIES, "total"])
     head = F.struct(
         F.col("path").alias("target"), F.lit(model).alias("model"), F.lit(mode).alias("mode"),
@@ -302,7 +303,7 @@ def file_reports(files: DataFrame, findings: DataFrame, *, mode: str = "heuristi
 def scan_responses_json(units: DataFrame, findings: DataFrame, *, mode: str = "heuristic", model: str = "") -> DataFrame:
     """Answer to every scan request: mode, model, errors and sorted findings."""
     joined = units.select("repo_id", "path").join(
-        _file_items(findings).select("repo_id", "path", "items"), ["repo_id", "path"], "left"
+        apart(_file_items(findings).select("repo_id", "path", "items")), ["repo_id", "path"], "left"
     )
     head = F.struct(
         F.lit(mode).alias("mode"), F.lit(model).alias("model"), F.array().cast("array<string>").alias("errors")
