@@ -14,7 +14,7 @@ from gritline.operators import focus as fc
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats
 from gritline.operators.rules import LINE_RULES, LineRule, line_findings
-from gritline.operators.skew import stage
+from gritline.operators.skew import apart, counted, stage
 from gritline.operators.syntax import fact_findings, syntax_errors, syntax_facts
 from gritline.sources import diffs as ds
 from gritline.sources import files as fs
@@ -86,16 +86,16 @@ def changed_files(diffs: DataFrame, files: DataFrame, *, include=None, exclude=N
     """Current files that a diff touched, and their changed lines.
 
     Files that are gone, too large, not supported or filtered out take their lines with them.
-    The changed lines are written down once: they are used twice, and their known size
-    lets the planner broadcast a short list of files instead of moving all contents. So are the files that
+    The changed lines are written down once, as they are used twice, and so are the names of their files; a short list
+    of either goes to every task, so that no content is moved, and a long one doesn't. So are the files that
     a diff touched, as line rules, syntax rules and counts all read them; other contents are not copied.
     """
     focus = stage(parse_diffs(diffs.select("repo_id", "diff_text")))
-    touched = focus.select("repo_id", "path").distinct()
-    known = fs.with_language(touched).where(F.col("language").isNotNull())
+    touched = stage(focus.select("repo_id", "path").distinct())
+    known = fs.with_language(counted(touched)).where(F.col("language").isNotNull())
     known = known.where(fs.passes_globs(F.col("path"), include, exclude))
     current = fs.within_size(files.select("repo_id", "path", "content"), max_bytes)
-    return stage(known.join(current, ["repo_id", "path"])), focus
+    return stage(known.join(current, ["repo_id", "path"])), counted(focus)
 
 
 def scan_diffs(diffs: DataFrame, files: DataFrame, *, include=None, exclude=None, max_bytes: int = MAX_BYTES, **options) -> DataFrame:
@@ -160,9 +160,9 @@ def scan_headers(
     counts = fd.severity_counts(findings)
     return (
         scans.select("repo_id", "target").distinct()
-        .join(scanned, "repo_id", "left")
-        .join(failed, "repo_id", "left")
-        .join(counts, "repo_id", "left")
+        .join(apart(scanned), "repo_id", "left")
+        .join(apart(failed), "repo_id", "left")
+        .join(apart(counts), "repo_id", "left")
         .na.fill(0)
         .select(
             "repo_id", "target", F.lit(mode).alias("mode"), F.lit(model).alias("model"), "files_scanned", "n_errors",
@@ -196,7 +196,7 @@ def reloaded(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     counts = fd.severity_counts(found)
     headers = (
         scans.select("repo_id", "target", "mode", "model", "files_scanned", F.size("errors").cast("bigint").alias("n_errors"))
-        .join(counts, "repo_id", "left")
+        .join(apart(counts), "repo_id", "left")
         .na.fill(0)
     )
     paths = scans.select("repo_id", F.explode("paths").alias("path"))
