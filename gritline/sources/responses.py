@@ -11,7 +11,7 @@ from gritline.functions import severity as sv
 from gritline.functions import text as tx
 from gritline.functions import variants as vx
 from gritline.operators.focus import focus_summary
-from gritline.operators.skew import once, stage
+from gritline.operators.skew import apart, counted, once, stage
 from gritline.schemas import FINDING_COLUMNS
 from gritline.vocab import CATEGORIES, DEFAULT_CATEGORY, DEFAULT_MAX_TOKENS, DEFAULT_MODEL, REVIEW_TOOL, SEVERITIES
 
@@ -139,7 +139,7 @@ def response_findings(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """
     items = (
         parsed.where("good")
-        .join(files.select("repo_id", "path", "line_count"), ["repo_id", "path"])
+        .join(apart(files.select("repo_id", "path", "line_count")), ["repo_id", "path"])
         .select("repo_id", "path", "line_count", F.posexplode("items").alias("_pos", "_item"))
         .where(vx.is_object(F.col("_item")))
     )
@@ -184,9 +184,9 @@ def response_errors(parsed: DataFrame) -> DataFrame:
 def without_response(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Files that have no good response and are scanned with the rules instead.
 
-    The keys of those files are worked out first and written down: they are few as a
-    rule, and a table of known size lets the planner leave the contents where they are.
+    The keys of those files are worked out first, written down and counted: if they are few, as a rule,
+    the contents stay where they are.
     """
     keys = ["repo_id", "path"]
-    missing = stage(files.select(*keys).join(parsed.where("good").select(*keys), keys, "left_anti"))
-    return files.join(missing, keys, "left_semi")
+    missing = stage(files.select(*keys).join(apart(parsed.where("good").select(*keys)), keys, "left_anti"))
+    return files.join(counted(missing), keys, "left_semi")
