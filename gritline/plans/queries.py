@@ -20,7 +20,7 @@ from gritline.operators import syntax_trees as trees
 from gritline.operators.diff_ranges import parse_diff_lines
 from gritline.operators.diffs import parse_diffs
 from gritline.operators.lines import explode_lines, file_stats, line_classes
-from gritline.operators.skew import position_in_group, shared_dir, stage
+from gritline.operators.skew import position_in_group, shared_dir, spread, stage
 from gritline.operators.syntax import syntax_facts, syntax_findings
 from gritline.plans import fixtures as fx
 from gritline.plans import scans as sc
@@ -443,7 +443,8 @@ def user_rule_scan(spark, sf):
 @query
 def user_rule_index(spark, sf):
     """2,002 rules over the lines of all documents, conversations and pages, which are read once."""
-    hits = rl.table_rule_hits(explode_lines(fx.text_files(spark, sf)), fx.word_rules(spark, sf))
+    files = spread(fx.text_files(spark, sf))  # each line costs much time, and a table of few row groups has few tasks
+    hits = rl.table_rule_hits(explode_lines(files), fx.word_rules(spark, sf))
     return hits.groupBy("repo_id", "rule_idx").agg(F.count("*").alias("n_hits"), F.countDistinct("path").alias("n_files"))
 
 

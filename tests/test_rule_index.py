@@ -95,3 +95,19 @@ def test_each_table_is_read_once(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert rules.count() > 2000 and plan.count("FileScan parquet") == 3
     assert QUERIES["user_rule_index"](spark, sf).count() > 0
+
+
+def test_texts_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    """A table that comes as one row group is one task; the rules run on all of them."""
+    words = "alpha beta gamma delta, epsilon. zeta"
+    tables = {
+        "documents": spark.range(64).select(F.col("id").alias("doc_id"), F.lit(words).alias("text")),
+        "conversations": spark.range(3).select(F.col("id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("alpha").alias("text")),
+        "pages": spark.range(3).select(F.col("id").alias("page_id"), F.lit("<a>").alias("html")),
+    }
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["user_rule_index"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(8)" in plan
+    assert found.where("repo_id = 1").agg(F.max("n_files")).first()[0] == 64
