@@ -28,7 +28,8 @@ NODES = (
 )
 NODES_PER_BATCH = 5000
 _NAMES = ("name", "id", "attr", "arg")
-_CONTEXTS = (ast.Load, ast.Store, ast.Del)
+_CONTEXTS = frozenset((ast.Load, ast.Store, ast.Del))
+SHAPES = "repo_id bigint, kind string, n_nodes bigint, max_depth int"
 _ARROW = pa.schema([
     ("repo_id", pa.int64()), ("path", pa.string()), *((c, pa.int32()) for c in ("node_id", "last", "parent_id", "depth", "walk_seq")),
     ("role", pa.string()), ("place", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()),
@@ -61,56 +62,107 @@ TREE_STEPS = [
 TREE_TEXTS = [sx.BARE_EXCEPT, sx.SWALLOWED, sx.MUTABLE_DEFAULT, sx.LONG_FUNCTION, sx.NONE_COMPARISON]
 
 
-def file_nodes(content: str) -> list[tuple]:
-    """Rows of one file's tree, from ``node_id`` on; none if it does not parse."""
+def _tree(content: str) -> ast.AST | None:
+    """The tree of a file, none if it does not parse."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(content)
+            return ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def file_nodes(
+    content: str, kinds: frozenset[str] | None = None, roles: frozenset[str] = frozenset(), below_kinds: frozenset[tuple] = frozenset()
+) -> list[tuple]:
+    """Rows of one file's tree, from ``node_id`` on; none if it does not parse.
+
+    With ``kinds``, only nodes of those, or of ``roles``, or whose role and parent's kind are a pair of ``below_kinds``.
+    """
+    tree = _tree(content)
+    if tree is None:
         return []
-    lines = content.splitlines()
     walked: dict[int, int] = {}
-    for seq, node in enumerate(ast.walk(tree)):
+    for seq, node in enumerate(sx.walk(tree)):
         walked.setdefault(id(node), seq)
+    lines = content.splitlines()
+    above: list[int] = []  # the parent of each node
+    sorts: list[str] = []  # and the kind of each
     rows: list[list] = []
     todo: list[tuple[ast.AST, int | None, int, str, int]] = [(tree, None, 0, "", 0)]
     while todo:
         node, parent, depth, role, place = todo.pop()
-        number = len(rows)
-        line = getattr(node, "lineno", None)
-        code = lines[line - 1].strip()[:SNIPPET_CHARS] if line and line <= len(lines) else ""
-        names = (getattr(node, field, None) for field in _NAMES)
-        name = next((n for n in names if isinstance(n, str)), None)
-        end = getattr(node, "end_lineno", None)
-        rows.append([number, number, parent, depth, walked[id(node)], role, place, sx._kind(node), name, line, end, code])
+        number = len(above)
+        above.append(parent)
+        kind = sx._kind(node)
+        sorts.append(kind)
+        if kinds is None or kind in kinds or role in roles or (parent is not None and (role, sorts[parent]) in below_kinds):
+            line = getattr(node, "lineno", None)
+            code = lines[line - 1].strip()[:SNIPPET_CHARS] if line and line <= len(lines) else ""
+            names = (getattr(node, field, None) for field in _NAMES)
+            name = next((n for n in names if isinstance(n, str)), None)
+            end = getattr(node, "end_lineno", None)
+            rows.append([number, number, parent, depth, walked[id(node)], role, place, kind, name, line, end, code])
         below = []
-        for field, value in ast.iter_fields(node):
-            children = value if isinstance(value, list) else [value]
-            below += [(c, number, depth + 1, field, k) for k, c in enumerate(children) if isinstance(c, ast.AST) and not isinstance(c, _CONTEXTS)]
-        todo += reversed(below)
-    for row in reversed(rows):
-        if row[2] is not None:
-            rows[row[2]][1] = max(rows[row[2]][1], row[1])
+        for field in sx.child_fields(type(node)):
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                below += [(c, number, depth + 1, field, k) for k, c in enumerate(value) if isinstance(c, ast.AST)]
+            elif isinstance(value, ast.AST) and type(value) not in _CONTEXTS:
+                below.append((value, number, depth + 1, field, 0))
+        below.reverse()
+        todo += below
+    last = list(range(len(above)))
+    for number in range(len(above) - 1, 0, -1):
+        if last[number] > last[above[number]]:
+            last[above[number]] = last[number]
+    for row in rows:
+        row[1] = last[row[0]]
     return [tuple(row) for row in rows]
 
 
-def syntax_nodes(files: DataFrame, kinds: Sequence[str] | None = None, roles: Sequence[str] | None = None) -> DataFrame:
+def file_shapes(content: str) -> dict[str, tuple[int, int]]:
+    """Number and greatest depth of the nodes of each kind in one file's tree, taken level by level."""
+    tree = _tree(content)
+    counts: dict[str, int] = {}
+    deepest: dict[str, int] = {}
+    depth, level = 0, [] if tree is None else [tree]
+    while level:
+        below = []
+        for node in level:
+            kind = sx._kind(node)
+            counts[kind] = counts.get(kind, 0) + 1
+            deepest[kind] = depth
+            for field in sx.child_fields(type(node)):
+                value = getattr(node, field, None)
+                if isinstance(value, list):
+                    below += [c for c in value if isinstance(c, ast.AST)]
+                elif isinstance(value, ast.AST) and type(value) not in _CONTEXTS:
+                    below.append(value)
+        depth, level = depth + 1, below
+    return {kind: (n, deepest[kind]) for kind, n in counts.items()}
+
+
+def syntax_nodes(
+    files: DataFrame, kinds: Sequence[str] | None = None, roles: Sequence[str] | None = None, below_kinds: Sequence[tuple] = ()
+) -> DataFrame:
     """A row for each node of each Python file that parses (context markers left out).
 
-    With ``kinds`` or ``roles``, only nodes with one of either leave the parser. Trees go in batches of bounded size, one
+    With ``kinds`` or ``roles``, only nodes with one of either leave the parser, and those whose role and parent's kind are a
+    pair of ``below_kinds``. Trees go in batches of bounded size, one
     file's at a time.
     """
-    some_kinds, some_roles = frozenset(kinds or ()), frozenset(roles or ())
+    some_kinds = None if kinds is None and roles is None else frozenset(kinds or ())
+    some_roles, some_below = frozenset(roles or ()), frozenset(below_kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for k in range(batch.num_rows):
-                repo_id, path, content = (batch.column(i)[k].as_py() for i in range(3))
-                for node in file_nodes(content):
-                    if (kinds is None and roles is None) or node[7] in some_kinds or node[5] in some_roles:
-                        rows.append((repo_id, path, *node))
+            for cells in zip(*batch.columns):
+                nodes = file_nodes(cells[2].as_py(), some_kinds, some_roles, some_below)
+                if nodes:
+                    file = (cells[0].as_py(), cells[1].as_py())
+                    rows += [(*file, *node) for node in nodes]
                 while len(rows) >= NODES_PER_BATCH:
                     yield _batch(rows[:NODES_PER_BATCH])
                     del rows[:NODES_PER_BATCH]
@@ -143,9 +195,19 @@ def match_trees(files: DataFrame, steps: DataFrame) -> DataFrame:
     rows = steps.collect()
     wanted_kinds = sorted({k for r in rows for k in (r["kinds"] or ())})
     # Roles of nodes that matter whatever their kind: of any, or none of which may be there, or all of which count.
-    wanted_roles = sorted({x for r in rows if r["step"] and (not r["kinds"] or r["quant"] != "some") for x in (r["roles"] or ())})
+    # A child of a node whose kinds are known only matters below one of them.
+    base_kinds = {(r["rule_idx"], r["step"]): r["kinds"] for r in rows}
+    wanted_roles: set[str] = set()
+    below_kinds: set[tuple] = set()
+    for r in rows:
+        if r["step"] and (not r["kinds"] or r["quant"] != "some"):
+            above = base_kinds.get((r["rule_idx"], r["base"])) if r["axis"] == "child" else None
+            if above is None:
+                wanted_roles.update(r["roles"] or ())
+            else:
+                below_kinds.update((role, kind) for role in (r["roles"] or ()) for kind in above)
     free = any(not r["kinds"] and not r["roles"] for r in rows)
-    nodes = syntax_nodes(files, None if free else wanted_kinds, None if free else wanted_roles)
+    nodes = syntax_nodes(files) if free else syntax_nodes(files, wanted_kinds, sorted(wanted_roles), sorted(below_kinds))
     shape = F.struct("node_id", "last", "parent_id", "place", "name", "line", "end_line", "code").alias("node")
     nodes = stage(nodes.select(*FILE, "walk_seq", "role", "kind", shape))  # files are parsed once
     first = F.broadcast(steps.where("step = 0").select("rule_idx", F.col("kinds").alias("_kinds"), F.col("longer_than").alias("_long")))
@@ -160,7 +222,8 @@ def match_trees(files: DataFrame, steps: DataFrame) -> DataFrame:
         parts = [found.where(~F.col("rule_idx").isin(busy))]
         for axis, quant in ways:
             some = [r["rule_idx"] for r in here if (r["axis"], r["quant"]) == (axis, quant)]
-            parts.append(_step(found.where(F.col("rule_idx").isin(some)), nodes, steps.where(F.col("step") == number), axis, quant))
+            near = _concerned(nodes, [r for r in here if (r["axis"], r["quant"]) == (axis, quant)], quant)
+            parts.append(_step(found.where(F.col("rule_idx").isin(some)), near, steps.where(F.col("step") == number), axis, quant))
         found = reduce(DataFrame.unionByName, parts)
     at = F.create_map(*[F.lit(x) for pair in report.items() for x in pair]) if report else F.create_map().cast("map<int,int>")
     node = F.get(F.col("bound"), F.coalesce(F.element_at(at, F.col("rule_idx")), F.lit(0)))
@@ -168,6 +231,15 @@ def match_trees(files: DataFrame, steps: DataFrame) -> DataFrame:
     return reported.distinct().select("rule_idx", *FILE, "root_seq", "root_id", "node.*")
 
 
+def _concerned(nodes: DataFrame, steps: Sequence, quant: str) -> DataFrame:
+    """Nodes of which some of the steps may speak; others aren't moved for the join."""
+    if all(r["roles"] is not None for r in steps):
+        nodes = nodes.where(F.col("role").isin(sorted({x for r in steps for x in r["roles"]})))
+    if quant != "all" and all(r["kinds"] is not None for r in steps):
+        nodes = nodes.where(F.col("kind").isin(sorted({k for r in steps for k in r["kinds"]})))
+    return nodes
+
+
 def _step(found: DataFrame, nodes: DataFrame, steps: DataFrame, axis: str, quant: str) -> DataFrame:
     """Matches so far that a step of one axis and quantifier lets through, with the step's node bound."""
     rules = steps.select("rule_idx", F.col("base").alias("_base"), F.col("roles").alias("_roles"), F.col("kinds").alias("_kinds"))
@@ -226,6 +298,32 @@ def tree_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_idx int, severity string, category string, title string, description string, suggestion string, confidence double")
 
 
+def _shapes_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shapes of the files of a task, added up for each repository and kind; they are handed on before they get many."""
+    schema = pa.schema([("repo_id", pa.int64()), ("kind", pa.string()), ("n_nodes", pa.int64()), ("max_depth", pa.int32())])
+    totals: dict[tuple, tuple[int, int]] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        rows = [(*key, *total) for key, total in totals.items()]
+        totals.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        for cells in zip(*batch.columns):
+            repo_id = cells[0].as_py()
+            for kind, (n, depth) in file_shapes(cells[1].as_py()).items():
+                before = totals.get((repo_id, kind), (0, 0))
+                totals[repo_id, kind] = (before[0] + n, max(before[1], depth))
+            if len(totals) >= NODES_PER_BATCH:
+                yield handed_on()
+    yield handed_on()
+
+
 def tree_shapes(files: DataFrame) -> DataFrame:
-    """How often each kind of node comes in a repository's Python files, and how deep at most."""
-    return syntax_nodes(files).groupBy("repo_id", "kind").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("max_depth"))
+    """How often each kind of node comes in a repository's Python files, and how deep at most.
+
+    Nodes are counted where they are parsed, so that no row is made for each of them.
+    """
+    python = files.where((F.col("language") == "python") & F.col("content").isNotNull())
+    shapes = python.select("repo_id", "content").mapInArrow(_shapes_of_batches, SHAPES)
+    return shapes.groupBy("repo_id", "kind").agg(F.sum("n_nodes").alias("n_nodes"), F.max("max_depth").alias("max_depth"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritline.operators import syntax_trees as trees
-from gritline.operators.syntax import syntax_findings
+from gritline.operators.syntax import child_fields, syntax_findings, walk
 
 STEPS = "rule_idx int, step int, base int, axis string, roles array<string>, kinds array<string>, quant string, longer_than int, reports boolean"
 SOURCE = """
@@ -103,3 +103,30 @@ def test_empty_tables(spark, python):
     assert trees.match_trees(python({"a.py": SOURCE}), trees.tree_steps(spark).limit(0)).count() == 0
     shapes = {r["kind"]: (r["n_nodes"], r["max_depth"]) for r in trees.tree_shapes(python({"a.py": "x = 1\ny = 2"})).collect()}
     assert shapes == {"Module": (1, 0), "Assign": (2, 1), "Name": (2, 2), "Constant": (2, 2)}
+
+
+def test_few_nodes_leave_the_parser(python):
+    """Of roles that only matter below some kinds, nodes elsewhere stay behind, and shapes are added up where files are parsed."""
+    long = "def f():\n" + "    y = 1\n" * 50 + "try:\n    pass\nexcept E:\n    pass\n"
+    whole = trees.file_nodes(long)
+    some = trees.file_nodes(long, frozenset(["Try"]), frozenset(["args"]), frozenset([("body", "ExceptHandler")]))
+    assert [(r[5], r[7]) for r in some] == [("args", "arguments"), ("body", "Try"), ("body", "Pass")]
+    assert set(some) <= set(whole) and sum(r[5] == "body" for r in whole) == 54
+    seen = {}
+    for row in whole:
+        n, depth = seen.get(row[7], (0, 0))
+        seen[row[7]] = (n + 1, max(depth, row[3]))
+    assert trees.file_shapes(long) == seen
+    files = python({"a.py": long, "b.py": long, "c.py": "def ("})
+    shapes = trees.tree_shapes(files)
+    assert {r["kind"]: (r["n_nodes"], r["max_depth"]) for r in shapes.collect()} == {k: (2 * n, d) for k, (n, d) in seen.items()}
+    plan = shapes._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "node_id" not in plan
+
+
+def test_walk_is_that_of_the_library():
+    for text in (SOURCE, "", "x = {**a, 1: None}\nglobal q\nmatch v:\n    case {'k': [1, *r], **z} | C(p=2): pass\n"):
+        tree = ast.parse(text)
+        assert list(map(id, walk(tree))) == list(map(id, ast.walk(tree)))
+    assert child_fields(ast.Constant) == () and child_fields(ast.Name) == ("ctx",)
+    assert child_fields(ast.Compare) == ("left", "ops", "comparators")
