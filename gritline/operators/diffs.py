@@ -41,13 +41,15 @@ def _advancing(hunk: Column) -> Column:
     Removed lines, old-file headers and "no newline" notes do not move it.
     """
     rest = F.slice(F.split(hunk, "\n"), 2, _ALL)
-    return F.filter(rest, lambda x: ~(x.startswith("-") | x.startswith("\\")))
+    moving = F.filter(rest, lambda x: ~(x.startswith("-") | x.startswith("\\")))
+    # Most hunks of new files have none of the others.
+    return F.when(hunk.contains("\n-") | hunk.contains("\n\\"), moving).otherwise(rest)
 
 
 def _starts_without_hunk(piece: Column) -> Column:
     """True when a piece adds lines before its first hunk header."""
-    head = F.get(F.split(piece, _AT_HUNK, 2), F.lit(0))
-    return (_target(piece) != NO_FILE) & F.exists(_advancing(head), lambda x: x.startswith("+"))
+    added, hunk = F.instr(piece, "\n+"), F.instr(piece, "\n@@")
+    return (added > 0) & ((hunk == 0) | (added < hunk)) & (_target(piece) != NO_FILE)
 
 
 def _entry_cursors(preamble: Column, pieces: Column) -> Column:
