@@ -114,3 +114,17 @@ def test_documents_are_read_back(spark, files, tmp_path):
     want = [(r, t) for r in (1, 2) for s in range(3) for n in range(400) for t in (f"r{r} s{s} n{n}", "next")]
     assert [(r["repo_id"], r["text"]) for r in got] == want
     assert [r["line_no"] for r in got] == [*range(1, 2401)] * 2
+
+
+def test_answers_and_diffs_are_not_gone_through_to_tell_their_kind(spark):
+    """Objects are told by their fields, lists aren't written out as text, and hunks are looked for without cutting."""
+    from gritline.functions import variants as vx
+    from gritline.operators.diffs import _starts_without_hunk
+    texts = ["{}", '{"a":{"b":[1]}}', "[]", '[{"a":1}]', "null", "1", '"x"', "true", "bad", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vx.is_object(F.try_parse_json("t")).alias("is"))
+    assert [r["t"] for r in rows.collect() if r["is"]] == ["{}", '{"a":{"b":[1]}}']
+    assert "schema_of_variant" not in plan(rows).lower()
+    pieces = ["+++ b/a\n+x\n@@ -1 +1 @@", "+++ b/a\n@@ -1 +1 @@\n+x", "+++ b/a\n+x", "+++ /dev/null\n+x", "+++ b/a\n-x\n", "+++ b/a"]
+    early = spark.createDataFrame([(p,) for p in pieces], "p string").select(_starts_without_hunk(F.col("p")).alias("e"))
+    assert [r["e"] for r in early.collect()] == [True, False, True, False, False, False]
+    assert "exists" not in plan(early).lower()
