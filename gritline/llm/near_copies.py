@@ -1,4 +1,4 @@
-"""Keep one document of each group of near copies, by the similarity of sets of shingles."""
+"""Keep one document of each group of near copies, by SimHash fingerprints and the similarity of sets of shingles."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gritline.llm.batches import list_array, map_text, offsets_of
 from gritline.llm.components import components
-from gritline.llm.simhash import shingle_hashes
+from gritline.llm.simhash import Ring, linked, majority, shingle_hashes
 from gritline.operators.skew import salted_join, scratch, stage
 
 WORDS = 5
@@ -58,25 +58,48 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return (mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, each counted once."""
+    return majority(found.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
 def _digest(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()
 
 
 def _shingled(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``digest``, ``n`` (shingles) and ``keys`` of every row."""
+    """``id``, ``digest``, ``n`` (shingles), ``fp`` (their SimHash) and ``keys`` of every row.
+
+    The last key is the fingerprint's own, so that texts of one fingerprint meet like those of one band.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         sets = [shingle_set(text, words) for text in texts]
-        keys = [band_keys(found) for found in sets]
+        prints = np.array([fingerprint(found) for found in sets], np.int64)
+        keys = [np.append(band_keys(found), fp) if len(found) else np.zeros(0, np.int64) for found, fp in zip(sets, prints)]
         ends = offsets_of(np.array([len(k) for k in keys], np.int64))
         columns = [
             batch.column(0), pa.array(map(_digest, texts), pa.binary()), pa.array([len(x) for x in sets], pa.int32()),
-            list_array(ends, np.concatenate([*keys, np.zeros(0, np.int64)])),
+            pa.array(prints), list_array(ends, np.concatenate([*keys, np.zeros(0, np.int64)])),
         ]
-        return pa.record_batch(columns, names=["id", "digest", "n", "keys"])
+        return pa.record_batch(columns, names=["id", "digest", "n", "fp", "keys"])
 
-    return map_text(df, work, "id bigint, digest binary, n int, keys array<bigint>", id_col, text_col)
+    return map_text(df, work, "id bigint, digest binary, n int, fp bigint, keys array<bigint>", id_col, text_col)
+
+
+def fingerprint_pairs(rows: DataFrame, ring: Ring = Ring()) -> DataFrame:
+    """Pairs (a, b) of rows, one for each link between fingerprints that differ in at most ``ring.radius`` bits.
+
+    The links are those of chains of segments on a ring (see ``simhash.linked``). A fingerprint is stood for by its
+    least row; rows of one fingerprint meet by its key.
+    """
+    codes = stage(rows.where("n > 0").groupBy("fp").agg(F.min("row").alias("least")))
+    links = stage(linked(codes.select("fp"), ring))
+    of_a = codes.select(F.col("fp").alias("a"), F.col("least").alias("row_a"))
+    of_b = codes.select(F.col("fp").alias("b"), F.col("least").alias("row_b"))
+    named = links.join(of_a, "a").join(of_b, "b")
+    return named.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
 
 
 def _own_digest(text_col: str) -> Column:
@@ -266,8 +289,9 @@ def _links(
     df: DataFrame, rows: DataFrame, words: int, similarity: float, dense_bucket: int, id_col: str, text_col: str
 ) -> DataFrame:
     """``node`` and ``root`` of all rows that are linked to another one."""
+    printed = fingerprint_pairs(rows)
     found = stage(_meetings(rows, similarity, dense_bucket))
-    pairs = stage(found.where("b IS NOT NULL").select("a", "b").distinct())
+    pairs = stage(printed.union(found.where("b IS NOT NULL").select("a", "b")).distinct())
     crowd = found.where("b IS NULL").select("token", F.col("a").alias("row"))
     members = stage(_families(stage(crowd)))
     asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(members.select("row")).distinct()
@@ -299,7 +323,8 @@ def near_groups(
 
     Two texts are linked if their sets of shingles of ``words`` words have a Jaccard similarity of
     at least ``similarity``; texts without words are alike. Of a component, the row with the smallest id, then the
-    smallest digest stays. Texts meet where they share a key (see ``band_keys``), and whole sets are compared then. Buckets of
+    smallest digest stays. Texts meet where chains of their SimHash fingerprints do (see ``fingerprint_pairs``) or
+    where they share a key of least shingles (see ``band_keys``), and whole sets are compared then. Buckets of
     over ``dense_bucket`` rows aren't compared pair by pair: each family of them goes by the differences
     to a set in its middle, which leaves few pairs and loses none.
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gritline.llm import exact, near_copies, passages, simhash
 from gritline.llm.components import components
@@ -287,3 +288,23 @@ def test_near_copies_in_dense_buckets_of_others_meet(documents, monkeypatch):
     df = documents(document_rows(texts))
     kept = near_copies.drop_near_copies(df, dense_bucket=4).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == want
+
+
+def test_near_copies_meet_by_their_fingerprints(documents, monkeypatch):
+    """Without keys of least shingles, chains of fingerprints alone find texts that differ in few bits."""
+    pick = random.Random(41)
+    base = [prose(pick, 300) for _ in range(25)]
+    texts = base + [" ".join([*t.split()[: 40 + k], "changed", *t.split()[41 + k :]]) for k, t in enumerate(base)] + [""]
+    rows = near_copies._shingled(documents(document_rows(texts)), 5, "doc_id", "text").withColumnRenamed("id", "row").cache()
+    prints = {r["row"]: r["fp"] for r in rows.collect()}
+    for k, text in enumerate(texts):
+        words = plain.words(text)
+        found = {plain.xxhash.xxh64_intdigest(b" ".join(words[at : at + 5]), 42) for at in range(len(words) - 4)}
+        assert prints[k] % 2**64 == sum((2 * sum(h >> bit & 1 for h in found) > len(found)) << bit for bit in range(64))
+    close = {(a, b) for a, b in combinations(range(50), 2) if 0 < bin((prints[a] ^ prints[b]) % 2**64).count("1") <= 4}
+    assert 8 < len(close) < 25 and {tuple(r) for r in near_copies.fingerprint_pairs(rows).collect()} == close
+    equal = {(a, b) for a, b in combinations(range(50), 2) if prints[a] == prints[b]}
+    meet = near_copies._meetings
+    monkeypatch.setattr(near_copies, "_meetings", lambda rows, *rest: meet(rows.withColumn("keys", F.slice("keys", -1, 1)), *rest))
+    kept = near_copies.drop_near_copies(documents(document_rows(texts))).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(range(51)) - {b for _, b in close | equal})
