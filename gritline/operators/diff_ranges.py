@@ -66,35 +66,53 @@ def _within(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _entries(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """File and cursor with which each range of a diff begins, from what the ranges before it do.
+def _entries(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """File and cursor with which a range begins that goes on with the diff of the range before.
 
-    A range's effect is one row: the last file it names, the last start it sets, and how far it moves the cursor if
+    Such a diff has the last line of the range before, so what matters is the state behind the last line of each range, one row
+    for each. That row holds a range's effect: the last file it names, the last start it sets, and how far it moves the cursor if
     a file is open at its begin or not. Effects go together in any grouping, so windows over these rows are enough.
     """
-    ends = lines.groupBy(*keys, "_part").agg(
-        F.max_by(
-            F.struct(
-                F.col("_known").alias("file"), F.col("_base").alias("base"),
-                (F.col("_if_file") + F.col("_own_p")).alias("if_file"), (F.col("_sure") + F.col("_own_r")).alias("sure"),
-            ),
-            "_seq",
-        ).alias("_end")
-    )
+    last = ends.groupBy("_part").agg(F.max("_seq").alias("_seq"))
+    last = last.withColumn("_next", F.lead("_part").over(Window.orderBy("_part")))
+    effects = ends.drop("_part").join(F.broadcast(last), "_seq").where("_next IS NOT NULL")
     order = Window.partitionBy(*keys).orderBy("_part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = ends.withColumn("_in_file", F.last("_end.file", ignorenulls=True).over(before))
-    move = F.when(F.col("_in_file.path").isNotNull(), F.col("_end.if_file")).otherwise(F.lit(0)) + F.col("_end.sure")
-    moved = opened.withColumn("_move", move).withColumn(
-        "_run", F.sum(F.when(F.col("_end.base").isNull(), F.col("_move")).otherwise(F.lit(0))).over(so_far)
+    opened = effects.withColumns(
+        {"_open": F.last("_known", ignorenulls=True).over(before), "_in_file": F.last("_known", ignorenulls=True).over(so_far)}
     )
-    # A start that a range sets, less all moves until then, is what later moves are added to.
-    anchor = F.when(F.col("_end.base").isNotNull(), F.col("_end.base") + F.col("_move") - F.col("_run"))
-    cursor = F.coalesce(F.last(anchor, ignorenulls=True).over(before), F.lit(0)) + F.coalesce(
-        F.lag("_run").over(order), F.lit(0)
+    if_file, sure = F.col("_if_file") + F.col("_own_p"), F.col("_sure") + F.col("_own_r")
+    moved = opened.withColumn("_move", F.when(F.col("_open.path").isNotNull(), if_file).otherwise(F.lit(0)) + sure).withColumn(
+        "_run", F.sum(F.when(F.col("_base").isNull(), F.col("_move")).otherwise(F.lit(0))).over(so_far)
     )
-    return moved.withColumn("_in_cursor", cursor).select(*keys, "_part", "_in_file", "_in_cursor")
+    # A start that a range sets, less all moves until then, is what later moves are added to.
+    anchor = F.when(F.col("_base").isNotNull(), F.col("_base") + F.col("_move") - F.col("_run"))
+    cursor = F.coalesce(F.last(anchor, ignorenulls=True).over(so_far), F.lit(0)) + F.col("_run")
+    return moved.withColumn("_in_cursor", cursor).select(*keys, F.col("_next").alias("_part"), "_in_file", "_in_cursor")
+
+
+def _changed(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, texts: bool) -> DataFrame:
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    # Lines are read before they are dealt: only what the state needs travels, and texts of added lines if they are asked for.
+    kept = [F.when(F.col("_adds"), F.substring(text, 2, _FAR >> 30)).alias("_text")] if texts else []
+    names = dict.fromkeys([*keys, *order])
+    marked = _marked(lines, text).select(*names, "_file", "_start", "_moves", "_adds", *kept)
+    dealt = marked.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id())
+    narrow = dealt.withColumn("_part", F.shiftright("_seq", 33)).drop(*[c for c in order if c not in keys])
+    own = Window.partitionBy(*keys, "_part").orderBy("_seq")
+    states = _within(narrow, keys).withColumn("_ends", F.lead("_seq").over(own).isNull()).where("_adds OR _ends")
+    columns = ["_part", "_seq", "_adds", "_ends", "_known", "_base", "_if_file", "_sure", "_own_p", "_own_r"]
+    states = stage(states.select(*keys, *columns, *(["_text"] if texts else [])))
+    entries = _entries(states.where("_ends"), keys).withColumnsRenamed({c: f"_of_{c}" for c in (*keys, "_part")})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_part")])
+    joined = states.where("_adds").join(F.broadcast(entries), same, "left")
+    file = F.coalesce(F.col("_known"), F.col("_in_file"))
+    inside: Column = F.when(F.col("_in_file.path").isNotNull(), F.col("_if_file")).otherwise(F.lit(0)) + F.col("_sure")
+    number = F.coalesce(F.col("_base"), F.col("_in_cursor"), F.lit(0)) + inside
+    shown = [F.col("_text").alias("text")] if texts else []
+    found = joined.select(*keys, file["path"].alias("path"), number.try_cast("int").alias("line_no"), *shown)
+    return found.where("path IS NOT NULL AND line_no IS NOT NULL")
 
 
 def changed_in_ranges(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
@@ -103,27 +121,12 @@ def changed_in_ranges(lines: DataFrame, keys: Sequence[str], order: Sequence[str
     ``keys`` name a diff, ``order`` its lines' order; equal rows in both are in any order. The answer is that of
     :func:`gritline.operators.diffs.changed_lines` for the diffs' texts, but neither a diff nor a file of it has to fit a
     task: lines are dealt by ranges of (keys, order), each range is read from its own begin, and what it leaves to
-    the next one, a file name and a cursor, is handed on in one small row for each range. The rows are written once, because
-    ranges must not change between their two uses.
+    the next one, a file name and a cursor, is handed on in one small row for each range, which goes to every task. What the ranges
+    tell is written once, because ranges must not change between its two uses.
     """
-    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    dealt = lines.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id())
-    placed = stage(_marked(dealt, text).withColumn("_part", F.shiftright("_seq", 33)))
-    # Only what the state needs is dealt anew; texts of added lines go along, others don't.
-    kept = F.when(F.col("_adds"), F.substring(text, 2, _FAR >> 30))
-    narrow = placed.select(*keys, "_part", "_seq", "_file", "_start", "_moves", "_adds", kept.alias("_text"))
-    states = _within(narrow, keys)
-    marks = _within(narrow.drop("_text"), keys)
-    entries = _entries(marks, keys).withColumnsRenamed({c: f"_of_{c}" for c in (*keys, "_part")})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_part")])
-    joined = states.where("_adds").join(stage(entries), same)
-    file = F.coalesce(F.col("_known"), F.col("_in_file"))
-    inside: Column = F.when(F.col("_in_file.path").isNotNull(), F.col("_if_file")).otherwise(F.lit(0)) + F.col("_sure")
-    number = F.coalesce(F.col("_base"), F.col("_in_cursor")) + inside
-    found = joined.select(*keys, file["path"].alias("path"), number.try_cast("int").alias("line_no"), F.col("_text").alias("text"))
-    return found.where("path IS NOT NULL AND line_no IS NOT NULL")
+    return _changed(lines, keys, order, text, True)
 
 
 def parse_diff_lines(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
     """The set of changed lines of diffs that come as rows: ``keys``, ``path`` and ``line_no``."""
-    return changed_in_ranges(lines, keys, order, text).drop("text").distinct()
+    return _changed(lines, keys, order, text, False).distinct()

@@ -80,3 +80,26 @@ def test_diff_files(spark, tmp_path):
     got = {(r["path"], r["line_no"]) for r in parse_diff_lines(lines, ["diff"], DIFF_LINE_ORDER).collect()}
     whole = spark.createDataFrame([(1, text)], "diff_id long, diff_text string")
     assert got == {(r["path"], r["line_no"]) for r in changed_lines(whole).collect()} | {("z", 2)}
+
+
+def test_lines_are_dealt_twice_and_not_met_by_a_shuffle(ranges):
+    """What a range leaves to the next goes to every task, and lines bring their headers along."""
+    found = changed_in_ranges(ranges.createDataFrame([(0, "+++ b/x"), (1, "@@ -0 +1 @@"), (2, "+a")], "at int, text string"), [], ["at"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    rows = fx.diff_line_rows(ranges, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Scan parquet") == plan.count("Exchange") == plan.count("Sort [") == 1
+
+
+def test_a_diff_goes_on_over_many_ranges(ranges):
+    """Files, starts and moves reach ranges that say nothing of them, and end with the diff."""
+    ranges.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        texts = {1: ["+++ b/a", "@@ -0 +5 @@", *["+x", " y", "-z"] * 60], 2: ["+b"] * 40, 3: ["+++ b/c", "+d", "@@ -1 +9 @@", *["+e"] * 30]}
+        rows = [(k, at, t) for k, x in texts.items() for at, t in enumerate(x)]
+        lines = ranges.createDataFrame(rows, "diff_id int, at int, text string")
+        whole = ranges.createDataFrame([(k, "\n".join(x)) for k, x in texts.items()], "diff_id int, diff_text string")
+        assert rows_of(changed_in_ranges(lines, ["diff_id"], ["at"])) == rows_of(changed_lines(whole))
+    finally:
+        ranges.conf.set("spark.sql.shuffle.partitions", "8")
