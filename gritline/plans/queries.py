@@ -643,12 +643,12 @@ def report_errors(spark, sf):
 
 @query
 def report_files(spark, sf):
-    """Reports of all kinds, written to files and read back line by line."""
+    """Reports of all kinds, written to compressed files and read back line by line."""
     inputs = _report_inputs(spark, sf)
     parts = []
     for kind in ("json", "markdown", "sarif"):
         folder = shared_dir(spark)
-        doc.write_documents(doc.report_parts(kind, *inputs), folder)
+        doc.write_documents(doc.report_parts(kind, *inputs), folder, "gzip")
         parts.append(doc.read_documents(spark, folder).select(F.lit(kind).alias("kind"), "repo_id", "line_no", "text"))
     return reduce(DataFrame.unionByName, parts)
 

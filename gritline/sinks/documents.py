@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritline.functions import severity as sv
 from gritline.functions import text as tx
-from gritline.operators.skew import apart, counted, position_in_group, stage
+from gritline.operators.skew import apart, counted, stage
 from gritline.sinks.rows import KEY_COLUMNS, given, report_key, sarif_results, sarif_rules
 from gritline.vocab import INFORMATION_URI, PRODUCT, PRODUCT_VERSION, SEVERITIES
 
@@ -246,24 +246,38 @@ def report_parts(kind: str, headers: DataFrame, findings: DataFrame, paths: Data
     raise ValueError(f"unknown report kind: {kind}")
 
 
-def write_documents(parts: DataFrame, path: str) -> None:
-    """Write one folder per scan; its files, in name order, are the document."""
+def write_documents(parts: DataFrame, path: str, compression: str | None = None) -> None:
+    """Write one folder per scan; its files, in name order, are the document.
+
+    ``compression`` is a codec of Spark's text files, such as ``gzip``; without one they are plain. Either can be read back.
+    """
     ordered = parts.orderBy("repo_id", *ORDER).select("repo_id", "body")
-    ordered.write.partitionBy("repo_id").mode("overwrite").text(path)
+    ordered.write.partitionBy("repo_id").mode("overwrite").text(path, compression=compression or "none")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The lines of the documents that :func:`write_documents` wrote: (repo_id, line_no, text).
 
-    A document's files are in name order. Lines are numbered across them by ranges, so a document of any length will do.
-    Only what a finished job published is read.
+    A document's files are in name order. Lines are numbered where they are read: a line's number is its place in its block
+    of a file and the lines of the blocks before, so no line is moved and a document of any length will do. The lines are
+    written once, because blocks must not change between their two uses. Only what a finished job published is read.
     """
     lines = spark.read.schema("value string, repo_id bigint").text(path).select(
         "repo_id", F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"),
     )
-    order = [F.col(c) for c in ("file", "block", "nth")]
-    return position_in_group(lines, ["repo_id"], order, "line_no").select("repo_id", "line_no", "text")
+    placed = stage(lines, "zstd")
+    blocks = placed.groupBy("repo_id", "file", "block").agg(F.min("nth").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("repo_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    blocks = blocks.select(
+        F.col("repo_id").alias("_repo_id"), F.col("file").alias("_file"), F.col("block").alias("_block"),
+        (before - F.col("_first") + 1).alias("_shift"),
+    )
+    # Null is a scan like any other.
+    same = F.col("repo_id").eqNullSafe(F.col("_repo_id")) & (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    joined = placed.join(counted(stage(blocks)), same)
+    return joined.select("repo_id", (F.col("nth") + F.col("_shift")).alias("line_no"), "text")
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -128,3 +128,21 @@ def test_answers_and_diffs_are_not_gone_through_to_tell_their_kind(spark):
     early = spark.createDataFrame([(p,) for p in pieces], "p string").select(_starts_without_hunk(F.col("p")).alias("e"))
     assert [r["e"] for r in early.collect()] == [True, False, True, False, False, False]
     assert "exists" not in plan(early).lower()
+
+
+def test_compressed_documents_are_read_back_without_moving_lines(spark, tmp_path):
+    from gritline.sinks import documents as doc
+    rows = [(r, 0, 0, "", n, 0.0, 0, 0, f"r{r} n{n}\nnext") for r in (1, 2, None) for n in range(500)]
+    parts = spark.createDataFrame(rows, "repo_id long, section int, neg_rank int, file string, line int, neg_confidence double, emit_seq long, sub int, body string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        doc.write_documents(parts.repartition(5), f"{tmp_path}/z", "gzip")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    written = [p.name for p in (tmp_path / "z").rglob("part-*")]
+    assert len(written) > 3 and all(name.endswith(".txt.gz") for name in written)
+    found = doc.read_documents(spark, f"{tmp_path}/z")
+    assert "Exchange range" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()
+    got = sorted((r["repo_id"] or 0, r["line_no"], r["text"]) for r in found.collect())
+    texts = {r: [t for n in range(500) for t in (f"r{r or None} n{n}", "next")] for r in (0, 1, 2)}
+    assert got == [(r, k + 1, t) for r in (0, 1, 2) for k, t in enumerate(texts[r])]
