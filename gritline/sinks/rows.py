@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +35,43 @@ def report_key() -> list[Column]:
 KEY_COLUMNS = ("neg_rank", "file", "line", "neg_confidence", "emit_seq")
 
 
+GATHERED = 1 << 14  # rows among which early ones are looked for at a time
+
+
+def _early(rows: pa.Table) -> pa.Table:
+    """The rows that no other row of their scan and rule precedes by rank, file and line; nulls come first."""
+    group, key = ["repo_id", "rule_id"], ["neg_rank", "file", "line"]
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in group + key], null_placement="at_start")
+    rows = rows.take(order).combine_chunks()
+    if not rows.num_rows:
+        return rows
+    codes = {c: rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in group + key}
+    begins = np.append(True, np.any([codes[c][1:] != codes[c][:-1] for c in group], axis=0))
+    first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    return rows.filter(pa.array(np.all([codes[c] == codes[c][first] for c in key], axis=0)))
+
+
+def _early_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield from _early(pa.Table.from_batches(held)).to_batches()
+            held = []
+    if held:
+        yield from _early(pa.Table.from_batches(held)).to_batches()
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """Rules of every scan, described by their first finding in report order.
 
-    The smallest (order, texts) struct is a partial aggregate, so a scan with very many
-    findings sends few rows per task.
+    The smallest (order, texts) struct is a partial aggregate, so a scan with very many findings sends few rows per task. As
+    its texts make Spark sort what it aggregates, rows that can't be first go before, in batches of ``GATHERED``.
     """
-    first = F.min(F.struct(*report_key(), "title", "description", "category", "severity"))
-    one = findings.groupBy("repo_id", "rule_id").agg(first.alias("_first")).select("repo_id", "rule_id", "_first.*")
+    texts = ["title", "description", "category", "severity"]
+    rows = findings.select("repo_id", "rule_id", *report_key(), *texts)
+    first = F.min(F.struct(*KEY_COLUMNS, *texts))
+    one = rows.mapInArrow(_early_rows, rows.schema).groupBy("repo_id", "rule_id").agg(first.alias("_first")).select("repo_id", "rule_id", "_first.*")
     return one.select(
         "repo_id",
         "rule_id",

@@ -146,3 +146,30 @@ def test_compressed_documents_are_read_back_without_moving_lines(spark, tmp_path
     got = sorted((r["repo_id"] or 0, r["line_no"], r["text"]) for r in found.collect())
     texts = {r: [t for n in range(500) for t in (f"r{r or None} n{n}", "next")] for r in (0, 1, 2)}
     assert got == [(r, k + 1, t) for r in (0, 1, 2) for k, t in enumerate(texts[r])]
+
+
+def test_rules_of_a_scan_go_by_few_rows(spark):
+    """Rows that can't be a rule's first go before the aggregate; ties, nulls and NaN stay as Spark orders them."""
+    import random
+
+    import pyarrow as pa
+
+    from gritline.sinks import rows as rw
+    pick = random.Random(4)
+    rows = [
+        (pick.choice([1, 2, None]), pick.choice(["a", "b", None]), pick.choice(["low", "high"]), pick.choice(["f", "é", "F", None]), pick.choice([3, 20, None]),
+         pick.choice([0.5, float("nan"), None, 0.0, -0.0, 0.9]), pick.choice([0, 1]), f"t{k % 7}", "", "bug")
+        for k in range(3000)
+    ]
+    schema = "repo_id long, rule_id string, severity string, file string, line int, confidence double, emit_seq long, title string, description string, category string"
+    found = spark.createDataFrame(rows, schema).repartition(3)
+    texts = ["title", "description", "category", "severity"]
+    first = F.min(F.struct(*rw.report_key(), *texts)).alias("first")
+    want = found.groupBy("repo_id", "rule_id").agg(first).select("repo_id", "rule_id", "first.*")
+    columns = ["repo_id", "rule_id", *rw.KEY_COLUMNS, "category"]
+    rules = rw.sarif_rules(found)
+    assert sorted(map(str, rules.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert "MapInArrow" in rules._jdf.queryExecution().toString()
+    flat = found.select("repo_id", "rule_id", *rw.report_key(), *texts).toArrow()
+    few = pa.Table.from_batches(list(rw._early_rows(flat.to_batches(max_chunksize=100))), flat.schema)
+    assert 9 <= few.num_rows < 600 and list(rw._early_rows(iter(flat.slice(0, 0).to_batches()))) == []
