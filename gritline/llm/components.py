@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritline.operators.skew import salted_join, stage
+from gritline.operators.skew import FEW, apart, salted_join, stage
 
 
 def _downward(links: DataFrame) -> DataFrame:
@@ -19,6 +19,11 @@ def _checksum(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
+def _with_least(links: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """Links with the least node ``m`` around ``a``; it goes to every task only if links are few."""
+    return links.join(F.broadcast(least), "a") if few else salted_join(links, apart(least), ["a"], ["b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it is connected to, for each node that has links.
 
@@ -26,17 +31,18 @@ def components(links: DataFrame) -> DataFrame:
     itself is none. Large star links every neighbour above a node to the smallest one around it,
     small star does so below; both keep the components, and after a number of rounds that grows
     with the logarithm of the longest path, each node is linked to its root alone. Links never
-    leave Spark; a node with many of them is split over salts in the joins.
+    leave Spark; a node with many of them is split over salts in the joins, which move both sides unless links are few.
     """
     now = stage(_downward(links))
     mark = _checksum(now)
     while mark[0]:
+        few = mark[0] <= FEW
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        upper = salted_join(both.where("b > a"), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        upper = _with_least(both.where("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(_downward(upper))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        lower = salted_join(large, least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        lower = _with_least(large, least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(_downward(lower.union(least.select("a", F.col("m").alias("b")))))
         before, mark = mark, _checksum(now)
         if mark == before:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gritline.llm.batches import list_array, map_text, offsets_of
 from gritline.llm.components import components
 from gritline.llm.simhash import Ring, linked, majority, shingle_hashes
-from gritline.operators.skew import salted_join, scratch, stage
+from gritline.operators.skew import apart, counted, keyed_join, salted_join, scratch, stage
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -98,7 +98,7 @@ def fingerprint_pairs(rows: DataFrame, ring: Ring = Ring()) -> DataFrame:
     links = stage(linked(codes.select("fp"), ring))
     of_a = codes.select(F.col("fp").alias("a"), F.col("least").alias("row_a"))
     of_b = codes.select(F.col("fp").alias("b"), F.col("least").alias("row_b"))
-    named = links.join(of_a, "a").join(of_b, "b")
+    named = links.join(apart(of_a), "a").join(apart(of_b), "b")
     return named.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
 
 
@@ -117,15 +117,15 @@ def _sets_of(df: DataFrame, rows: DataFrame, asked: DataFrame, words: int, id_co
                 yield pa.record_batch([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), listed], names=names)
 
     names = ["id", "digest", "hashes"]
-    keys = rows.join(asked, "row", "left_semi").select("row", "id", "digest")
+    keys = rows.join(apart(asked), "row", "left_semi").select("row", "id", "digest")
     some = keys.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     texts = df.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         _own_digest(text_col).alias("digest"),
     )
-    texts = texts.join(some, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    texts = texts.join(apart(some), (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
     sets = texts.dropDuplicates(["id", "digest"]).mapInArrow(run, "id bigint, digest binary, hashes array<bigint>")
-    return keys.join(sets, ["id", "digest"]).select("row", "hashes")
+    return keys.join(apart(sets), ["id", "digest"]).select("row", "hashes")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -135,7 +135,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = F.size("left") + F.size("right")
     common = F.size(F.array_intersect("left", "right"))
     sized = F.least(F.size("left"), F.size("right")) >= similarity * F.greatest(F.size("left"), F.size("right")) - ROUNDING
-    joined = pairs.join(right, "b").join(left, "a")
+    joined = pairs.join(apart(right), "b").join(apart(left), "a")
     return joined.where(sized & (common * (1 + similarity) >= similarity * both - ROUNDING)).select("a", "b")
 
 
@@ -143,7 +143,7 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are not in one component."""
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    named = pairs.join(apart(a), "a", "left").join(apart(b), "b", "left")
     return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
@@ -194,7 +194,7 @@ def _meetings(rows: DataFrame, similarity: float, dense_bucket: int) -> DataFram
 
     postings = rows.select(F.explode("keys").alias("token"), "row", "n")
     some = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("token"))
-    hot = stage(some.groupBy("token").count().where(F.col("count") > dense_bucket).select("token"))
+    hot = counted(stage(some.groupBy("token").count().where(F.col("count") > dense_bucket).select("token")))
     met = postings.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "row")
     alone = postings.join(hot, "token", "left_semi").select("token", F.col("row").alias("a"), F.lit(None).cast("bigint").alias("b"))
     return met.mapInArrow(run, "token bigint, a bigint, b bigint").union(alone)
@@ -207,13 +207,13 @@ def _families(members: DataFrame) -> DataFrame:
     are one family, so that a group of near copies is one and not as many as its keys.
     """
     counts = stage(members.groupBy("token").agg(F.count("*").alias("size")))
-    sized = stage(salted_join(members, counts, ["token"], ["row"]))
+    sized = stage(keyed_join(members, counts, ["token"], ["row"]))
     top = sized.groupBy("row").agg(F.max(F.struct("size", "token")).alias("top"))
-    beside = sized.join(top, "row").groupBy("token", "size", F.col("top.token").alias("other")).count()
+    beside = sized.join(apart(top), "row").groupBy("token", "size", F.col("top.token").alias("other")).count()
     links = beside.where("token <> other AND 2 * count >= size").select(F.col("token").alias("a"), F.col("other").alias("b"))
     names = stage(components(stage(links))).select(F.col("node").alias("token"), F.col("root").alias("name"))
-    families = stage(counts.join(names, "token", "left").select("token", F.coalesce("name", "token").alias("family")))
-    return salted_join(members, families, ["token"], ["row"]).groupBy("family", "row").agg(F.count("*").alias("typical"))
+    families = counts.join(apart(names), "token", "left").select("token", F.coalesce("name", "token").alias("family"))
+    return keyed_join(members, families, ["token"], ["row"]).groupBy("family", "row").agg(F.count("*").alias("typical"))
 
 
 def _middles(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _middles(members: DataFrame, sets: DataFrame) -> DataFrame:
     typical = Window.partitionBy("family").orderBy(F.desc("typical"), "row")
     few = members.withColumn("place", F.row_number().over(typical)).where(F.col("place") <= MIDDLE_ROWS)
     few = few.withColumn("few", F.count("*").over(Window.partitionBy("family")))
-    tokens = few.join(sets, "row").select("family", "few", F.explode("hashes").alias("token"))
+    tokens = few.join(apart(sets), "row").select("family", "few", F.explode("hashes").alias("token"))
     most = tokens.groupBy("family", "few", "token").count().where("2 * count > few")
     return most.groupBy("family").agg(F.collect_list("token").alias("middle"))
 
@@ -239,7 +239,7 @@ def _differences(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     alike to it for that reason.
     """
     c = (1 - similarity) / (1 + similarity)
-    joined = salted_join(members.join(sets, "row"), stage(_middles(members, sets)), ["family"], ["row"], "left")
+    joined = salted_join(members.join(apart(sets), "row"), apart(stage(_middles(members, sets))), ["family"], ["row"], "left")
     middle = F.coalesce("middle", F.array().cast("array<bigint>"))
     delta = F.concat(F.array_except("hashes", middle), F.array_except(middle, "hashes"))
     sized = joined.select("family", "row", F.size("hashes").alias("n"), delta.alias("delta")).withColumn("size", F.size("delta"))
@@ -247,7 +247,7 @@ def _differences(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     least = sized.groupBy("family").agg(
         F.min_by("row", F.struct("excess", "row")).alias("pivot"), (-F.min("excess")).alias("reach")
     )
-    deltas = salted_join(sized, stage(least), ["family"], ["row"])
+    deltas = keyed_join(sized, least, ["family"], ["row"])
     return deltas.withColumn("near", F.col("excess") <= F.col("reach") + ROUNDING)
 
 
@@ -262,17 +262,17 @@ def _beyond(deltas: DataFrame) -> DataFrame:
     least = F.when(F.col("near"), F.col("excess") + F.col("reach")).otherwise(F.col("excess") - F.col("reach"))
     must = F.greatest(F.lit(1), F.ceil(least / 2 - ROUNDING))
     length = F.greatest(F.lit(0), F.col("size") - must + 1).cast("int")
-    families = deltas.where("NOT near").select("family").distinct()
+    families = counted(stage(deltas.where("NOT near").select("family").distinct()))
     posted = deltas.join(families, "family", "left_semi").select(
         "family", "row", "near", "size", "excess", F.posexplode(F.slice("delta", F.lit(1), length)).alias("at", "token")
     )
     posted = stage(posted.select("family", "token", "row", "near", "excess", (F.col("size") - F.col("at")).alias("rest")))
     counts = posted.groupBy("family", "token").agg(F.count("*").alias("all"), F.count_if(~F.col("near")).alias("far"))
-    blocks = stage(counts.where("far > 0 AND all > 1").select("family", "token", F.ceil(F.col("all") / BLOCK).alias("blocks")))
-    open_rows = stage(salted_join(posted, blocks, ["family", "token"], ["row"]))
+    blocks = counts.where("far > 0 AND all > 1").select("family", "token", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    open_rows = stage(keyed_join(posted, blocks, ["family", "token"], ["row"]))
     x = open_rows.where("NOT near").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     y = open_rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    x, y = x.alias("x"), y.alias("y")
+    x, y = x.alias("x"), apart(y).alias("y")
     need = (F.col("x.excess") + F.col("y.excess")) / 2
     met = x.join(
         y,
@@ -306,7 +306,7 @@ def _links(
     first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = stage(none.union(stars).union(_alike(first, sets, similarity)))
     roots = stage(components(links))
-    rest = pairs.join(first, ["a", "b"], "left_anti").union(_beyond(deltas)).distinct()
+    rest = pairs.join(apart(first), ["a", "b"], "left_anti").union(_beyond(deltas)).distinct()
     more = _alike(stage(between(rest, roots)), sets, similarity)
     return components(stage(links.union(more)))
 
@@ -338,9 +338,9 @@ def near_groups(
         shingled = _shingled(some, words, id_col, text_col)
         rows = stage(shingled.withColumn("row", F.monotonically_increasing_id()))
         roots = stage(_links(some, rows, words, similarity, dense_bucket, id_col, text_col))
-        named = stage(roots.join(rows.select(F.col("row").alias("node"), "id", "digest"), "node"))
+        named = stage(roots.join(apart(rows.select(F.col("row").alias("node"), "id", "digest")), "node"))
         kept = named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("keep"))
-        both = salted_join(named, kept, ["root"], ["node"])
+        both = salted_join(named, apart(kept), ["root"], ["node"])
         gone = both.where(F.struct("id", "digest") != F.col("keep"))
         return result(
             gone.select("id", "digest", F.col("keep.id").alias("keep_id"), F.col("keep.digest").alias("keep_digest")).distinct()

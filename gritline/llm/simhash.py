@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gritline.llm.batches import map_text
 from gritline.llm.components import components
-from gritline.operators.skew import salted_join, stage
+from gritline.operators.skew import apart, counted, salted_join, stage
 
 BITS = 64
 DENSE_BUCKET = 128
@@ -188,9 +188,11 @@ def linked(codes: DataFrame, ring: Ring, dense_bucket: int = DENSE_BUCKET) -> Da
     near = codes.select(F.col("fp").alias("a"), F.explode(_keys(ring, F.col("fp"), True)).alias("key"))
     dense = stage(exact.groupBy("key").count().where(F.col("count") > dense_bucket).select("key"))
     crowded = not dense.isEmpty()
+    if crowded:
+        dense = counted(dense)
     light = exact.join(dense, "key", "left_anti") if crowded else exact
     pairs = near.join(
-        light.select(F.col("fp").alias("b"), F.col("key").alias("of")),
+        apart(light.select(F.col("fp").alias("b"), F.col("key").alias("of"))),
         (F.col("key") == F.col("of"))
         & (F.col("a") < F.col("b"))
         & _in_budget(ring, F.col("key"), F.col("a"), F.col("b"))

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gritline.llm import components as components_of
 from gritline.llm import exact, near_copies, passages, simhash
 from gritline.llm.components import components
+from gritline.operators import skew
 from tests.llm import plain
 from tests.llm.conftest import document_rows
 
@@ -308,3 +310,25 @@ def test_near_copies_meet_by_their_fingerprints(documents, monkeypatch):
     monkeypatch.setattr(near_copies, "_meetings", lambda rows, *rest: meet(rows.withColumn("keys", F.slice("keys", -1, 1)), *rest))
     kept = near_copies.drop_near_copies(documents(document_rows(texts))).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(range(51)) - {b for _, b in close | equal})
+
+
+def test_tables_that_grow_are_not_sent_to_every_task(documents, monkeypatch):
+    """Tables are small on disk here, so the planner alone would send them, however many rows they stand for."""
+    plans = []
+
+    def recorded(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, *args)
+
+    stage = skew.stage
+    for module in (skew, simhash, near_copies, components_of):
+        monkeypatch.setattr(module, "stage", recorded)
+    for module in (skew, components_of):
+        monkeypatch.setattr(module, "FEW", -1)  # no count of rows is few
+    pick = random.Random(8)
+    base = prose(pick, 200).split()
+    texts = [" ".join([*base[: 200 - k], *prose(pick, k % 5).split()]) for k in range(30)] + [prose(pick, 60) for _ in range(20)]
+    groups = near_copies.near_groups(documents(document_rows(texts)), dense_bucket=4)
+    assert groups.count() > 5
+    assert len(plans) > 20 and sum("SortMergeJoin" in plan for plan in plans) > 10
+    assert not [plan for plan in plans if "BroadcastExchange" in plan]
