@@ -290,7 +290,7 @@ def table_rule_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     value = F.expr("regexp_extract(text, _pattern, _group)")
     matches = (
         (F.col("_languages").isNull() | F.array_contains("_languages", F.col("language")))
-        & F.rlike(F.col("text"), F.col("_pattern"))
+        & (F.col("_fixed") | F.rlike(F.col("text"), F.col("_pattern")))
         & ((F.col("_group") == 0) | ~looks_like_placeholder(value))
     )
     columns = [F.col(c) for c in ("text", "language", "_folded", "_wide")]

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritline.functions.factors import mandatory_factors
+from gritline.functions.shapes import fixed_shapes
+from gritline.operators import rule_index
 from gritline.operators import rules as rl
 from gritline.operators.lines import explode_lines
 from gritline.plans import fixtures as fx
@@ -111,3 +113,43 @@ def test_texts_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning(8)" in plan
     assert found.where("repo_id = 1").agg(F.max("n_files")).first()[0] == 64
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    ["abc+", "ab.cd", "a|bcd", r"\bword", "[a-z&&[b]]word", "(?=word)", "word^x", "word$x", "(?:wo|x)$rd", "wo[é]rd", "(?i)[A-Z]word", "[^-x]word", "wor{2}d", "(word", "word)", "(?i)éword", "éa[ab]word"],
+)
+def test_no_fixed_shapes(pattern):
+    assert not fixed_shapes(pattern)
+
+
+def test_rules_of_fixed_shapes_need_no_regex(spark):
+    """Which rules match is settled where their texts are found, without a regex for each of them."""
+    patterns = [shape.format("word") for shape in fx.WORD_RULES] + [r"(?:x|yz)\[word\]?", "wörd!", "(?i)(?:^|[^A-Za-z])[kK]iss[.,]$", "word[0-9][^0-9]"]
+    texts = ["word", "a word.", "words", "sword.", "WORD,", "Word. word", "zzword, x", "azzword, x", "word, ", "x word.\r", "word.\u2028", "éword.",
+             "\U0001f600word.", "ſword,", "wörd!", "wwörd!", "\u212aiss.", "KIſſ,", "1kiss,\u0085", "xkiss.", "İkiss.", "word12", "word1é", "word1", "yz[word]", "", None]
+    lines = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line_no int, text string")
+    column, rest = rule_index.candidates(patterns, F.col("text"))
+    found = {(r["line_no"], p["place"]): p["fixed"] for r in lines.select("line_no", column.alias("c")).collect() for p in r["c"]}
+    marks = F.array(*[F.col("text").rlike(rl._java(p)) for p in patterns])
+    want = {(r["line_no"], k) for r in lines.select("line_no", marks.alias("m")).collect() for k, hit in enumerate(r["m"]) if hit}
+    assert not rest and len(want) > 25 and want <= set(found)
+    assert {key for key, fixed in found.items() if fixed} <= want
+    unsure = {key for key, fixed in found.items() if not fixed}
+    assert {place for _, place in unsure} == {3, 4, 6} and {texts[k] for k, place in unsure if place != 4} == {"x word.\r", "word.\u2028", "1kiss,\u0085"}
+
+
+def test_fixed_shapes_are_those_of_the_pattern():
+    pick, some = random.Random(4), 0
+    atoms = ["abc", "bca", "ab", r"\.", "[ab]", "[^c]", "[a-c]", "^", "$", "(?:^|[^a-c])", "(a|bb)", "(?:c|$)"]
+    for _ in range(3000):
+        pattern = "".join(pick.choice(atoms) for _ in range(pick.randint(1, 4)))
+        shapes = fixed_shapes(pattern)
+        some += bool(shapes)
+        if shapes:
+            texts = sorted({s.text for s in shapes})
+            index = rule_index._Index(tuple((t, tuple((0, s) for s in shapes if s.text == t)) for t in texts))
+            lines = ["".join(pick.choice("aabbcc.d1é") for _ in range(pick.randint(0, 9))) for _ in range(30)]
+            rows, _, sure = index.find(lines)
+            assert set(rows.tolist()) == {k for k, line in enumerate(lines) if re.search(pattern, line)} and sure.all(), pattern
+    assert some > 500
