@@ -470,10 +470,11 @@ def scan_header(spark, sf):
 @query
 def scan_header_ai(spark, sf):
     """Scans with a reviewer model: failed calls are errors, and rules stand in for them."""
-    files, answers = fx.code_files(spark, sf), fx.responses(spark, sf)
+    files, answers = stage(fx.code_files(spark, sf)), fx.responses(spark, sf)  # rules, errors and counts all read the files
     mode = sc.mode_of(answers)
-    found = sc.scan_responses(files, answers)
-    errors = sc.scan_errors(files, answers.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
+    parsed = stage(rs.parse_responses(answers))
+    found = sc.scan_responses(files, parsed)
+    errors = stage(sc.scan_errors(files, parsed.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")))
     return sc.scan_headers(files, found, errors, mode=mode, model=sc.model_label(mode))
 
 

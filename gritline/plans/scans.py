@@ -116,8 +116,9 @@ def scan_responses(
 
     Model findings are not capped. The parsed answers are written down once, because both the
     findings and the list of files without an answer come from them. So are the files without an answer.
+    ``responses`` may be those of :func:`gritline.sources.responses.parse_responses`, written down already.
     """
-    parsed = stage(rs.parse_responses(responses))
+    parsed = responses if _is_parsed(responses) else stage(rs.parse_responses(responses))
     modelled = rs.response_findings(parsed, file_stats(files))
     if focus is not None:
         units = files.select("repo_id", "path", "has_focus") if "has_focus" in files.columns else None
@@ -128,11 +129,15 @@ def scan_responses(
     return modelled.unionByName(fallback)
 
 
+def _is_parsed(responses: DataFrame) -> bool:
+    return {"items", "good"} <= set(responses.columns) and "payload" not in responses.columns
+
+
 def scan_errors(files: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """Error rows (repo_id, path, error): unreadable files, failed parses, failed responses."""
+    """Error rows (repo_id, path, error): unreadable files, failed parses, failed responses (parsed already, or not)."""
     parts = [fs.read_errors(files), syntax_errors(syntax_facts(files))]
     if responses is not None:
-        parts.append(rs.response_errors(rs.parse_responses(responses)))
+        parts.append(rs.response_errors(responses if _is_parsed(responses) else rs.parse_responses(responses)))
     return reduce(DataFrame.unionByName, parts)
 
 

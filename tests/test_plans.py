@@ -12,6 +12,7 @@ from gritline.plans.queries import QUERIES
 from gritline.plans.scans import scan_lines
 from gritline.sinks import documents as doc
 from gritline.sources import files as fs
+from gritline.sources import responses as rs
 from gritline.sources.files import first_files, with_language
 
 SF = "/root/testdata/sf0.001"
@@ -173,3 +174,13 @@ def test_rules_of_a_scan_go_by_few_rows(spark):
     flat = found.select("repo_id", "rule_id", *rw.report_key(), *texts).toArrow()
     few = pa.Table.from_batches(list(rw._early_rows(flat.to_batches(max_chunksize=100))), flat.schema)
     assert 9 <= few.num_rows < 600 and list(rw._early_rows(iter(flat.slice(0, 0).to_batches()))) == []
+
+
+def test_answers_are_parsed_and_files_made_once(spark, monkeypatch):
+    """Headers of scans with a model need files, findings and errors; all of them read what is written down."""
+    calls = []
+    parse = rs.parse_responses
+    monkeypatch.setattr(rs, "parse_responses", lambda answers: calls.append(1) or parse(answers))
+    found = QUERIES["scan_header_ai"](spark, SF)
+    assert len(calls) == 1 and "lineitem" not in plan(found) and "l_orderkey" not in plan(found)
+    assert found.agg(F.sum("n_errors")).first()[0] > 0
